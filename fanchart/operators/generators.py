@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fanchart.contract import (
     DEFAULT_DRAWS,
@@ -80,7 +81,7 @@ def correlation_factors(aligned: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _factor(matrices: pd.Series) -> pd.Series:
     def one(flat):
         d = int(round(len(flat) ** 0.5))

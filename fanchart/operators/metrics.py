@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fanchart.contract import (
     CELL_KEYS,
@@ -168,7 +169,7 @@ def variogram(draws: DataFrame, realized: DataFrame, p: float = 0.5, pair_weight
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _block_distance(left: pd.Series, right: pd.Series, d: pd.Series) -> pd.Series:
     """Sum of Euclidean distances between two blocks of row-major vectors."""
 

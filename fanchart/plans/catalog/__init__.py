@@ -1,0 +1,10 @@
+"""Registered queries, one module per operator family."""
+
+from importlib import import_module
+
+MODULES = ("metrics",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")

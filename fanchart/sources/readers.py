@@ -18,6 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanchart import contract as C
+from fanchart.contract import (
+    DEFAULT_JOINT,
+    DEFAULT_TAIL_LEVELS,
+    DEFAULT_TAIL_METRIC,
+    DEFAULT_WEIGHTS,
+    DRAW_COLUMNS,
+    UNIT_SCHEMA,
+)
 from fanchart.functions.columns import is_finite, is_iso
 from fanchart.operators.gates import GATES, UNIT_KEYS, refusal
 
@@ -86,6 +94,9 @@ def read_panels(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- units -----------------------------------------------------------------------------------
 
+UNIT_FIELDS = tuple(UNIT_SCHEMA.fieldNames())
+
+
 def _parse_cards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import tomllib
 
@@ -93,7 +104,7 @@ def _parse_cards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             card = tomllib.loads(text)
             part = lambda *keys: _dig(card, keys)
-            weights = part("scoring", "params", "weights") or C.DEFAULT_WEIGHTS
+            weights = part("scoring", "params", "weights") or DEFAULT_WEIGHTS
             targets = part("targets") or {}
             ends = [p.get("end_date") for p in (card.get("panels") or {}).values() if isinstance(p, dict)]
             return {
@@ -104,9 +115,9 @@ def _parse_cards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "horizons": [int(h) for h in targets["horizons"]],
                 "target_dates": [str(d) for d in targets.get("target_dates") or []],
                 "target_type": targets.get("target_type", "level"),
-                "tail_levels": [float(a) for a in part("scoring", "params", "tail_levels") or C.DEFAULT_TAIL_LEVELS],
-                "joint": part("scoring", "params", "joint") or C.DEFAULT_JOINT,
-                "tail_metric": part("scoring", "params", "tail_metric") or C.DEFAULT_TAIL_METRIC,
+                "tail_levels": [float(a) for a in part("scoring", "params", "tail_levels") or DEFAULT_TAIL_LEVELS],
+                "joint": part("scoring", "params", "joint") or DEFAULT_JOINT,
+                "tail_metric": part("scoring", "params", "tail_metric") or DEFAULT_TAIL_METRIC,
                 "n_draws_min": int(part("scoring", "params", "n_draws_min") or 0),
                 "w_marginal": float(weights["marginal"]), "w_joint": float(weights["joint"]),
                 "w_tail": float(weights["tail"]),
@@ -117,7 +128,7 @@ def _parse_cards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         except (ValueError, KeyError, TypeError) as exc:
             return {"error": f"{type(exc).__name__}: {exc}"}
 
-    names = C.UNIT_SCHEMA.fieldNames()
+    names = list(UNIT_FIELDS)
     for frame in frames:
         rows = [one(t) for t in frame["text"]]
         yield pd.DataFrame(
@@ -133,7 +144,7 @@ def _dig(node: object, keys: tuple[str, ...]) -> object:
 
 def parse_cards(texts: DataFrame) -> DataFrame:
     """``(text)`` of TOML cards to the units table; an unreadable card keeps only ``error``."""
-    return texts.select("text").mapInPandas(_parse_cards, C.UNIT_SCHEMA)
+    return texts.select("text").mapInPandas(_parse_cards, UNIT_SCHEMA)
 
 
 def read_units(spark: SparkSession, root: str) -> DataFrame:
@@ -280,7 +291,7 @@ def _decode_draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples(index=False):
             file = pq.ParquetFile(pa.BufferReader(row.content))
-            for batch in file.iter_batches(columns=list(C.DRAW_COLUMNS)):
+            for batch in file.iter_batches(columns=list(DRAW_COLUMNS)):
                 got = batch.to_pandas()
                 draws = got["draw"] if pd.api.types.is_integer_dtype(got["draw"]) else whole(got["draw"]).where(
                     lambda s: s == s.round()
@@ -307,7 +318,7 @@ def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None) -
         _part("path", SUBMISSION_PATH, 2).alias("unit_id"), "content",
     )
     facts = facts if facts is not None else inspect_draw_files(spark, root)
-    want = F.array(*[F.lit(c) for c in sorted(C.DRAW_COLUMNS)])
+    want = F.array(*[F.lit(c) for c in sorted(DRAW_COLUMNS)])
     exact = facts.where(
         F.col("readable") & (F.sort_array("columns") == want) & (F.col("n_rows") <= C.MAX_ROWS)
         & (F.col("uncompressed_bytes") <= C.MAX_UNCOMPRESSED_BYTES)
