@@ -280,7 +280,7 @@ def bootstrap_paths(step_rows: DataFrame, anchors: DataFrame, units: DataFrame,
 def historical_sim(aligned: DataFrame, anchors: DataFrame, units: DataFrame) -> DataFrame:
     """Every past h-change is a draw, the same date across all cells of a unit.
 
-    ``aligned`` holds ``(unit_id, asset, date, value)`` on common dates. Draw 0 is the most recent
+    ``aligned`` holds ``(unit_id, asset, date, value, n_rows)`` on common dates. Draw 0 is the most recent
     date on which the change of the longest horizon exists. No randomness.
     """
     w = Window.partitionBy(*P.SERIES).orderBy("date")
@@ -288,8 +288,7 @@ def historical_sim(aligned: DataFrame, anchors: DataFrame, units: DataFrame) ->
     rows = (
         aligned.join(reach, "unit_id")
         .withColumn("_rn", F.row_number().over(w))
-        .withColumn("_n", F.count("value").over(Window.partitionBy(*P.SERIES)))
-        .withColumn("draw", (F.col("_n") - F.col("_rn")).cast("int"))
+        .withColumn("draw", (F.col("n_rows") - F.col("_rn")).cast("int"))
     )
     # the h-back value is found by row number, so any number of horizons costs one join
     back = rows.select(*P.SERIES, F.col("_rn").alias("_back"), F.col("value").alias("_was"))

@@ -198,17 +198,14 @@ def aligned_all(rows: DataFrame, units: DataFrame) -> DataFrame:
     wanted = units.select(
         "unit_id", F.explode("asset_ids").alias("asset"), F.size("asset_ids").alias("_n_assets")
     )
-    complete = (
+    # a (unit, date) group has at most one row per asset, a (unit, asset) group one per date
+    present = F.count(F.lit(1)).over(Window.partitionBy("unit_id", "date"))
+    return (
         rows.join(wanted, SERIES)
-        .groupBy("unit_id", "date", "_n_assets")
-        .agg(F.count("asset").alias("_present"))
+        .withColumn("_present", present)
         .where(F.col("_present") == F.col("_n_assets"))
-    )
-    counts = complete.groupBy("unit_id").agg(F.count("date").alias("n_rows"))
-    return (
-        rows.join(wanted.select(*SERIES), SERIES)
-        .join(complete.select("unit_id", "date"), ["unit_id", "date"])
-        .join(counts, "unit_id")
+        .withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
+        .drop("_n_assets", "_present")
     )
 
 

@@ -17,6 +17,7 @@ from fanchart.contract import DEFAULT_TAIL_LEVELS
 from fanchart.operators import generators as FC
 from fanchart.operators import metrics as M
 from fanchart.operators import panel as P
+from fanchart.plans.materialize import materialized
 
 LEVELS = DEFAULT_TAIL_LEVELS
 LINE_LEVELS = (0.01, 0.05, 0.25, 0.75, 0.95, 0.99)
@@ -177,7 +178,7 @@ class Tables:
     @cached_property
     def hist(self) -> DataFrame:
         draws = FC.historical_sim(P.aligned_all(self.cut, self.units), self.anchors, self.units)
-        return draws.select(F.lit("hist").alias("submission_id"), *FC.DRAW)
+        return materialized(draws.select(F.lit("hist").alias("submission_id"), *FC.DRAW), "hist")
 
     @cached_property
     def adjustments(self) -> DataFrame:
@@ -200,7 +201,8 @@ class Tables:
 
     @cached_property
     def draws(self) -> DataFrame:
-        return self.hist.unionByName(self.adj).unionByName(self.rw)
+        """Three submissions, written once as any submitted draws are."""
+        return materialized(self.hist.unionByName(self.adj).unionByName(self.rw), "draws")
 
     @cached_property
     def realized(self) -> DataFrame:

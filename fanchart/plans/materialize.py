@@ -1,0 +1,28 @@
+"""Cut a plan that several readers share by writing it once.
+
+The folder is the one the cluster names in ``spark.checkpoint.dir``; a local session that names none
+gets a temporary one. The written table is columnar, so readers keep pruning and push-down, and its
+known size lets Catalyst decide about broadcasts.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
