@@ -76,7 +76,7 @@ def provenance(rows: DataFrame, roster: DataFrame) -> DataFrame:
     """
     roster_digest = F.sha2(F.array_join(F.sort_array(F.collect_set("unit_id")), ","), 256)
     row_text = F.concat_ws(
-        "|", "unit_id", "state", F.coalesce(F.format_number("score", 9), F.lit("")),
+        "|", "unit_id", "state", F.when(F.col("score").isNull(), "").otherwise(F.format_string("%.9f", "score")),
         F.coalesce("failure_code", F.lit("")),
     )
     return rows.groupBy("submission_id").agg(
@@ -104,7 +104,9 @@ def bootstrap_means(results: DataFrame, units: DataFrame, replicates: int, seed:
     picked, made once for all submissions, so comparisons between submissions are paired and no row
     is ever copied per replicate.
     """
-    counted = penalise(results).join(units.select("unit_id", "asof"), "unit_id")
+    counted = penalise(results).select("submission_id", "unit_id", "counted").join(
+        units.select("unit_id", "asof"), "unit_id"
+    )
     sums = counted.groupBy("submission_id", "asof").agg(
         F.sum("counted").alias("s"), F.count("counted").alias("n")
     )

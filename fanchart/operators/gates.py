@@ -58,7 +58,7 @@ def file_set(files: DataFrame, expected: DataFrame) -> DataFrame:
         *[F.count_if(F.col("name") == n).alias(f"has_{i}") for i, n in enumerate(C.SUBMISSION_FILES)],
     )
     rows = expected.select(*UNIT_KEYS).join(seen, UNIT_KEYS, "left")
-    present = sum((F.coalesce(F.least(f"has_{i}", F.lit(1)), F.lit(0)) for i in range(3)), F.lit(0))
+    present = sum((F.least(F.coalesce(f"has_{i}", F.lit(0)), F.lit(1)) for i in range(3)), F.lit(0))
     extra = F.coalesce("extra", F.lit(0))
     code = F.when(extra > 0, "schema_invalid").otherwise("no_output")
     return refusal(

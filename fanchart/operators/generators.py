@@ -419,7 +419,9 @@ def run_forecaster(panel: DataFrame, units: DataFrame, forecast: Callable, n_dra
     The hook gets one unit's cut panel, which a calendar bounds, and returns its draws; Spark
     spreads the units. Check the result with :func:`validate_draw_shape`.
     """
-    facts = units.select("unit_id", "asof", "asset_ids", "horizons", "target_type")
+    facts = units.select(
+        F.col("unit_id").alias("unit"), "asof", "asset_ids", "horizons", "target_type"
+    )
     history = P.asof_cut(panel, units).select("unit_id", "asset", "date", "value")
 
     def one_unit(key, past, unit):
@@ -429,6 +431,6 @@ def run_forecaster(panel: DataFrame, units: DataFrame, forecast: Callable, n_dra
         out = forecast(past.sort_values(["asset", "date"]), spec)
         return out.assign(unit_id=key[0])[DRAW]
 
-    return history.groupBy("unit_id").cogroup(facts.groupBy("unit_id")).applyInPandas(
+    return history.groupBy("unit_id").cogroup(facts.groupBy("unit")).applyInPandas(
         one_unit, "unit_id string, draw int, asset string, horizon int, value double"
     )

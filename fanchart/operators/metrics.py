@@ -345,10 +345,14 @@ def unscored(units: DataFrame, realized: DataFrame, roster: DataFrame) -> DataFr
 def make_ref_scale(baseline: DataFrame, realized: DataFrame, units: DataFrame,
                    levels: list[float] | tuple[float, ...], split_above: int | None = None) -> DataFrame:
     """Components of a text-blind baseline as each unit's scale: the baseline then scores 1."""
-    comps = components(baseline, realized, units, levels, split_above=split_above)
-    single = F.size("asset_ids") * F.size("horizons") == 1
-    return comps.join(units.select("unit_id", "asset_ids", "horizons"), "unit_id").select(
-        "unit_id", "marginal", F.when(~single, F.col("joint")).alias("joint"), "tail"
+    return scale_from_components(components(baseline, realized, units, levels, split_above=split_above), units)
+
+
+def scale_from_components(comps: DataFrame, units: DataFrame) -> DataFrame:
+    """The scale of each unit from the baseline's own component rows; no joint on one cell."""
+    shape = units.select("unit_id", (F.size("asset_ids") * F.size("horizons")).alias("_cells"))
+    return comps.join(shape, "unit_id").select(
+        "unit_id", "marginal", F.when(F.col("_cells") > 1, F.col("joint")).alias("joint"), "tail"
     )
 
 

@@ -212,10 +212,15 @@ class Tables:
     def scale(self) -> DataFrame:
         return M.make_ref_scale(self.rw, self.realized, self.units, LEVELS)
 
+    @cached_property
+    def comps(self) -> DataFrame:
+        """Components of all three submissions; the scale and the scores both read them."""
+        return materialized(M.components(self.draws, self.realized, self.units, LEVELS), "components")
+
     @cached_property
     def scored(self) -> DataFrame:
-        comps = M.components(self.draws, self.realized, self.units, LEVELS)
-        return M.composite(comps, self.units, self.scale)
+        baseline = self.comps.where("submission_id = 'rw'")
+        return M.composite(self.comps, self.units, M.scale_from_components(baseline, self.units))
 
     @cached_property
     def results(self) -> DataFrame:

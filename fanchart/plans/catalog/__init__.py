@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("panel", "metrics")
+MODULES = ("sources", "panel", "generators", "gates", "metrics", "aggregate", "corpus")
 
 
 def load_all() -> None:

@@ -92,7 +92,7 @@ def coverage(t):
 @query("met6_composite", f"SELECT submission_id, unit_id, {rd('marginal')} AS marginal, {rd('joint', 4)} AS joint, {rd('tail')} AS tail, "
        f"{rd('w_marginal * marginal + w_joint * joint + w_tail * tail', 4)} AS composite FROM (SELECT c.*, w.w_marginal, w.w_joint, w.w_tail FROM comps c JOIN weights w ON w.unit_id = c.unit_id)")
 def composite(t):
-    raw = M.composite(M.components(t.draws, t.realized, t.units, LEVELS), t.units)
+    raw = M.composite(t.comps, t.units)
     return raw.select(
         "submission_id", "unit_id", F.round("marginal", 6).alias("marginal"), F.round("joint", 4).alias("joint"),
         F.round("tail", 6).alias("tail"), F.round("composite", 4).alias("composite"),
@@ -107,8 +107,8 @@ def weights(t):
 
 @query("met8_apply_scale", f"SELECT c.submission_id, c.unit_id, {rd('c.marginal / s.marginal')} AS n_marginal, {rd('c.joint / coalesce(s.joint, CAST(1 AS DOUBLE))')} AS n_joint, {rd('c.tail / s.tail')} AS n_tail FROM comps c JOIN scale s ON s.unit_id = c.unit_id")
 def scale(t):
-    comps = M.components(t.draws, t.realized, t.units, LEVELS)
-    out = M.apply_scale(comps, t.scale, M.renorm_weights(t.units))
+    scale = M.scale_from_components(t.comps.where("submission_id = 'rw'"), t.units)
+    out = M.apply_scale(t.comps, scale, M.renorm_weights(t.units))
     return rounded(out.where("fault IS NULL").select("submission_id", "unit_id", "n_marginal", "n_joint", "n_tail"))
 
 

@@ -30,6 +30,10 @@ from fanchart.functions.columns import is_finite, is_iso
 from fanchart.operators.gates import GATES, UNIT_KEYS, refusal
 
 
+#: A directory name, with or without the ``column=`` prefix that a partitioned write puts there.
+DIR = r"(?:[^/=]+=)?([^/]+)"
+
+
 def _binary(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -79,8 +83,8 @@ def read_panels(spark: SparkSession, root: str) -> DataFrame:
     A unit that keeps its panels one directory up is read there instead. A per-asset file without
     an asset column is named after its stem.
     """
-    inner = r"/([^/]+)/panels/([^/]+)\.parquet$"
-    outer = r"/([^/]+)/([^/]+)\.parquet$"
+    inner = rf"/{DIR}/panels/([^/]+)\.parquet$"
+    outer = rf"/{DIR}/([^/]+)\.parquet$"
     files = _binary(spark, root, "*.parquet")
     direct = files.where(F.col("path").rlike(inner)).select(
         "content", _part("path", inner).alias("unit_id"), _part("path", inner, 2).alias("panel_id")
@@ -231,7 +235,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- submissions -----------------------------------------------------------------------------
 
-SUBMISSION_PATH = r"/([^/]+)/([^/]+)/([^/]+)$"
+SUBMISSION_PATH = rf"/{DIR}/{DIR}/([^/]+)$"
 
 
 def list_submission_files(spark: SparkSession, root: str) -> DataFrame:
@@ -268,12 +272,12 @@ def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
 
 
-def inspect_draw_files(spark: SparkSession, root: str) -> DataFrame:
+def inspect_draw_files(spark: SparkSession, root: str, name: str = "forecast.parquet") -> DataFrame:
     """What each draws file says about itself, before any row is decoded.
 
     Files above the byte ceiling are left out by a filter the scan applies before opening them.
     """
-    files = _binary(spark, root, "forecast.parquet").where(F.col("length") <= C.MAX_DRAWS_FILE_BYTES)
+    files = _binary(spark, root, name).where(F.col("length") <= C.MAX_DRAWS_FILE_BYTES)
     return files.select(
         _part("path", SUBMISSION_PATH).alias("submission_id"),
         _part("path", SUBMISSION_PATH, 2).alias("unit_id"), "length", "content",
@@ -308,16 +312,17 @@ def _decode_draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None) -> DataFrame:
+def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None,
+               name: str = "forecast.parquet") -> DataFrame:
     """Draw rows of every submission whose file has exactly the four columns.
 
     Pass ``facts`` from :func:`inspect_draw_files` to leave out files already refused there.
     """
-    files = _binary(spark, root, "forecast.parquet").where(F.col("length") <= C.MAX_DRAWS_FILE_BYTES).select(
+    files = _binary(spark, root, name).where(F.col("length") <= C.MAX_DRAWS_FILE_BYTES).select(
         _part("path", SUBMISSION_PATH).alias("submission_id"),
         _part("path", SUBMISSION_PATH, 2).alias("unit_id"), "content",
     )
-    facts = facts if facts is not None else inspect_draw_files(spark, root)
+    facts = facts if facts is not None else inspect_draw_files(spark, root, name)
     want = F.array(*[F.lit(c) for c in sorted(DRAW_COLUMNS)])
     exact = facts.where(
         F.col("readable") & (F.sort_array("columns") == want) & (F.col("n_rows") <= C.MAX_ROWS)
@@ -374,13 +379,13 @@ def read_rationales(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- reference material ----------------------------------------------------------------------
 
-def read_realized(spark: SparkSession, root: str) -> DataFrame:
+def read_realized(spark: SparkSession, root: str, pattern: str = "*/reference/realized.parquet") -> DataFrame:
     """Outcomes: three columns only, so the sealed date is never even scanned."""
     schema = "asset string, horizon bigint, value double"
     return (
-        spark.read.schema(schema).parquet(f"{root}/*/reference/realized.parquet")
+        spark.read.schema(schema).parquet(f"{root}/{pattern}")
         .select(
-            _part("_metadata.file_path", r"/([^/]+)/reference/realized\.parquet$").alias("unit_id"),
+            _part("_metadata.file_path", rf"/{DIR}/(?:reference/)?[^/]+\.parquet$").alias("unit_id"),
             "asset", F.col("horizon").cast("int").alias("horizon"), "value",
         )
     )
