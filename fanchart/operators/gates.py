@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fanchart import contract as C
 from fanchart.contract import UNIT_KEYS
 from fanchart.functions.columns import is_finite, is_iso
+from fanchart.sources.materialize import materialized
 
 GATES = ("g0_integrity", "g1_schema", "g2_cutoff_resource", "g3_domain_semantics")
 REFUSAL_COLUMNS = [*UNIT_KEYS, "gate", "check_no", "code", "counts"]
@@ -213,33 +214,39 @@ def column_set(facts: DataFrame) -> DataFrame:
 def row_facts(draws: DataFrame, meta: DataFrame, units: DataFrame) -> DataFrame:
     """Every row-level count of a submission in one pass over its draws.
 
-    Labels are judged on the grid of the unit. Counts fold per (submission, unit, asset, horizon)
-    before the grid is joined, so only cell-level rows meet it; the draw range is judged by the
-    declared count, joined to the draws.
+    The one large shuffle is keyed by the whole (submission, unit, draw, asset, horizon) key, so it
+    stays even when one submission holds much of the table, and repeated rows fold before it. The
+    grid and its labels only meet cell-level rows.
     """
     declared = meta.select(*UNIT_KEYS, "n_draws")
+    cell = [*UNIT_KEYS, "asset", "horizon"]
     bad_draw = F.col("draw").isNull() | (F.col("draw") < 0) | (F.col("draw") >= F.col("n_draws"))
-    cells = (
-        draws.join(declared, UNIT_KEYS)
-        .groupBy(*UNIT_KEYS, "asset", F.col("horizon").cast("int").alias("horizon"), "n_draws")
+    claims = (
+        draws.withColumn("horizon", F.col("horizon").cast("int")).join(declared, UNIT_KEYS)
+        .groupBy(*cell, "n_draws", "draw")
         .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(bad_draw).alias("bad_draws"),
+            F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("value").isNull()).alias("invalid"),
             F.count_if(F.col("value").isNotNull() & ~is_finite("value")).alias("nonfinite"),
         )
     )
+    cells = claims.groupBy(*cell, "n_draws").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(bad_draw, F.col("n")).otherwise(0)).alias("bad_draws"),
+        F.sum("invalid").alias("invalid"), F.sum("nonfinite").alias("nonfinite"),
+        F.count(F.lit(1)).alias("distinct_cells"), F.count_if(F.col("n") > 1).alias("duplicates"),
+    )
     axes = units.select("unit_id", "asset_ids", "horizons")
     in_a = F.coalesce(F.array_contains("asset_ids", F.col("asset")), F.lit(False))
     in_h = F.coalesce(F.array_contains("horizons", F.col("horizon")), F.lit(False))
     return cells.join(axes, "unit_id").groupBy(*UNIT_KEYS, "n_draws").agg(
-        F.sum("n_rows").alias("n_rows"),
+        F.sum("n").alias("n_rows"),
         F.max(F.size("asset_ids") * F.size("horizons") * F.col("n_draws").cast("long")).alias("expected_rows"),
         F.sum("bad_draws").alias("bad_draws"),
-        F.sum(F.when(~in_a, F.col("n_rows")).otherwise(0)).alias("unknown_assets"),
-        F.sum(F.when(~in_h, F.col("n_rows")).otherwise(0)).alias("unknown_horizons"),
-        F.sum("invalid").alias("invalid"),
-        F.sum("nonfinite").alias("nonfinite"),
+        F.sum(F.when(~in_a, F.col("n")).otherwise(0)).alias("unknown_assets"),
+        F.sum(F.when(~in_h, F.col("n")).otherwise(0)).alias("unknown_horizons"),
+        F.sum("invalid").alias("invalid"), F.sum("nonfinite").alias("nonfinite"),
+        F.sum("distinct_cells").alias("distinct_cells"), F.sum("duplicates").alias("duplicates"),
     )
 
 
@@ -290,18 +297,16 @@ def occupancy(draws: DataFrame) -> DataFrame:
     )
 
 
-def exactly_once(draws: DataFrame, facts: DataFrame) -> DataFrame:
+def exactly_once(facts: DataFrame) -> DataFrame:
     """Every (draw, asset, horizon) filled once; duplicates are refused, never averaged.
 
     Missing cells follow from counts once labels and draw ids are known to be in range, so the
     expected grid is never materialised.
     """
-    rows = facts.select(*UNIT_KEYS, "expected_rows").join(occupancy(draws), UNIT_KEYS, "left")
-    missing = F.col("expected_rows") - F.coalesce("distinct_cells", F.lit(0))
-    dupes = F.coalesce("duplicates", F.lit(0))
+    missing = F.col("expected_rows") - F.col("distinct_cells")
     return refusal(
-        rows, (dupes > 0) | (missing > 0), GATES[3], 14, "incomplete_output",
-        invalid_row_count=dupes, missing_count=missing, expected_count=F.col("expected_rows"),
+        facts, (F.col("duplicates") > 0) | (missing > 0), GATES[3], 14, "incomplete_output",
+        invalid_row_count=F.col("duplicates"), missing_count=missing, expected_count=F.col("expected_rows"),
     )
 
 
@@ -417,7 +422,7 @@ LADDER: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]] = [
     ("g3_domain_semantics", lambda t: draw_ids(t["row_facts"])),
     ("g3_domain_semantics", lambda t: labels_in_grid(t["row_facts"])),
     ("g3_domain_semantics", lambda t: finite_values(t["row_facts"])),
-    ("g3_domain_semantics", lambda t: exactly_once(t["draws"], t["row_facts"])),
+    ("g3_domain_semantics", lambda t: exactly_once(t["row_facts"])),
 ]
 
 
@@ -425,11 +430,12 @@ def run_ladder(tables: dict[str, DataFrame]) -> DataFrame:
     """Every check whose inputs are given, merged and cut to the first failure per unit.
 
     Keys: ``units, expected, files, file_facts, meta, meta_errors, rationales, draws``. A check with
-    an absent input does not run, which only the local smoke path does.
+    an absent input does not run, which only the local smoke path does. The draws are read once: six
+    checks share one small table of counts per (submission, unit).
     """
     t = dict(tables)
     if {"draws", "meta", "units"} <= t.keys() and "row_facts" not in t:
-        t["row_facts"] = row_facts(t["draws"], t["meta"], t["units"])
+        t["row_facts"] = materialized(row_facts(t["draws"], t["meta"], t["units"]), "row-facts")
     merged = None
     for _, check in LADDER:
         try:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,49 +123,43 @@ def select_tail(cells: DataFrame, units: DataFrame, levels: tuple[float, ...] |
     return scored.join(wanted, "unit_id").select(*UNIT_KEYS, "tail_metric", choice.alias("tail"))
 
 
-def unit_vectors(draws: DataFrame) -> DataFrame:
-    """One row per (submission, unit, draw) with its cells in order.
+def variogram(draws: DataFrame, realized: DataFrame, p: float = 0.5, pair_weight: float = 2.0,
+              max_cells: int | None = None) -> DataFrame:
+    """Sum over cell pairs of ``(|y_i - y_j|^p - mean |x_i - x_j|^p)^2``; 0 on one cell.
 
-    Keyed by draw, so a unit that holds a third of all rows is spread over all tasks; each array is
-    as long as the unit's grid.
+    Draws must fill their grid exactly once, which the gates guarantee. Cells are numbered within
+    their unit; the partner of a cell ``k`` places on is a window ``lead`` inside the draw, so no
+    pair becomes a row: each task folds its draws to one running mean per (unit, cell, k). The
+    shuffle key holds the draw, so a unit with a third of all rows spreads over all tasks. The
+    default ``pair_weight`` counts both orders of a pair. ``max_cells`` is the widest grid; when it
+    is not given, one number is fetched from ``realized``.
     """
-    return draws.groupBy(*UNIT_KEYS, "draw").agg(
-        F.sort_array(F.collect_list(F.struct("asset", "horizon", "value"))).alias("cells")
+    order = Window.partitionBy("unit_id").orderBy("asset", "horizon")  # one grid per group
+    cells = realized.select(*REALIZED_KEYS, F.col("value").alias("y")).withColumn(
+        "cell", F.row_number().over(order) - 1
     )
+    if max_cells is None:
+        max_cells = (cells.agg(F.max("cell")).first()[0] or 0) + 1
+    steps = range(1, max_cells)
+    power = (lambda gap: F.sqrt(gap)) if p == 0.5 else (lambda gap: F.pow(gap, F.lit(p)))
 
-
-def variogram(draws: DataFrame, realized: DataFrame, p: float = 0.5, pair_weight: float = 2.0) -> DataFrame:
-    """Sum over cell pairs of ``(|y_i - y_j|^p - mean |x_i - x_j|^p)^2``; 0 on one cell.
-
-    Pairs are pairs of grid cells, never of draws. They are folded to one running mean per (unit,
-    pair) in the task that builds them; what is shuffled is one accumulator per pair. The default
-    ``pair_weight`` counts both orders of a pair.
-    """
-    first = unit_vectors(draws).select(*UNIT_KEYS, "cells", F.posexplode("cells").alias("i", "a"))
-    pairs = first.select(
-        *UNIT_KEYS, "a", F.explode(F.slice("cells", F.col("i") + 2, F.size("cells"))).alias("b")
+    seen = cells.select(
+        "unit_id", "cell", *[power(F.abs(F.col("y") - F.lead("y", k).over(order))).alias(f"s{k}") for k in steps]
     )
-    gap = F.abs(F.col("a.value") - F.col("b.value"))
-    powered = F.sqrt(gap) if p == 0.5 else F.pow(gap, F.lit(p))
-    means = pairs.groupBy(
-        *UNIT_KEYS,
-        F.col("a.asset").alias("asset_a"), F.col("a.horizon").alias("horizon_a"),
-        F.col("b.asset").alias("asset_b"), F.col("b.horizon").alias("horizon_b"),
-    ).agg(F.avg(powered).alias("expected"))
-    side = lambda s: realized.select(
-        "unit_id", F.col("asset").alias(f"asset_{s}"), F.col("horizon").alias(f"horizon_{s}"),
-        F.col("value").alias(f"y_{s}"),
-    )
-    seen = F.pow(F.abs(F.col("y_a") - F.col("y_b")), F.lit(p))
-    scored = (
-        means.join(side("a"), ["unit_id", "asset_a", "horizon_a"])
-        .join(side("b"), ["unit_id", "asset_b", "horizon_b"])
-        .groupBy(*UNIT_KEYS)
-        .agg((F.sum(F.pow(seen - F.col("expected"), F.lit(2.0))) * pair_weight).alias("joint"))
-    )
-    units = draws.groupBy(*UNIT_KEYS).agg(F.max("draw").alias("_"))
-    return units.join(scored, UNIT_KEYS, "left").select(
-        *UNIT_KEYS, F.coalesce("joint", F.lit(0.0)).alias("joint")
+    in_draw = Window.partitionBy(*UNIT_KEYS, "draw").orderBy("cell")
+    rows = draws.join(cells.select(*REALIZED_KEYS, "cell"), REALIZED_KEYS).select(
+        *UNIT_KEYS, "draw", "cell", "value"
+    )
+    partners = rows.select(*UNIT_KEYS, "cell", "value", *[F.lead("value", k).over(in_draw).alias(f"x{k}") for k in steps])
+    means = partners.groupBy(*UNIT_KEYS, "cell").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.avg(power(F.abs(F.col("value") - F.col(f"x{k}")))).alias(f"e{k}") for k in steps],
+    )
+    total = sum(
+        (F.coalesce(F.pow(F.col(f"s{k}") - F.col(f"e{k}"), F.lit(2.0)), F.lit(0.0)) for k in steps), F.lit(0.0)
+    )
+    return means.join(seen, ["unit_id", "cell"]).groupBy(*UNIT_KEYS).agg(
+        (F.sum(total) * pair_weight).alias("joint")
     )
 
 

@@ -126,15 +126,13 @@ def first_diff(panel: DataFrame) -> DataFrame:
 def gap_guard(diffs: DataFrame) -> DataFrame:
     """Drop a difference that spans a hole: a step above ``max(10 x median step, 5 days)``.
 
-    A step is null when the series carries no dates, and such differences stay unguarded. The
-    median shares the window's hash partitioning, so it adds no shuffle.
+    A series without any dates has no steps and stays unguarded. The median shares the window's hash partitioning, so it adds no shuffle.
     """
-    w = Window.partitionBy(*SERIES)
-    limit = F.greatest(F.median("step").over(w) * GAP_FACTOR, F.lit(GAP_FLOOR_DAYS))
+    limit = F.greatest(F.col("_median") * GAP_FACTOR, F.lit(GAP_FLOOR_DAYS))
     return (
-        diffs.withColumn("_limit", limit)
-        .where(F.col("_limit").isNull() | (F.col("step") <= F.col("_limit")))
-        .drop("_limit")
+        diffs.withColumn("_median", F.median("step").over(Window.partitionBy(*SERIES)))
+        .where(F.col("_median").isNull() | (F.col("step") <= limit))
+        .drop("_median")
     )
 
 

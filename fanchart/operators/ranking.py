@@ -39,11 +39,12 @@ def ranked(df: DataFrame, keys: list[str], value: str = "value", carry: list[str
 
 def _windowed(df: DataFrame, keys: list[str], value: str, carry: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys)
-    rank = F.row_number().over(group.orderBy(value)).cast("long")
-    return df.select(
-        *keys, F.col(value).alias("value"), *carry, F.lit(1).cast("long").alias("n"),
-        rank.alias("lo"), rank.alias("hi"), F.count(F.lit(1)).over(group).alias("m"),
+    rows = df.select(
+        *keys, F.col(value).alias("value"), *carry,
+        F.row_number().over(group.orderBy(value)).cast("long").alias("lo"),
+        F.count(F.lit(1)).over(group).alias("m"),
     )
+    return rows.select(*keys, "value", *carry, F.lit(1).cast("long").alias("n"), "lo", F.col("lo").alias("hi"), "m")
 
 
 def _sliced(rows: DataFrame, keys: list[str], value: str, carry: list[str], size: int) -> DataFrame:

@@ -17,7 +17,7 @@ from fanchart.contract import DEFAULT_TAIL_LEVELS
 from fanchart.operators import generators as FC
 from fanchart.operators import metrics as M
 from fanchart.operators import panel as P
-from fanchart.plans.materialize import materialized
+from fanchart.sources.materialize import materialized
 
 LEVELS = DEFAULT_TAIL_LEVELS
 LINE_LEVELS = (0.01, 0.05, 0.25, 0.75, 0.95, 0.99)
@@ -59,7 +59,9 @@ class Tables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return self._daily(self.read("lineitem"), "l_shipdate", "l_returnflag", "l_extendedprice", "ship_daily")
+        """Written once, as panels arrive as files."""
+        daily = self._daily(self.read("lineitem"), "l_shipdate", "l_returnflag", "l_extendedprice", "ship_daily")
+        return materialized(daily, "panel")
 
     @cached_property
     def panel_holey(self) -> DataFrame:
@@ -206,7 +208,7 @@ class Tables:
 
     @cached_property
     def realized(self) -> DataFrame:
-        return P.panel_step_targets(self.unit_panel, self.units)
+        return materialized(P.panel_step_targets(self.unit_panel, self.units), "realized")
 
     @cached_property
     def scale(self) -> DataFrame:
@@ -266,11 +268,10 @@ class Tables:
             mean("l_discount", 1.0).alias("discount"), mean("l_extendedprice", 1000.0).alias("price"),
             mean("l_quantity", 1.0).alias("quantity"), mean("l_tax", 1.0).alias("tax"),
         )
-        return wide.select(
+        long = wide.select(
             self._quarter("d").alias("unit_id"), "discount", "price", "quantity", "tax"
-        ).melt(["unit_id"], ["discount", "price", "quantity", "tax"], "asset", "value").withColumn(
-            "horizon", F.lit(1)
-        )
+        ).melt(["unit_id"], ["discount", "price", "quantity", "tax"], "asset", "value")
+        return materialized(long.withColumn("horizon", F.lit(1)), "line-realized")
 
     # ---- corpus ------------------------------------------------------------------------------
 

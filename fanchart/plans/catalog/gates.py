@@ -218,7 +218,7 @@ def finite_values(t):
 
 @query("qc14_exactly_once", "SELECT submission_id, unit_id, code, dupes AS invalid_row_count, missing AS missing_count, expected_rows AS expected_count FROM q14", _SUBS)
 def exactly_once(t):
-    return counts(G.exactly_once(subs(t), _facts(t)), "invalid_row_count", "missing_count", "expected_count").drop("gate", "check_no")
+    return counts(G.exactly_once(_facts(t)), "invalid_row_count", "missing_count", "expected_count").drop("gate", "check_no")
 
 
 @query("qc14_occupancy_line_items", "SELECT submission_id, unit_id, count(*) AS distinct_cells, count_if(k > 1) AS duplicates FROM (SELECT 'flag-' || l_returnflag AS submission_id, year(l_shipdate) || 'Q' || quarter(l_shipdate) AS unit_id, "

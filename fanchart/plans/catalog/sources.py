@@ -16,7 +16,7 @@ from fanchart.operators import panel as P
 from fanchart.plans.bindings import Tables, rd
 from fanchart.plans.catalog.common import rounded, text
 from fanchart.plans.catalog.gates import _SUBS, metas
-from fanchart.plans.materialize import shared_folder
+from fanchart.sources.materialize import shared_folder
 from fanchart.plans.registry import query
 from fanchart.sources import readers as R
 from fanchart.sources import writers as W
@@ -134,6 +134,16 @@ def read_corpus_index(t):
     return R.parse_corpus_index(files.select("unit_id", "text")).select("unit_id", "doc_id", "timestamp", "doc_type", "path")
 
 
+@query("src7_read_documents", "SELECT source AS unit_id, md5(text) AS digest, count(*) AS copies FROM documents GROUP BY 1, 2")
+def read_documents(t):
+    root = _folder(t, "corpus")
+    docs = t.docs.select("unit_id", F.lit("text").alias("folder"), "text")
+    docs.write.option("maxRecordsPerFile", 1).partitionBy("unit_id", "folder").text(root)
+    # the text sink ends each file with one line feed
+    body = F.expr("substring(text, 1, length(text) - 1)")
+    return R.read_documents(t.spark, root).groupBy("unit_id", F.md5(body).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("src8_read_draws", f"SELECT submission_id, unit_id, count(*) AS n, max(draw) AS last_draw, {rd('sum(value)', 1)} AS total FROM draws GROUP BY 1, 2")
 def read_draws(t):
     root = _submission_tree(t)

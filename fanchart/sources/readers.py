@@ -224,7 +224,7 @@ def read_corpus_index(spark: SparkSession, root: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """``(unit_id, path, text)``: whole texts, undecodable bytes replaced."""
-    pattern = r"/([^/]+)/text/(.+)$"
+    pattern = rf"/{DIR}/(?:[^/=]+=)?text/(.+)$"
     files = _binary(spark, root, "*")
     return files.where(
         F.col("path").rlike(pattern) & ~F.col("path").endswith("/corpus_index.json")
