@@ -8,9 +8,13 @@ range by range and shifted by the size of the lower ranges, which gives the same
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanchart.sources.materialize import materialized
+
 #: Above this many rows a group is ranked in slices.
 SPLIT_ABOVE = 2_000_000
 
@@ -28,12 +32,13 @@ def ranked(df: DataFrame, keys: list[str], value: str = "value", carry: list[str
         return _windowed(df, keys, value, carry)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     hot = sizes.where(F.col("_m") > split_above)
-    if hot.isEmpty():
+    hot_rows = hot.agg(F.sum("_m")).first()[0]
+    if not hot_rows:
         return _windowed(df, keys, value, carry)
-    cold_rows = df.join(hot.select(*keys), keys, "left_anti")
-    hot_rows = df.join(hot, keys)
-    return _windowed(cold_rows, keys, value, carry).unionByName(
-        _sliced(hot_rows, keys, value, carry, split_above)
+    cold = df.join(hot.select(*keys), keys, "left_anti")
+    slices = math.ceil(hot_rows / split_above) + 1
+    return _windowed(cold, keys, value, carry).unionByName(
+        _sliced(df.join(hot, keys), keys, value, carry, slices)
     )
 
 
@@ -47,18 +52,16 @@ def _windowed(df: DataFrame, keys: list[str], value: str, carry: list[str]) -> D
     return rows.select(*keys, "value", *carry, F.lit(1).cast("long").alias("n"), "lo", F.col("lo").alias("hi"), "m")
 
 
-def _sliced(rows: DataFrame, keys: list[str], value: str, carry: list[str], size: int) -> DataFrame:
+def _sliced(rows: DataFrame, keys: list[str], value: str, carry: list[str], slices: int) -> DataFrame:
     # equal values first: a single repeated value must not fill a slice
     distinct = rows.groupBy(*keys, F.col(value).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.max("_m").alias("m"), *[F.first(c).alias(c) for c in carry]
     )
-    cuts = F.percentile_approx(
-        "value", F.array(*[F.lit(i / 64.0) for i in range(1, 64)]), F.lit(1000)
+    # contiguous value ranges of even size; written once so that both readers see the same slices
+    sliced = materialized(
+        distinct.repartitionByRange(slices, *keys, "value").withColumn("_slice", F.spark_partition_id()),
+        "rank-slices",
     )
-    splits = distinct.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
-    sliced = distinct.join(splits, keys).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("value")))
-    ).drop("_cuts")
     within = Window.partitionBy(*keys, "_slice").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0
     )

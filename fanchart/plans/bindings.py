@@ -512,5 +512,17 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def _quote(sql: str) -> str:
-    """``asof`` is a keyword of the checking engine."""
-    return re.sub(r"\basof\b", '"asof"', sql)
+    """``asof`` is a keyword of the checking engine, and its ``count_if`` is no BIGINT."""
+    return re.sub(r"\basof\b", '"asof"', _filtered_counts(sql))
+
+
+def _filtered_counts(sql: str) -> str:
+    """``count_if(x)`` spelled ``count(*) FILTER (WHERE x)``."""
+    head, found, tail = sql.partition("count_if(")
+    if not found:
+        return sql
+    depth, end = 1, 0
+    while depth:
+        depth += {"(": 1, ")": -1}.get(tail[end], 0)
+        end += 1
+    return f"{head}count(*) FILTER (WHERE {tail[: end - 1]}){_filtered_counts(tail[end:])}"

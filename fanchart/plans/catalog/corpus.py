@@ -46,7 +46,7 @@ def truncate(t):
 
 _CONTEXT = {
     **_KEPT,
-    "lang_stats": "SELECT source AS unit_id, lang AS asset, avg(n_chars) AS last, stddev_samp(n_chars) AS sd_h FROM documents WHERE lang IN ('de', 'en') GROUP BY 1, 2",
+    "lang_stats": "SELECT source AS unit_id, lang AS asset, avg(n_chars) AS last, coalesce(stddev_samp(n_chars), CAST(0 AS DOUBLE)) AS sd_h FROM documents WHERE lang IN ('de', 'en') GROUP BY 1, 2",
     "asset_lines": "SELECT unit_id, string_agg(printf('  %s: level %.6f, horizon sd %.6f', asset, last, sd_h), chr(10) ORDER BY asset) AS a FROM lang_stats GROUP BY 1",
     "doc_lines": "SELECT unit_id, count(*) AS n, string_agg('--- ' || doc_id || ' (' || timestamp || ', ' || doc_type || ') ---' || chr(10) || substr(text, 1, 6000), chr(10) ORDER BY rank) AS d FROM ranked_docs WHERE rank <= 8 GROUP BY 1",
 }
@@ -59,7 +59,7 @@ def context_pack(t):
         "unit_id", "asof", F.lit("level").alias("target_type"), F.array(F.lit("de"), F.lit("en")).alias("asset_ids"), F.array(F.lit(5), F.lit(21)).alias("horizons")
     )
     stats = t.read("documents").where(F.col("lang").isin("de", "en")).groupBy(F.col("source").alias("unit_id"), F.col("lang").alias("asset")).agg(
-        F.avg("n_chars").alias("last"), F.stddev_samp("n_chars").alias("sd_h")
+        F.avg("n_chars").alias("last"), F.coalesce(F.stddev_samp("n_chars"), F.lit(0.0)).alias("sd_h")
     )
     packed = X.context_pack(X.newest_k(_kept(t)[0])[0], stats, units)
     return packed.select("unit_id", F.length("context").cast("long").alias("chars"), F.md5("context").alias("digest"))

@@ -123,7 +123,7 @@ def file_set(t):
 
 @query(
     "qc2_size_limits",
-    "SELECT submission_id, unit_id, code, observed, expected FROM (SELECT *, CASE WHEN bytes > 67108864 THEN 'malformed_output' WHEN cols > 8 THEN 'schema_invalid' WHEN rows_ > 5000000 THEN 'malformed_output' END AS code, "
+    "SELECT submission_id, unit_id, code, observed, CAST(expected AS BIGINT) AS expected FROM (SELECT *, CASE WHEN bytes > 67108864 THEN 'malformed_output' WHEN cols > 8 THEN 'schema_invalid' WHEN rows_ > 5000000 THEN 'malformed_output' END AS code, "
     "CASE WHEN bytes > 67108864 THEN bytes WHEN cols > 8 THEN cols WHEN rows_ > 5000000 THEN rows_ END AS observed, CASE WHEN bytes > 67108864 THEN 67108864 WHEN cols > 8 THEN 8 WHEN rows_ > 5000000 THEN 5000000 END AS expected FROM "
     "(SELECT submission_id, unit_id, count(*) * 6000 AS bytes, count(*) * 500 AS rows_, CAST(CASE WHEN unit_id LIKE 'F1%' THEN 9 ELSE 4 END AS BIGINT) AS cols FROM draws GROUP BY 1, 2)) WHERE code IS NOT NULL",
 )
@@ -429,7 +429,7 @@ def disclosures(t):
 
 @query(
     "qc35_egress_audit",
-    "SELECT 'run' AS submission_id, lang AS unit_id, count(*) AS connections, sum(bytes) AS bytes, count(DISTINCT domain) AS domains FROM (SELECT regexp_extract(url, '^https?://[^/]+/([^/?]+)', 1) AS lang, regexp_extract(url, '^https?://([^/]+)', 1) AS domain, CAST(length(html) AS BIGINT) AS bytes FROM pages) "
+    "SELECT 'run' AS submission_id, lang AS unit_id, count(*) AS connections, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT domain) AS domains FROM (SELECT regexp_extract(url, '^https?://[^/]+/([^/?]+)', 1) AS lang, regexp_extract(url, '^https?://([^/]+)', 1) AS domain, CAST(length(html) AS BIGINT) AS bytes FROM pages) "
     "WHERE domain NOT IN (SELECT domain FROM allowed) GROUP BY 2",
     {"allowed": "SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS domain FROM pages WHERE length(url) % 3 = 0"},
 )

@@ -72,7 +72,7 @@ def anchor(t):
     return rounded(t.anchors.select("unit_id", "asset", "last", text("last_date")))
 
 
-@query("pan6_first_diff", f"SELECT unit_id, asset, count(*) AS n, sum(step) AS days, {rd('sum(abs(diff))', 3)} AS moved FROM raw_diffs GROUP BY 1, 2")
+@query("pan6_first_diff", f"SELECT unit_id, asset, count(*) AS n, CAST(sum(step) AS BIGINT) AS days, {rd('sum(abs(diff))', 3)} AS moved FROM raw_diffs GROUP BY 1, 2")
 def first_diff(t):
     return P.first_diff(t.cut).groupBy("unit_id", "asset").agg(
         F.count(F.lit(1)).alias("n"), F.sum("step").alias("days"), F.round(F.sum(F.abs("diff")), 3).alias("moved")
@@ -300,7 +300,7 @@ def implied_move_rank(t):
 
 @query(
     "pan26_deoverlap",
-    f"SELECT asset, count(*) AS n, max(episode) AS episodes, {rd('sum(change)', 2)} AS total FROM (SELECT *, sum(flag) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS episode FROM "
+    f"SELECT asset, count(*) AS n, CAST(max(episode) AS BIGINT) AS episodes, {rd('sum(change)', 2)} AS total FROM (SELECT *, sum(flag) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS episode FROM "
     "(SELECT asset, date, change, row_number() OVER w AS rn, CASE WHEN date_diff('day', lag(date) OVER w, date) > 3 THEN 1 ELSE 0 END AS flag FROM big WINDOW w AS (PARTITION BY asset ORDER BY date))) WHERE (rn - 1) % 5 = 0 GROUP BY 1",
     {
         "och": "SELECT * FROM (SELECT asset, date, value - lag(value, 5) OVER (PARTITION BY asset ORDER BY date) AS change FROM panel_holey) WHERE change IS NOT NULL",

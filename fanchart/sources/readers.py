@@ -333,7 +333,7 @@ def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None,
 
 def read_draws_table(spark: SparkSession, path: str) -> DataFrame:
     """The partitioned table written by ``write_draws``: a native scan, pruned by unit."""
-    return spark.read.schema(C.DRAWS_SCHEMA).parquet(path)
+    return spark.read.schema(C.DRAWS_SCHEMA).parquet(path).select(*C.DRAWS_SCHEMA.fieldNames())
 
 
 def parse_meta(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
