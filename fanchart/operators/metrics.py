@@ -110,17 +110,23 @@ TAIL_METRICS: dict[str, Callable[..., Column]] = {
 
 
 def select_tail(cells: DataFrame, units: DataFrame, levels: tuple[float, ...] | list[float]) -> DataFrame:
-    """Every registered tail metric in one pass, then each unit's own choice."""
-    scored = level_scores(cells, levels).groupBy(*UNIT_KEYS).agg(
-        *[build().alias(f"_{name}") for name, build in TAIL_METRICS.items()]
-    )
+    """Every registered tail metric in one pass, then each unit's own choice.
+
+    ``levels`` is the union of what units ask for; a unit with its own ``tail_levels`` is scored on
+    those alone.
+    """
+    own = F.col("tail_levels") if "tail_levels" in units.columns else F.lit(None).cast("array<double>")
     wanted = units.select(
-        "unit_id", F.coalesce("tail_metric", F.lit(DEFAULT_TAIL_METRIC)).alias("tail_metric")
+        "unit_id", F.coalesce("tail_metric", F.lit(DEFAULT_TAIL_METRIC)).alias("tail_metric"), own.alias("_own")
+    )
+    asked = F.col("_own").isNull() | F.array_contains("_own", F.col("level"))
+    scored = level_scores(cells, levels).join(wanted, "unit_id").where(asked).groupBy(*UNIT_KEYS, "tail_metric").agg(
+        *[build().alias(f"_{name}") for name, build in TAIL_METRICS.items()]
     )
     choice = F.coalesce(
         *[F.when(F.col("tail_metric") == n, F.col(f"_{n}")) for n in TAIL_METRICS]
     )
-    return scored.join(wanted, "unit_id").select(*UNIT_KEYS, "tail_metric", choice.alias("tail"))
+    return scored.select(*UNIT_KEYS, "tail_metric", choice.alias("tail"))
 
 
 def variogram(draws: DataFrame, realized: DataFrame, p: float = 0.5, pair_weight: float = 2.0,
@@ -238,14 +244,22 @@ def joint_scores(draws: DataFrame, realized: DataFrame, units: DataFrame,
     return out
 
 
-def metric_faults(units: DataFrame) -> DataFrame:
-    """Units asking for a tail or joint metric nobody registered."""
+def metric_faults(units: DataFrame, levels: tuple[float, ...] | list[float] | None = None,
+                  joint: tuple[str, ...] | None = None) -> DataFrame:
+    """Units asking for a metric nobody registered, or for one this run does not compute."""
     tail = F.coalesce("tail_metric", F.lit(DEFAULT_TAIL_METRIC))
-    joint = F.coalesce("joint", F.lit(DEFAULT_JOINT))
-    bad_tail, bad_joint = ~tail.isin(*TAIL_METRICS), ~joint.isin(*JOINT_METRICS)
-    return units.where(bad_tail | bad_joint).select(
-        "unit_id", F.when(bad_tail, "unknown tail metric").otherwise("unknown joint metric").alias("fault")
-    )
+    name = F.coalesce("joint", F.lit(DEFAULT_JOINT))
+    uncomputed = F.lit(False)
+    if levels is not None and "tail_levels" in units.columns:
+        known = F.array(*[F.lit(float(a)) for a in levels])
+        uncomputed = F.coalesce(F.size(F.array_except("tail_levels", known)) > 0, F.lit(False))
+    fault = (
+        F.when(~tail.isin(*TAIL_METRICS), "unknown tail metric")
+        .when(~name.isin(*JOINT_METRICS), "unknown joint metric")
+        .when(~name.isin(*(joint or JOINT_METRICS)), "joint metric not computed")
+        .when(uncomputed, "tail level not computed")
+    )
+    return units.select("unit_id", fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
 def renorm_weights(units: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from fanchart.operators import panel as P
 class Evaluation:
     """Lazy tables of one evaluation."""
 
+    organizer_faults: DataFrame
     refusals: DataFrame
     payload: DataFrame
     faults: DataFrame
@@ -27,21 +28,42 @@ class Evaluation:
     aggregates: DataFrame
 
 
+def organizer_faults(units: DataFrame, realized: DataFrame, scale: DataFrame, roster: DataFrame,
+                     levels: tuple[float, ...], joint: tuple[str, ...]) -> DataFrame:
+    """``(unit_id, fault)`` of everything that must stop the evaluation before any score counts."""
+    cells = P.grid(units)
+    broken = G.realized_exact(realized, cells).select("unit_id", F.lit("outcomes do not fill the grid").alias("fault"))
+    absent = M.unscored(units, realized, roster).where("fault").select("unit_id", F.lit("no outcome").alias("fault"))
+    unscaled = units.select("unit_id").join(scale.where("marginal > 0 AND tail > 0").select("unit_id"), "unit_id", "left_anti")
+    parts = [
+        G.grid_valid(units), M.metric_faults(units, levels, joint), broken, absent,
+        unscaled.select("unit_id", F.lit("no usable scale").alias("fault")),
+    ]
+    if "target_dates" in units.columns:
+        parts.append(G.declared_cutoff(units))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def score_submissions(tables: dict[str, DataFrame], realized: DataFrame, scale: DataFrame, roster: DataFrame,
                       levels: tuple[float, ...] = C.DEFAULT_TAIL_LEVELS, joint: tuple[str, ...] = ("variogram",)) -> Evaluation:
     """Gates, metrics and roster aggregation for every submission in one plan.
 
-    Refused (submission, unit) keys leave the draws before any metric runs, so what is ranked is
+    Call ``raise_on_faults`` on ``organizer_faults`` and ``faults`` before publishing. Refused
+    (submission, unit) keys leave the draws before any metric runs, so what is ranked is
     bounded by the contract (at most 20,000 draws per cell).
     """
     units = tables["units"]
+    stop = organizer_faults(units, realized, scale, roster, levels, joint)
     refusals = G.run_ladder(tables)
     clean = tables["draws"].join(refusals.select(*UNIT_KEYS), UNIT_KEYS, "left_anti")
     comps = M.components(clean, realized, units, levels, joint)
     scored = M.composite(comps, units, scale)
     payload, faults = M.score_payload(scored, "ref_scale", "plan")
     rows = A.to_rows(payload, refusals)
-    return Evaluation(refusals, payload, faults, rows, A.leaderboard(A.roster_mean(rows, roster)))
+    return Evaluation(stop, refusals, payload, faults, rows, A.leaderboard(A.roster_mean(rows, roster)))
 
 
 def baseline_draws(panel: DataFrame, units: DataFrame, n_draws: int = C.DEFAULT_DRAWS, seed: int = 0) -> DataFrame:

@@ -169,6 +169,16 @@ def test_missing_scale_and_unknown_metrics_are_faults(spark, case):
     assert M.metric_faults(units).count() == 0
 
 
+def test_units_are_scored_on_their_own_levels(spark, case):
+    _, _, draws, realized = case
+    cells = M.cell_statistics(draws, realized, LEVELS)
+    own = unit_table(spark).withColumn("tail_levels", F.array(F.lit(0.05), F.lit(0.95)))
+    pair = M.cell_statistics(draws, realized, (0.05, 0.95))
+    assert M.select_tail(cells, own, LEVELS).first().tail == pytest.approx(M.tail_pinball(pair, (0.05, 0.95)).first().tail, abs=1e-12)
+    assert M.metric_faults(own, (0.05,)).first().fault == "tail level not computed"
+    assert M.metric_faults(unit_table(spark, joint="energy"), LEVELS, ("variogram",)).first().fault == "joint metric not computed"
+
+
 def test_unscored_units_are_faults_only_on_the_roster(spark):
     units = spark.createDataFrame([("u",), ("v",), ("w",)], "unit_id string")
     realized = spark.createDataFrame([("w", 1.0)], "unit_id string, value double")

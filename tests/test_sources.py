@@ -186,7 +186,12 @@ def test_the_whole_evaluation(spark, tree, submissions):
         ("mixed", one): "schema_invalid", ("mixed", two): "malformed_output", ("typed", two): "schema_invalid",
         ("words", one): "schema_invalid", ("words", two): "malformed_output", ("blank", one): "schema_invalid", ("blank", two): "schema_invalid",
     }
-    assert ev.faults.count() == 0
+    assert ev.faults.count() == 0 and ev.organizer_faults.count() == 0
+    stopped = score_submissions(t, realized.where("unit_id = 'unit-one'"), scale, units, levels=(0.01, 0.05, 0.95)).organizer_faults
+    assert {(r.unit_id, r.fault) for r in stopped.collect()} == {
+        ("unit-two", "outcomes do not fill the grid"), ("unit-two", "no outcome"),
+        ("unit-one", "tail level not computed"), ("unit-two", "tail level not computed"),
+    }
     payload = {(r.submission_id, r.unit_id): r.score for r in ev.payload.collect()}
     assert set(payload) == {("clean", one), ("clean", two), ("typed", one)}
     assert payload["clean", one] == payload["typed", one]
