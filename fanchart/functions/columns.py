@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,19 +36,6 @@ def clamp(c: str | Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
 
 
-def count_if(cond: Column) -> Column:
-    """Count of rows where ``cond`` holds; 0 on no rows."""
-    return F.count_if(cond)
-
-
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)
-
-
-def same_grid(cols: list[str]) -> list[Column]:
-    return [F.col(c) for c in cols]
-
-
 def pinball(y: Column, q: Column, level: Column) -> Column:
     """Quantile loss; the tie ``y == q`` costs nothing on either branch."""
     return F.when(y >= q, level * (y - q)).otherwise((F.lit(1.0) - level) * (q - y))

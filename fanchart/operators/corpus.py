@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanchart.contract import MAX_DOC_CHARS, MAX_DOCS
-from fanchart.functions.columns import is_iso
 
 WORDS = r"[^\s]+"
 
@@ -174,7 +173,3 @@ def positioning_table(docs: DataFrame) -> DataFrame:
         *[F.regexp_extract("line", row, i + 2).cast("bigint").alias(n) for i, n in enumerate(names)],
     )
 
-
-def dated(index: DataFrame) -> DataFrame:
-    """Index rows with a usable ISO timestamp."""
-    return index.where(is_iso(F.substring(F.col("timestamp").cast("string"), 1, 10)))
