@@ -1,12 +1,13 @@
 """Cut a plan that several readers share by writing it once.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; a local session that names none
-gets a temporary one. The written table is columnar, so readers keep pruning and push-down, and its
-known size lets Catalyst decide about broadcasts.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session that names none gets a
+temporary one; on a cluster each executor would write to its own disk, so there the call stops. The written table
+is columnar, so readers keep pruning and push-down, and its known size lets Catalyst decide about broadcasts.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

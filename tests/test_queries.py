@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fanchart.plans import registry
 from tools.check_queries import TABLES, key, plain
 
 SMALL = "/root/testdata/sf0.001"
@@ -22,12 +23,12 @@ LIGHT = [
 
 
 def test_every_operator_has_a_query():
-    names = {n.split("_")[0] for n in entry.queries()}
+    names = {n.split("_")[0] for n in registry.load()}
     assert set(INVENTORY) == names
 
 
 def test_only_the_quadratic_history_lacks_a_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"met3_energy_history"}
+    assert set(registry.load()) - set(entry.oracle_sql()) == {"met3_energy_history"}
 
 
 @pytest.fixture(scope="module")
