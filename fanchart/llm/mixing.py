@@ -9,7 +9,7 @@ documents; sums per range give each range its offset, and only rows inside one r
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source, ordered last; a
 null or non-positive weight counts as 1; repeated rows are documents of their own that share a key (ties go to
-the smaller size); an empty table gives no rows. Only ``doc_id``, ``source``, ``text`` and ``weight`` are read.
+the smaller size); an empty table gives no rows. Only ``doc_id``, ``source``, ``text`` and the labels' ``quality`` are read.
 """
 
 from __future__ import annotations
@@ -57,9 +57,9 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS)
 
 
 def mix(docs: DataFrame, *, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``docs`` (doc_id, source, text, weight) -> doc_id, source, size, source_size, target, copies, taken."""
+    """``docs`` (doc_id, source, size, weight) -> doc_id, source, size, source_size, target, copies, taken."""
     weight = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
-    sized = materialized(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), weight.alias("w")), "mix-sized")
+    sized = materialized(docs.select("doc_id", "source", "size", weight.alias("w")), "mix-sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), cycle, max_epochs)
     s = targets.withColumnRenamed("source", "of")
     keyed = sized.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w"))
@@ -86,12 +86,13 @@ def label_weight(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).select("doc_id", F.expr("CASE WHEN q = 1 THEN 2.0D WHEN q = 0 THEN 0.5D ELSE 1.0D END").alias("weight"))
 
 
-def with_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", "text").join(label_weight(labels), "doc_id", "left")
+def sized_with_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, size, weight): words are counted before anything is shuffled, so no text is."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).join(label_weight(labels), "doc_id", "left")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(with_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    out = mix(sized_with_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
