@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanchart.llm import bpe, lines, links, mixing, near_dup, token_count
+from fanchart.llm import bit_sliced, bpe, graph_search, lines, links, mixing, near_dup, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_near_dup": near_dup.op2_near_dup,
+    "op3_ann": graph_search.op3_ann,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_count.op5_token_counts,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_exact_topk": bit_sliced.op7_exact_topk,
     "op8_url_filters": links.op8_url_filters,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL: dict[str, str] = {"op6_line_dedup": lines.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_line_dedup": lines.SQL, "op7_exact_topk": bit_sliced.SQL, "op10_mixing": mixing.SQL}
