@@ -173,16 +173,16 @@ def _keep(batch: pa.RecordBatch, min_chars: int) -> dict:
         n_lines.append(len(lines))
         n_dropped.append(len(lines) - len(left))
         kept.append("\n".join(left))
-    return {"row": batch["row"], "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(kept, pa.string())}
+    return {"row": batch["row"], "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(kept, pa.string()), "no_text": batch["text"].is_null()}
 
 
 def line_dedup(docs: DataFrame, carry: list[str] | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per row of ``docs``: row (struct of doc_id and the carried columns), n_lines, n_dropped, kept (text)."""
+    """One row per row of ``docs``: row (struct of doc_id and the carried columns), n_lines, n_dropped, kept (text), no_text (it was null)."""
     gone = dropped_keys(docs, min_chars, min_docs)
-    packed = docs.select(F.struct(*dict.fromkeys(["doc_id", *(carry or [])])).alias("row"), "text", F.col("doc_id").alias("at"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", *(carry or [])])]).alias("row"), "text", F.col("doc_id").alias("at"))
     joined = packed.join(gone, F.col("at") == F.col("of"), "left").select("row", "text", "keys")
     kind = joined.schema["row"].dataType.simpleString()
-    return map_rows(joined, _keep, f"row {kind}, n_lines long, n_dropped long, kept string", min_chars)
+    return map_rows(joined, _keep, f"row {kind}, n_lines long, n_dropped long, kept string, no_text boolean", min_chars)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

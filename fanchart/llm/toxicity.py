@@ -172,18 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     return Model(idf, [(r.doc_id, r.toxic, np.array(r.terms, np.int32), np.array(r.weights)) for r in rows])
 
 
-def _score(batch: pa.RecordBatch, model, k: int) -> dict:
+def _score(batch: pa.RecordBatch, model, k: int, keep_text: bool) -> dict:
     m = model.value
     found = [m.score(t, k) for t in batch["text"].to_pylist()]
-    return {"row": batch["row"], "score": pa.array([s for s, _, _ in found], pa.float64()), "evidence_id": pa.array([e for _, e, _ in found], pa.int64()), "evidence_cosine": pa.array([c for _, _, c in found], pa.float64())}
+    out = {"row": batch["row"], "score": pa.array([s for s, _, _ in found], pa.float64()), "evidence_id": pa.array([e for _, e, _ in found], pa.int64()), "evidence_cosine": pa.array([c for _, _, c in found], pa.float64())}
+    return out | {"text": batch["text"]} if keep_text else out
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] | None = None, k: int = NEIGHBOURS) -> DataFrame:
-    """row (struct of doc_id and the carried columns), score, evidence_id, evidence_cosine; one row per row."""
-    packed = docs.select(F.struct(*dict.fromkeys(["doc_id", *(carry or [])])).alias("row"), "text")
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None, k: int = NEIGHBOURS, keep_text: bool = False) -> DataFrame:
+    """row (struct of doc_id and the carried columns), score, evidence_id, evidence_cosine, if asked for text; one row per row."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", *(carry or [])])]).alias("row"), "text")
     kind = packed.schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_rows(packed, _score, f"row {kind}, score double, evidence_id long, evidence_cosine double", shared, k)
+    schema = f"row {kind}, score double, evidence_id long, evidence_cosine double" + ", text string" * keep_text
+    return map_rows(packed, _score, schema, shared, k, keep_text)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
