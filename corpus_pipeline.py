@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanchart.llm import bpe, lines, mixing, near_dup, toxicity
@@ -55,14 +55,14 @@ def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.digests(docs, bpe.vocabulary())
 
 
-def _columns(out: DataFrame, docs: DataFrame, text, changed=F.lit(False)) -> DataFrame:
+def _columns(out: DataFrame, docs: DataFrame, text: Column, changed: Column | None = None) -> DataFrame:
     """The columns of ``docs`` from a carried row and the new text."""
     made = []
     for c in docs.columns:
         if c == "text":
             made.append(text.alias(c))
         elif c == "n_chars":
-            made.append(F.when(changed, F.length(text)).otherwise(F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c))
+            made.append(F.when(F.lit(False) if changed is None else changed, F.length(text)).otherwise(F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c))
         else:
             made.append(F.col(f"row.`{c}`").alias(c))
     return out.select(*made)
