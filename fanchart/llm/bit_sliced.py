@@ -11,7 +11,8 @@ Shards and query blocks are bounded; lists of k per query are merged over the sh
 
 Defined results: vectors that are null, hold null or non-finite components, lack an id or have another length than the
 longest take no part; candidates with a query's own id are left out, so repeated rows of a query are not its answers;
-a repeated query is answered once; an empty table gives no rows. Components are exact up to |256 x| < 2**26.
+a repeated query is answered once (of different vectors under one id the least asks), repeated
+candidate rows are found as often; an empty table gives no rows. Components are exact up to |256 x| < 2**26.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def _search(key: tuple[pa.Scalar, ...], rows: pa.Table, queries: pa.Table) -> pa
 def exact_search(vectors: DataFrame, every: int) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score; queries are the ids divisible by ``every``."""
     v = usable(vectors).select("vec_id", F.transform("embedding", lambda x: F.floor(x * float(SCALE)).cast("long")).alias("q"))
-    asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.first("q").alias("q"))
+    asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
     v, asked = materialized(v, "sliced-rows"), materialized(asked, "sliced-queries")
     shards, parts = blocks(v, SHARD_ROWS), blocks(asked, QUERY_BLOCK)
     rows = to_all(in_blocks(v, "shard", shards), "part", parts).groupBy("shard", "part")

@@ -12,7 +12,7 @@ precision. All vectors are indexed; shards and query blocks are bounded, lists p
 
 Defined results: null and zero vectors, vectors with null or non-finite components or of another length than the
 longest, and rows without id take no part; candidates with a query's own id are left out; a repeated query is answered
-once, a repeated candidate row is found once; ties go to the smaller id; an empty table gives no rows.
+once (of different vectors under one id the least asks), repeated candidate rows are found as often; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,8 +176,9 @@ def search_shard(x: np.ndarray, ids: np.ndarray, edges: np.ndarray, starts: np.n
     node, _ = beam(lengthened(distinct), edges, starts, target, min(max(LIST, k + 1), len(distinct)), WIDTH)
     r, c = np.nonzero(node < len(distinct))
     hit = node[r, c]
-    # a node's smallest ids stand for all that could be among the k best; one more for the query's own
-    count = np.minimum(start[hit + 1] - start[hit], k + 1)
+    # a node's smallest ids stand for all that could be among the k best, besides the rows of the query's own id
+    own = int(np.unique(ids, return_counts=True)[1].max())
+    count = np.minimum(start[hit + 1] - start[hit], k + own)
     r, row = np.repeat(r, count), np.repeat(start[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     return r, ids[row], np.einsum("ij,ij->i", q[r], x[row])
 
@@ -198,8 +199,8 @@ def _search(key: tuple[pa.Scalar, ...], graphs: pa.Table, queries: pa.Table) ->
 
 def neighbours(vectors: DataFrame, every: int) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score; queries are the ids divisible by ``every``."""
-    v = materialized(usable(vectors, nonzero=True).groupBy("vec_id").agg(F.first("embedding").alias("embedding")), "graph-vectors")
-    asked = v.where(F.col("vec_id") % every == 0)
+    v = materialized(usable(vectors, nonzero=True), "graph-vectors")
+    asked = materialized(v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "graph-queries")
     shards, parts = blocks(v, SHARD_ROWS), blocks(asked, QUERY_BLOCK)
     graphs = materialized(in_blocks(v, "shard", shards).groupBy("shard").applyInArrow(_build, GRAPH), "graphs")
     left = to_all(graphs, "part", parts).groupBy("shard", "part")

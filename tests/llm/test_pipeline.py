@@ -22,8 +22,7 @@ def corpus(spark, tmp_path_factory):
     toxic, labels = toxic_rows(300)
     shared = "this line is long enough and stands in many of the documents"
     near = [(2000 + d, t + f"\n{shared}", lang, f"s{d % 4}", len(t)) for d, t, lang, _, _ in families(3, 60)]
-    rows = toxic + near + [r for r in edge.ROWS[3:] if r[0] is None or r[0] > 2][:3]
-    rows = [r if r[0] is not None else r for r in rows]
+    rows = toxic + near + [(9000 + r[0], *r[1:]) for r in edge.ROWS[3:6]] + [r for r in edge.ROWS if r[0] is None]
     spark.createDataFrame(rows, edge.SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return rows, {i: y for i, _, y in labels}, str(folder)
