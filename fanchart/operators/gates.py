@@ -20,6 +20,11 @@ from fanchart.sources.materialize import materialized
 
 GATES = ("g0_integrity", "g1_schema", "g2_cutoff_resource", "g3_domain_semantics")
 REFUSAL_COLUMNS = [*UNIT_KEYS, "gate", "check_no", "code", "counts"]
+#: The order in which checks decide.
+CHECK = {name: i for i, name in enumerate((
+    "file_set", "size_limits", "meta_errors", "meta_schema", "rationale_file", "rationale_bit", "bind_meta", "declared_grid", "readable",
+    "footer_limits", "draw_range", "row_count", "column_set", "draw_ids", "labels_in_grid", "finite_values", "exactly_once", "unproven",
+), 1)}
 
 
 class OrganizerFault(RuntimeError):
@@ -49,62 +54,74 @@ def refusal(rows: DataFrame, bad: Column, gate: str, check_no: int, code: str |
 # ---- g0: file set and sizes ------------------------------------------------------------------
 
 def file_set(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """Exactly the three expected files. ``files`` is ``(U, name, length)``, ``expected`` lists U.
+    """No entry beyond the three expected files, and the draws and the sidecar among them.
 
-    Counts come from flags summed per submission; no file listing is gathered.
+    ``files`` is ``(U, name, length)``, ``expected`` lists U. The rationale's absence belongs to the schema gate
+    (:func:`rationale_file`). Counts come from flags summed per submission; no file listing is gathered.
     """
     known = F.col("name").isin(*C.SUBMISSION_FILES)
+    needed = C.SUBMISSION_FILES[:2]
     seen = files.groupBy(*UNIT_KEYS).agg(
         F.count_if(~known).alias("extra"),
-        *[F.count_if(F.col("name") == n).alias(f"has_{i}") for i, n in enumerate(C.SUBMISSION_FILES)],
+        *[F.count_if(F.col("name") == n).alias(f"has_{i}") for i, n in enumerate(needed)],
     )
     rows = expected.select(*UNIT_KEYS).join(seen, UNIT_KEYS, "left")
-    present = sum((F.least(F.coalesce(f"has_{i}", F.lit(0)), F.lit(1)) for i in range(3)), F.lit(0))
+    present = sum((F.least(F.coalesce(f"has_{i}", F.lit(0)), F.lit(1)) for i in range(len(needed))), F.lit(0))
     extra = F.coalesce("extra", F.lit(0))
     code = F.when(extra > 0, "schema_invalid").otherwise("no_output")
     return refusal(
-        rows, (extra > 0) | (present < 3), GATES[0], 1, code,
-        extra_count=extra, missing_count=F.lit(3) - present, expected_count=3,
+        rows, (extra > 0) | (present < len(needed)), GATES[0], CHECK["file_set"], code,
+        extra_count=extra, missing_count=F.lit(len(needed)) - present, expected_count=len(C.SUBMISSION_FILES),
     )
 
 
-def size_limits(facts: DataFrame) -> DataFrame:
-    """Ceilings on bytes, row groups, columns, rows and decompressed size, cheapest first.
+def file_sizes(files: DataFrame) -> DataFrame:
+    """``(U, draws_bytes, meta_bytes, rationale_bytes)`` of the listed files; null where a file is absent."""
+    size = lambda n: F.max(F.when(F.col("name") == n, F.col("length")))
+    names = zip(C.SUBMISSION_FILES, ("draws_bytes", "meta_bytes", "rationale_bytes"))
+    return files.groupBy(*UNIT_KEYS).agg(*[size(n).alias(a) for n, a in names])
 
-    ``facts`` is one row per submission: ``(U, meta_bytes, rationale_bytes, draws_bytes,
-    row_groups, n_columns, n_distinct_columns, n_rows, uncompressed_bytes)``; absent is null.
-    """
-    rules = [
-        ("draws_bytes", C.MAX_DRAWS_FILE_BYTES, "malformed_output"),
-        ("meta_bytes", C.MAX_META_BYTES, "malformed_output"),
-        ("rationale_bytes", C.MAX_RATIONALE_BYTES, "malformed_output"),
-        ("row_groups", C.MAX_ROW_GROUPS, "malformed_output"),
-        ("n_columns", C.MAX_COLUMNS, "schema_invalid"),
-        ("n_rows", C.MAX_ROWS, "malformed_output"),
-    ]
-    hit = F.lit(None).cast("struct<code:string,observed:bigint,expected:bigint>")
-    over = F.when(
-        F.col("uncompressed_bytes") > C.MAX_UNCOMPRESSED_BYTES,
-        F.struct(F.lit("malformed_output").alias("code"), F.col("uncompressed_bytes").cast("long").alias("observed"),
-                 F.lit(C.MAX_UNCOMPRESSED_BYTES).cast("long").alias("expected")),
-    )
-    dup = F.when(
-        F.col("n_distinct_columns") < F.col("n_columns"),
-        F.struct(F.lit("schema_invalid").alias("code"), F.col("n_columns").cast("long").alias("observed"),
-                 F.col("n_distinct_columns").cast("long").alias("expected")),
-    )
-    ordered = [
-        F.when(F.col(c) > limit, F.struct(F.lit(code).alias("code"), F.col(c).cast("long").alias("observed"),
-                                          F.lit(limit).cast("long").alias("expected")))
-        for c, limit, code in rules
+
+def _first_over(facts: DataFrame, rules: list[tuple[Column, Column | int, str]], gate: str, check_no: int) -> DataFrame:
+    """A refusal by the first rule ``(observed, ceiling, code)`` that is exceeded."""
+    hit = [
+        F.when(seen > limit, F.struct(F.lit(code).alias("code"), seen.cast("long").alias("observed"), (F.lit(limit) if isinstance(limit, int) else limit).cast("long").alias("expected")))
+        for seen, limit, code in rules
     ]
-    rows = facts.withColumn("_hit", F.coalesce(*ordered, dup, over, hit))
+    rows = facts.withColumn("_hit", F.coalesce(*hit))
     return refusal(
-        rows, F.col("_hit").isNotNull(), GATES[0], 2, F.col("_hit.code"),
+        rows, F.col("_hit").isNotNull(), gate, check_no, F.col("_hit.code"),
         observed_count=F.col("_hit.observed"), expected_count=F.col("_hit.expected"),
     )
 
 
+def size_limits(sizes: DataFrame) -> DataFrame:
+    """Byte ceilings of the draws file and the sidecar, known from the listing alone."""
+    return _first_over(sizes, [
+        (F.col("draws_bytes"), C.MAX_DRAWS_FILE_BYTES, "malformed_output"),
+        (F.col("meta_bytes"), C.MAX_META_BYTES, "malformed_output"),
+    ], GATES[0], CHECK["size_limits"])
+
+
+def footer_limits(facts: DataFrame) -> DataFrame:
+    """What the draws file says about itself: readable at all, row groups, columns, rows, decompressed size.
+
+    ``facts`` is one row per submission: ``(U, row_groups, n_columns, n_distinct_columns, n_rows,
+    uncompressed_bytes)`` and, where files were opened, ``readable``.
+    """
+    limits = _first_over(facts, [
+        (F.col("row_groups"), C.MAX_ROW_GROUPS, "malformed_output"),
+        (F.col("n_columns"), C.MAX_COLUMNS, "schema_invalid"),
+        (F.col("n_columns"), F.col("n_distinct_columns"), "schema_invalid"),
+        (F.col("n_rows"), C.MAX_ROWS, "malformed_output"),
+        (F.col("uncompressed_bytes"), C.MAX_UNCOMPRESSED_BYTES, "malformed_output"),
+    ], GATES[3], CHECK["footer_limits"])
+    if "readable" not in facts.columns:
+        return limits
+    broken = refusal(facts, F.col("draws_bytes").isNotNull() & ~F.coalesce("readable", F.lit(False)), GATES[3], CHECK["readable"], "malformed_output")
+    return broken.unionByName(limits)
+
+
 # ---- g1: sidecar schema ----------------------------------------------------------------------
 
 def meta_schema(meta: DataFrame) -> DataFrame:
@@ -121,16 +138,23 @@ def meta_schema(meta: DataFrame) -> DataFrame:
     bad = (missing > 0) | (F.coalesce("representation", F.lit("")) != "samples") | ~F.coalesce(
         integer & in_range, F.lit(False)
     )
-    return refusal(
-        meta, bad, GATES[1], 3, "schema_invalid", missing_count=missing,
-        observed_count=F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)), expected_count=C.MIN_DRAWS,
-    )
+    # counts are public for a count out of range only, and that is looked at last
+    only_range = (missing == 0) & (F.col("representation") == "samples") & integer
+    out = refusal(meta, bad, GATES[1], CHECK["meta_schema"], "schema_invalid", observed_count=F.when(only_range, F.greatest(n, F.lit(0))), expected_count=F.when(only_range, C.MIN_DRAWS))
+    return out.withColumn("counts", F.map_filter("counts", lambda k, v: v.isNotNull()))
 
 
 def rationale_bit(rationales: DataFrame) -> DataFrame:
     """``(U, text)``: at least one non-whitespace character; nothing else is read."""
     blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-    return refusal(rationales, blank, GATES[1], 4, "schema_invalid")
+    return refusal(rationales, blank, GATES[1], CHECK["rationale_bit"], "schema_invalid")
+
+
+def rationale_file(sizes: DataFrame) -> DataFrame:
+    """The rationale exists and is not over its ceiling; its content is :func:`rationale_bit`'s."""
+    n = F.col("rationale_bytes")
+    code = F.when(n.isNull(), "no_output").otherwise("malformed_output")
+    return refusal(sizes, n.isNull() | (n > C.MAX_RATIONALE_BYTES), GATES[1], CHECK["rationale_file"], code)
 
 
 # ---- g2: binding and cutoffs -----------------------------------------------------------------
@@ -149,10 +173,8 @@ def bind_meta(meta: DataFrame, units: DataFrame) -> DataFrame:
     other = ~(F.col("declared_unit").eqNullSafe(F.col("unit_id")))
     target = F.col("target").isNotNull() & F.col("want_target").isNotNull() & (F.col("target") != F.col("want_target"))
     code = F.when(unreadable, "schema_invalid").when(late, "cutoff_violation").otherwise("schema_invalid")
-    return refusal(
-        rows, unreadable | late | other | target, GATES[2], 5, code,
-        violation_count=F.when(unreadable, 0).otherwise(1),
-    )
+    out = refusal(rows, unreadable | late | other | target, GATES[2], CHECK["bind_meta"], code, violation_count=F.when(~unreadable, 1))
+    return out.withColumn("counts", F.map_filter("counts", lambda k, v: v.isNotNull()))
 
 
 def declared_cutoff(units: DataFrame) -> DataFrame:
@@ -174,18 +196,21 @@ def declared_grid(meta: DataFrame, units: DataFrame) -> DataFrame:
     axes_missing = F.col("asset_ids").isNull().cast("int") + F.col("horizons").isNull().cast("int")
     empty_s, empty_i = F.array().cast("array<string>"), F.array().cast("array<int>")
     a, h = F.coalesce("asset_ids", empty_s), F.coalesce("horizons", empty_i)
+    # entries that are no integers arrive as nulls
+    worded = F.exists(h, lambda x: x.isNull())
     repeats = (F.size(a) - F.size(F.array_distinct(a))) + (F.size(h) - F.size(F.array_distinct(h)))
     differ = (a != F.col("wa")) | (h != F.col("wh"))
-    lacking = F.size(F.array_except("wa", a)) + F.size(F.array_except("wh", h))
-    extra = F.size(F.array_except(a, F.col("wa"))) + F.size(F.array_except(h, F.col("wh")))
-    by_repeat = repeats > 0
-    zero = F.lit(0)
-    return refusal(
-        rows, (axes_missing > 0) | by_repeat | differ, GATES[3], 7, "schema_invalid",
-        invalid_row_count=repeats,
-        missing_count=F.when(axes_missing > 0, axes_missing).when(by_repeat, zero).otherwise(lacking),
-        extra_count=F.when((axes_missing > 0) | by_repeat, zero).otherwise(extra),
+    lacking = lambda want, got: F.size(F.filter(want, lambda x: ~F.array_contains(got, x)))
+    kind = F.when(axes_missing > 0, "axis").when(worded, "word").when(repeats > 0, "repeat").when(differ, "differ")
+    of = lambda k, n: F.when(kind == k, n)
+    out = refusal(
+        rows, kind.isNotNull(), GATES[3], CHECK["declared_grid"], "schema_invalid",
+        invalid_row_count=F.coalesce(of("word", F.size(h)), of("repeat", repeats)),
+        missing_count=F.coalesce(of("axis", axes_missing), of("differ", lacking(F.col("wa"), a) + lacking(F.col("wh"), h))),
+        extra_count=of("differ", lacking(a, F.col("wa")) + lacking(h, F.col("wh"))),
+        expected_count=of("differ", F.size("wa") + F.size("wh")), observed_count=of("differ", F.size(a) + F.size(h)),
     )
+    return out.withColumn("counts", F.map_filter("counts", lambda k, v: v.isNotNull()))
 
 
 def grid_valid(units: DataFrame) -> DataFrame:
@@ -206,7 +231,7 @@ def column_set(facts: DataFrame) -> DataFrame:
     want = F.array(*[F.lit(c) for c in C.DRAW_COLUMNS])
     missing, extra = F.size(F.array_except(want, "columns")), F.size(F.array_except("columns", want))
     return refusal(
-        facts, (missing > 0) | (extra > 0), GATES[3], 10, "schema_invalid",
+        facts, (missing > 0) | (extra > 0), GATES[3], CHECK["column_set"], "schema_invalid",
         missing_count=missing, extra_count=extra,
     )
 
@@ -222,15 +247,15 @@ def row_facts(draws: DataFrame, meta: DataFrame, units: DataFrame) -> DataFrame:
     cell = [*UNIT_KEYS, "asset", "horizon"]
     bad_draw = F.col("draw").isNull() | (F.col("draw") < 0) | (F.col("draw") >= F.col("n_draws"))
     claims = (
-        draws.withColumn("horizon", F.col("horizon").cast("int")).join(declared, UNIT_KEYS)
-        .groupBy(*cell, "n_draws", "draw")
+        draws.withColumn("horizon", F.col("horizon").cast("int"))
+        .groupBy(*cell, "draw")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("value").isNull()).alias("invalid"),
             F.count_if(F.col("value").isNotNull() & ~is_finite("value")).alias("nonfinite"),
         )
     )
-    cells = claims.groupBy(*cell, "n_draws").agg(
+    cells = claims.join(declared, UNIT_KEYS).groupBy(*cell, "n_draws").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(bad_draw, F.col("n")).otherwise(0)).alias("bad_draws"),
         F.sum("invalid").alias("invalid"), F.sum("nonfinite").alias("nonfinite"),
@@ -254,7 +279,7 @@ def draw_range(meta: DataFrame) -> DataFrame:
     """The declared draw count is inside the contract, independent of the schema gate."""
     n = F.coalesce("n_draws", F.lit(0))
     return refusal(
-        meta, ~n.between(C.MIN_DRAWS, C.MAX_DRAWS), GATES[3], 8, "schema_invalid",
+        meta, ~n.between(C.MIN_DRAWS, C.MAX_DRAWS), GATES[3], CHECK["draw_range"], "schema_invalid",
         observed_count=F.greatest(n, F.lit(0)), expected_count=C.MIN_DRAWS,
     )
 
@@ -262,14 +287,14 @@ def draw_range(meta: DataFrame) -> DataFrame:
 def row_count(facts: DataFrame) -> DataFrame:
     """Rows equal declared draws times cells, exactly."""
     return refusal(
-        facts, F.col("n_rows") != F.col("expected_rows"), GATES[3], 9, "incomplete_output",
+        facts, F.col("n_rows") != F.col("expected_rows"), GATES[3], CHECK["row_count"], "incomplete_output",
         observed_count=F.col("n_rows"), expected_count=F.col("expected_rows"),
     )
 
 
 def draw_ids(facts: DataFrame) -> DataFrame:
     return refusal(
-        facts, F.col("bad_draws") > 0, GATES[3], 11, "schema_invalid",
+        facts, F.col("bad_draws") > 0, GATES[3], CHECK["draw_ids"], "schema_invalid",
         invalid_row_count=F.col("bad_draws"), expected_count=F.col("n_draws"),
     )
 
@@ -277,12 +302,12 @@ def draw_ids(facts: DataFrame) -> DataFrame:
 def labels_in_grid(facts: DataFrame) -> DataFrame:
     """Rows naming an asset, else a horizon, outside the grid."""
     n = F.when(F.col("unknown_assets") > 0, F.col("unknown_assets")).otherwise(F.col("unknown_horizons"))
-    return refusal(facts, n > 0, GATES[3], 12, "schema_invalid", extra_count=n, invalid_row_count=n)
+    return refusal(facts, n > 0, GATES[3], CHECK["labels_in_grid"], "schema_invalid", extra_count=n, invalid_row_count=n)
 
 
 def finite_values(facts: DataFrame) -> DataFrame:
     return refusal(
-        facts, (F.col("invalid") > 0) | (F.col("nonfinite") > 0), GATES[3], 13, "schema_invalid",
+        facts, (F.col("invalid") > 0) | (F.col("nonfinite") > 0), GATES[3], CHECK["finite_values"], "schema_invalid",
         invalid_row_count=F.col("invalid"), nonfinite_count=F.col("nonfinite"),
     )
 
@@ -305,7 +330,7 @@ def exactly_once(facts: DataFrame) -> DataFrame:
     """
     missing = F.col("expected_rows") - F.col("distinct_cells")
     return refusal(
-        facts, (F.col("duplicates") > 0) | (missing > 0), GATES[3], 14, "incomplete_output",
+        facts, (F.col("duplicates") > 0) | (missing > 0), GATES[3], CHECK["exactly_once"], "incomplete_output",
         invalid_row_count=F.col("duplicates"), missing_count=missing, expected_count=F.col("expected_rows"),
     )
 
@@ -407,45 +432,68 @@ def operator_reasons(results: DataFrame) -> DataFrame:
     return label_for(results).select(*UNIT_KEYS, "gate", "code", "label")
 
 
-#: The published ladder: (check number, function over the prepared tables).
-LADDER: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]] = [
-    ("g0_integrity", lambda t: file_set(t["files"], t["expected"])),
-    ("g0_integrity", lambda t: size_limits(t["file_facts"])),
-    ("g0_integrity", lambda t: t["meta_errors"]),
-    ("g1_schema", lambda t: meta_schema(t["meta"])),
-    ("g1_schema", lambda t: rationale_bit(t["rationales"])),
-    ("g2_cutoff_resource", lambda t: bind_meta(t["meta"], t["units"])),
-    ("g3_domain_semantics", lambda t: declared_grid(t["meta"], t["units"])),
-    ("g3_domain_semantics", lambda t: draw_range(t["meta"])),
-    ("g3_domain_semantics", lambda t: column_set(t["file_facts"].where(F.col("columns").isNotNull()))),
-    ("g3_domain_semantics", lambda t: row_count(t["row_facts"])),
-    ("g3_domain_semantics", lambda t: draw_ids(t["row_facts"])),
-    ("g3_domain_semantics", lambda t: labels_in_grid(t["row_facts"])),
-    ("g3_domain_semantics", lambda t: finite_values(t["row_facts"])),
-    ("g3_domain_semantics", lambda t: exactly_once(t["row_facts"])),
+def footer_rows(facts: DataFrame, meta: DataFrame, units: DataFrame) -> DataFrame:
+    """``(U, n_rows, expected_rows)``: the footer's count against declared draws times cells, before any row is decoded."""
+    cells = units.select("unit_id", (F.size("asset_ids") * F.size("horizons")).cast("long").alias("_cells"))
+    rows = facts.where("n_rows IS NOT NULL").select(*UNIT_KEYS, "n_rows").join(meta.select(*UNIT_KEYS, "n_draws"), UNIT_KEYS).join(cells, "unit_id")
+    return rows.select(*UNIT_KEYS, "n_rows", (F.col("n_draws") * F.col("_cells")).alias("expected_rows"))
+
+
+#: The ladder in its order: the inputs of each check and the check itself.
+LADDER: list[tuple[tuple[str, ...], Callable[..., DataFrame]]] = [
+    (("files", "expected"), file_set),
+    (("file_sizes",), size_limits),
+    (("meta_errors",), lambda errors: errors),
+    (("meta",), meta_schema),
+    (("file_sizes",), rationale_file),
+    (("rationales",), rationale_bit),
+    (("meta", "units"), bind_meta),
+    (("meta", "units"), declared_grid),
+    (("file_facts",), footer_limits),
+    (("meta",), draw_range),
+    (("file_facts", "meta", "units"), lambda facts, meta, units: row_count(footer_rows(facts, meta, units))),
+    (("row_facts",), row_count),
+    (("file_facts",), lambda facts: column_set(facts.where(F.col("columns").isNotNull()))),
+    (("row_facts",), draw_ids),
+    (("row_facts",), labels_in_grid),
+    (("row_facts",), finite_values),
+    (("row_facts",), exactly_once),
 ]
+LADDER_INPUTS = ("units", "expected", "files", "file_facts", "meta", "meta_errors", "rationales", "draws")
 
 
-def run_ladder(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every check whose inputs are given, merged and cut to the first failure per unit.
+def run_ladder(tables: dict[str, DataFrame], without: tuple[str, ...] = ()) -> DataFrame:
+    """All checks, cut to the first failure per unit; every expected key that proves nothing is refused too.
 
-    Keys: ``units, expected, files, file_facts, meta, meta_errors, rationales, draws``. A check with
-    an absent input does not run, which only the local smoke path does. The draws are read once: six
-    checks share one small table of counts per (submission, unit).
+    Inputs: ``LADDER_INPUTS``. An absent input stops the run unless ``without`` names it, which only local smoke runs
+    do; then the checks on it are left out. The draws are read once: six checks share one small table of counts
+    per (submission, unit), and a key that has no such counts and no refusal is ``incomplete_output``.
     """
-    t = dict(tables)
+    t = {k: v for k, v in tables.items() if k not in without}
+    absent = [k for k in LADDER_INPUTS if k not in t and k not in without]
+    if absent:
+        raise ValueError(f"the ladder lacks {', '.join(absent)}")
+    if "files" in t:
+        t["file_sizes"] = file_sizes(t["files"])
     if {"draws", "meta", "units"} <= t.keys() and "row_facts" not in t:
         t["row_facts"] = materialized(row_facts(t["draws"], t["meta"], t["units"]), "row-facts")
     merged = None
-    for _, check in LADDER:
-        try:
-            part = check(t)
-        except KeyError:
-            continue
-        merged = part if merged is None else merged.unionByName(part)
+    for inputs, check in LADDER:
+        if all(k in t for k in inputs):
+            part = check(*(t[k] for k in inputs))
+            merged = part if merged is None else merged.unionByName(part)
+    if "expected" in t and "row_facts" in t:
+        silent = t["expected"].select(*UNIT_KEYS).distinct().join(t["row_facts"].select(*UNIT_KEYS), UNIT_KEYS, "left_anti")
+        merged = merged.unionByName(refusal(silent, F.lit(True), GATES[3], CHECK["unproven"], "incomplete_output", observed_count=0))
     return first_failure(merged)
 
 
+def admitted(tables: dict[str, DataFrame], refusals: DataFrame) -> DataFrame:
+    """The keys that may be scored: expected, and without a refusal."""
+    keys = tables["expected"] if "expected" in tables else tables["draws"]
+    return keys.select(*UNIT_KEYS).distinct().join(refusals.select(*UNIT_KEYS), UNIT_KEYS, "left_anti")
+
+
 # ---- roster-level checks ---------------------------------------------------------------------
 
 def roster_coverage(scored: DataFrame, roster: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fanchart import contract as C
 from fanchart.operators import gates as G
 from fanchart.plans.bindings import Tables
 from fanchart.plans.catalog.common import counts
@@ -31,7 +32,8 @@ def metas(t: Tables):
         F.when(_is("rw", 12), "other").otherwise(F.col("unit_id")).alias("declared_unit"),
         F.when(_is("rw", 3), "1990-01-01").when(_is("adj", 12), "soon").otherwise(F.col("asof").cast("string")).alias("asof"),
         F.when(_is("rw", 9), "parametric").otherwise("samples").alias("representation"),
-        F.when(_is("rw", 6), F.reverse("asset_ids")).otherwise(F.col("asset_ids")).alias("asset_ids"),
+        F.when(_is("rw", 6) & F.col("unit_id").startswith("F1"), F.array(F.lit("Q"), F.element_at("asset_ids", 1)))
+        .when(_is("rw", 6), F.reverse("asset_ids")).otherwise(F.col("asset_ids")).alias("asset_ids"),
         F.when(_is("adj", 9), F.array_append("horizons", 5)).otherwise(F.col("horizons")).alias("horizons"),
         "n_draws",
         F.when(_is("adj", 3), "boolean").otherwise("integer").alias("n_draws_type"),
@@ -63,7 +65,7 @@ _SUBS = {
              "CASE WHEN k.submission_id = 'rw' AND month(u.asof) = 12 THEN 'other' ELSE k.unit_id END AS declared_unit, "
              "CASE WHEN k.submission_id = 'rw' AND month(u.asof) = 3 THEN '1990-01-01' WHEN k.submission_id = 'adj' AND month(u.asof) = 12 THEN 'soon' ELSE CAST(u.asof AS VARCHAR) END AS asof_text, "
              "CASE WHEN k.submission_id = 'rw' AND month(u.asof) = 9 THEN 'parametric' ELSE 'samples' END AS representation, "
-             "CASE WHEN k.submission_id = 'rw' AND month(u.asof) = 6 THEN list_reverse(u.asset_ids) ELSE u.asset_ids END AS a, "
+             "CASE WHEN k.submission_id = 'rw' AND month(u.asof) = 6 AND k.unit_id LIKE 'F1%' THEN ['Q', u.asset_ids[1]] WHEN k.submission_id = 'rw' AND month(u.asof) = 6 THEN list_reverse(u.asset_ids) ELSE u.asset_ids END AS a, "
              "CASE WHEN k.submission_id = 'adj' AND month(u.asof) = 9 THEN list_append(u.horizons, 5) ELSE u.horizons END AS h, "
              "CASE WHEN k.submission_id = 'adj' AND month(u.asof) = 3 THEN 'boolean' ELSE 'integer' END AS n_draws_type, "
              "CASE WHEN k.submission_id = 'adj' AND month(u.asof) = 6 THEN 'log_return' ELSE 'level' END AS target "
@@ -80,22 +82,33 @@ _SUBS = {
              "count_if(s.draw < 0 OR s.draw >= m.n_draws) AS bad_draws, count_if(NOT list_contains(m.wa, s.asset)) AS ua, count_if(NOT list_contains(m.wh, s.horizon)) AS uh, "
              "count_if(s.value IS NULL) AS invalid, count_if(isnan(s.value) OR isinf(s.value)) AS nonfinite FROM subs s "
              "JOIN metas m ON m.submission_id = s.submission_id AND m.unit_id = s.unit_id GROUP BY 1, 2, 3",
-    "q3": "SELECT submission_id, unit_id, 3 AS check_no, 'schema_invalid' AS code, n_draws AS observed FROM metas WHERE representation <> 'samples' OR n_draws_type <> 'integer' OR n_draws NOT BETWEEN 200 AND 20000",
+    "q3": "SELECT submission_id, unit_id, 3 AS check_no, 'schema_invalid' AS code, CASE WHEN representation = 'samples' AND n_draws_type = 'integer' THEN n_draws ELSE -1 END AS observed FROM metas WHERE representation <> 'samples' OR n_draws_type <> 'integer' OR n_draws NOT BETWEEN 200 AND 20000",
     "q5": "SELECT submission_id, unit_id, 5 AS check_no, CASE WHEN asof_text = 'soon' THEN 'schema_invalid' WHEN asof_text <> want_asof THEN 'cutoff_violation' ELSE 'schema_invalid' END AS code, "
-          "CASE WHEN asof_text = 'soon' THEN 0 ELSE 1 END AS violation FROM metas WHERE asof_text = 'soon' OR asof_text <> want_asof OR declared_unit <> unit_id OR target <> 'level'",
-    "q7": "SELECT submission_id, unit_id, 7 AS check_no, 'schema_invalid' AS code, len(h) - len(list_distinct(h)) AS repeats FROM metas WHERE len(h) > len(list_distinct(h)) OR a <> wa OR h <> wh",
+          "CASE WHEN asof_text = 'soon' THEN -1 ELSE 1 END AS violation FROM metas WHERE asof_text = 'soon' OR asof_text <> want_asof OR declared_unit <> unit_id OR target <> 'level'",
+    "q7": "SELECT submission_id, unit_id, 7 AS check_no, 'schema_invalid' AS code, CASE WHEN rep THEN len(h) - len(list_distinct(h)) ELSE -1 END AS repeats, "
+          "CASE WHEN rep THEN -1 ELSE len(list_filter(wa, lambda x: NOT list_contains(a, x))) + len(list_filter(wh, lambda x: NOT list_contains(h, x))) END AS missing, "
+          "CASE WHEN rep THEN -1 ELSE len(list_filter(a, lambda x: NOT list_contains(wa, x))) + len(list_filter(h, lambda x: NOT list_contains(wh, x))) END AS extra, "
+          "CASE WHEN rep THEN -1 ELSE len(wa) + len(wh) END AS expected, CASE WHEN rep THEN -1 ELSE len(a) + len(h) END AS observed "
+          "FROM (SELECT *, len(h) > len(list_distinct(h)) AS rep FROM metas) WHERE rep OR a <> wa OR h <> wh",
     "occ": "SELECT submission_id, unit_id, count(*) AS distinct_cells, count_if(k > 1) AS dupes FROM (SELECT submission_id, unit_id, draw, asset, horizon, count(*) AS k FROM subs GROUP BY ALL) GROUP BY 1, 2",
     "q14": "SELECT f.submission_id, f.unit_id, 14 AS check_no, 'incomplete_output' AS code, o.dupes, f.expected_rows - o.distinct_cells AS missing, f.expected_rows FROM facts f JOIN occ o "
            "ON o.submission_id = f.submission_id AND o.unit_id = f.unit_id WHERE o.dupes > 0 OR f.expected_rows > o.distinct_cells",
-    "every": "SELECT submission_id, unit_id, check_no, code, 'g1_schema' AS gate FROM q3 UNION ALL SELECT submission_id, unit_id, check_no, code, 'g2_cutoff_resource' FROM q5 "
-             "UNION ALL SELECT submission_id, unit_id, check_no, code, 'g3_domain_semantics' FROM q7 "
-             "UNION ALL SELECT submission_id, unit_id, 8, 'schema_invalid', 'g3_domain_semantics' FROM metas WHERE n_draws NOT BETWEEN 200 AND 20000 "
-             "UNION ALL SELECT submission_id, unit_id, 9, 'incomplete_output', 'g3_domain_semantics' FROM facts WHERE n_rows <> expected_rows "
-             "UNION ALL SELECT submission_id, unit_id, 11, 'schema_invalid', 'g3_domain_semantics' FROM facts WHERE bad_draws > 0 "
-             "UNION ALL SELECT submission_id, unit_id, 12, 'schema_invalid', 'g3_domain_semantics' FROM facts WHERE ua > 0 OR uh > 0 "
-             "UNION ALL SELECT submission_id, unit_id, 13, 'schema_invalid', 'g3_domain_semantics' FROM facts WHERE invalid > 0 OR nonfinite > 0 "
-             "UNION ALL SELECT submission_id, unit_id, check_no, code, 'g3_domain_semantics' FROM q14",
-    "first_fail": "SELECT submission_id, unit_id, arg_min(gate, check_no) AS gate, arg_min(code, check_no) AS code FROM every GROUP BY 1, 2",
+    "planted": "SELECT k.submission_id, k.unit_id, month(u.asof) AS m FROM (SELECT DISTINCT submission_id, unit_id FROM draws) k JOIN units u ON u.unit_id = k.unit_id WHERE k.submission_id = 'hist'",
+    "every": "SELECT submission_id, unit_id, check_no, code, 'g1_schema' AS gate, observed, CASE WHEN observed < 0 THEN -1 ELSE 200 END AS expected, -1 AS missing, -1 AS extra, -1 AS invalid, -1 AS nonfinite, -1 AS violation FROM q3 "
+             "UNION ALL SELECT submission_id, unit_id, check_no, code, 'g2_cutoff_resource', -1, -1, -1, -1, -1, -1, violation FROM q5 "
+             "UNION ALL SELECT submission_id, unit_id, check_no, code, 'g3_domain_semantics', observed, expected, missing, extra, repeats, -1, -1 FROM q7 "
+             "UNION ALL SELECT submission_id, unit_id, 8, 'schema_invalid', 'g3_domain_semantics', n_draws, 200, -1, -1, -1, -1, -1 FROM metas WHERE n_draws NOT BETWEEN 200 AND 20000 "
+             "UNION ALL SELECT submission_id, unit_id, 9, 'incomplete_output', 'g3_domain_semantics', n_rows, expected_rows, -1, -1, -1, -1, -1 FROM facts WHERE n_rows <> expected_rows "
+             "UNION ALL SELECT submission_id, unit_id, 11, 'schema_invalid', 'g3_domain_semantics', -1, n_draws, -1, -1, bad_draws, -1, -1 FROM facts WHERE bad_draws > 0 "
+             "UNION ALL SELECT submission_id, unit_id, 12, 'schema_invalid', 'g3_domain_semantics', -1, -1, -1, CASE WHEN ua > 0 THEN ua ELSE uh END, CASE WHEN ua > 0 THEN ua ELSE uh END, -1, -1 FROM facts WHERE ua > 0 OR uh > 0 "
+             "UNION ALL SELECT submission_id, unit_id, 13, 'schema_invalid', 'g3_domain_semantics', -1, -1, -1, -1, invalid, nonfinite, -1 FROM facts WHERE invalid > 0 OR nonfinite > 0 "
+             "UNION ALL SELECT submission_id, unit_id, check_no, code, 'g3_domain_semantics', -1, expected_rows, missing, -1, dupes, -1, -1 FROM q14 "
+             "UNION ALL SELECT submission_id, unit_id, 1, 'schema_invalid', 'g0_integrity', -1, 3, 0, 1, -1, -1, -1 FROM planted WHERE m = 3 "
+             "UNION ALL SELECT submission_id, unit_id, 2, 'malformed_output', 'g0_integrity', 300000, 262144, -1, -1, -1, -1, -1 FROM planted WHERE m = 6 "
+             "UNION ALL SELECT submission_id, unit_id, 4, 'schema_invalid', 'g1_schema', -1, -1, -1, -1, -1, -1, -1 FROM planted WHERE m = 9 "
+             "UNION ALL SELECT submission_id, unit_id, 7.5, 'schema_invalid', 'g3_domain_semantics', 9, 8, -1, -1, -1, -1, -1 FROM planted WHERE m = 12",
+    "first_fail": "SELECT submission_id, unit_id, arg_min(gate, check_no) AS gate, arg_min(code, check_no) AS code, "
+                  + ", ".join(f"CAST(arg_min({c}, check_no) AS BIGINT) AS {c}" for c in ("observed", "expected", "missing", "extra", "invalid", "nonfinite", "violation")) + " FROM every GROUP BY 1, 2",
 }
 
 
@@ -106,14 +119,14 @@ def _facts(t):
 def _files(t):
     keys = t.draws.select("submission_id", "unit_id").distinct().join(t.units.select("unit_id", "asof"), "unit_id")
     names = F.array(F.lit("forecast.parquet"), F.lit("forecast_meta.json"), F.lit("forecast_rationale.md"))
-    names = F.when(_is("rw", 3), F.array_append(names, "notes.txt")).when(_is("adj", 6), F.slice(names, 1, 2)).when(_is("adj", 9), F.array().cast("array<string>")).otherwise(names)
+    names = F.when(_is("rw", 3), F.array_append(names, "notes.txt")).when(_is("adj", 6), F.array(F.lit("forecast.parquet"), F.lit("forecast_rationale.md"))).when(_is("adj", 9), F.array().cast("array<string>")).otherwise(names)
     return keys, keys.select("submission_id", "unit_id", F.explode(names).alias("name"), F.lit(100).alias("length"))
 
 
 @query(
     "qc1_file_set",
     "SELECT d.submission_id, d.unit_id, CASE WHEN d.submission_id = 'rw' THEN 'schema_invalid' ELSE 'no_output' END AS code, CAST(CASE WHEN d.submission_id = 'rw' THEN 1 ELSE 0 END AS BIGINT) AS extra_count, "
-    "CAST(CASE WHEN d.submission_id = 'rw' THEN 0 WHEN month(u.asof) = 6 THEN 1 ELSE 3 END AS BIGINT) AS missing_count FROM (SELECT DISTINCT submission_id, unit_id FROM draws) d JOIN units u ON u.unit_id = d.unit_id "
+    "CAST(CASE WHEN d.submission_id = 'rw' THEN 0 WHEN month(u.asof) = 6 THEN 1 ELSE 2 END AS BIGINT) AS missing_count FROM (SELECT DISTINCT submission_id, unit_id FROM draws) d JOIN units u ON u.unit_id = d.unit_id "
     "WHERE (d.submission_id = 'rw' AND month(u.asof) = 3) OR (d.submission_id = 'adj' AND month(u.asof) IN (6, 9))",
 )
 def file_set(t):
@@ -134,11 +147,11 @@ def size_limits(t):
         "submission_id", "unit_id", (F.col("n") * 6000).alias("draws_bytes"), F.lit(300).alias("meta_bytes"), F.lit(50).alias("rationale_bytes"),
         F.lit(1).alias("row_groups"), cols.alias("n_columns"), cols.alias("n_distinct_columns"), (F.col("n") * 500).alias("n_rows"), (F.col("n") * 24).alias("uncompressed_bytes"),
     )
-    out = counts(G.size_limits(facts), "observed_count", "expected_count")
+    out = counts(G.first_failure(G.size_limits(facts).unionByName(G.footer_limits(facts))), "observed_count", "expected_count")
     return out.select("submission_id", "unit_id", "code", F.col("observed_count").alias("observed"), F.col("expected_count").alias("expected"))
 
 
-@query("qc3_meta_schema", "SELECT submission_id, unit_id, code, observed AS observed_count FROM q3", _SUBS)
+@query("qc3_meta_schema", "SELECT submission_id, unit_id, code, CAST(observed AS BIGINT) AS observed_count FROM q3", _SUBS)
 def meta_schema(t):
     return counts(G.meta_schema(metas(t)), "observed_count").drop("gate", "check_no")
 
@@ -172,9 +185,10 @@ def declared_cutoff(t):
     return G.declared_cutoff(_dated_units(t))
 
 
-@query("qc7_declared_grid", "SELECT submission_id, unit_id, code, CAST(repeats AS BIGINT) AS invalid_row_count, CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS extra_count FROM q7", _SUBS)
+@query("qc7_declared_grid", "SELECT submission_id, unit_id, code, CAST(repeats AS BIGINT) AS invalid_row_count, CAST(missing AS BIGINT) AS missing_count, CAST(extra AS BIGINT) AS extra_count, "
+       "CAST(expected AS BIGINT) AS expected_count, CAST(observed AS BIGINT) AS observed_count FROM q7", _SUBS)
 def declared_grid(t):
-    return counts(G.declared_grid(metas(t), t.units), "invalid_row_count", "missing_count", "extra_count").drop("gate", "check_no")
+    return counts(G.declared_grid(metas(t), t.units), "invalid_row_count", "missing_count", "extra_count", "expected_count", "observed_count").drop("gate", "check_no")
 
 
 @query("qc8_grid_valid", "SELECT unit_id, CASE family WHEN 'F2' THEN 'repeated asset' WHEN 'F3' THEN 'horizon below 1' ELSE 'no asset' END AS fault FROM units WHERE family <> 'F1' AND unit_id IN (SELECT unit_id FROM cut)")
@@ -267,12 +281,33 @@ def corpus_cutoff(t):
 
 
 def _ladder(t):
-    return G.run_ladder({"units": t.units, "meta": metas(t), "draws": subs(t)})
+    """All inputs of the ladder; the third submission has defects of its files planted by month."""
+    keys = t.draws.select("submission_id", "unit_id").distinct().join(t.units.select("unit_id", "asof"), "unit_id")
+    names = F.array(*[F.lit(n) for n in C.SUBMISSION_FILES])
+    names = F.when(_is("hist", 3), F.array_append(names, "notes.txt")).otherwise(names)
+    size = F.when(_is("hist", 6) & (F.col("name") == "forecast_meta.json"), 300_000).otherwise(300)
+    files = keys.withColumn("name", F.explode(names)).withColumn("length", size).drop("asof")
+    claims, n_columns = subs(t), F.when(_is("hist", 12), 9).otherwise(4)
+    facts = claims.groupBy("submission_id", "unit_id").agg(F.count(F.lit(1)).alias("n_rows")).join(keys, ["submission_id", "unit_id"]).select(
+        "submission_id", "unit_id", F.lit(1000).alias("draws_bytes"), F.array(*[F.lit(c) for c in C.DRAW_COLUMNS]).alias("columns"),
+        n_columns.alias("n_columns"), n_columns.alias("n_distinct_columns"), "n_rows", F.lit(1).alias("row_groups"),
+        (F.col("n_rows") * 24).alias("uncompressed_bytes"), F.lit(True).alias("readable"),
+    )
+    return G.run_ladder({
+        "units": t.units, "expected": keys.drop("asof"), "files": files, "file_facts": facts, "meta": metas(t), "draws": claims,
+        "meta_errors": G.refusal(keys, F.lit(False), G.GATES[0], G.CHECK["meta_errors"], "malformed_output"),
+        "rationales": keys.select("submission_id", "unit_id", F.when(_is("hist", 9), " \t").otherwise("because").alias("text")),
+    })
+
+
+#: Names of a refusal's counts, and their columns in the twins.
+COUNTS = {"observed_count": "observed", "expected_count": "expected", "missing_count": "missing", "extra_count": "extra",
+          "invalid_row_count": "invalid", "nonfinite_count": "nonfinite", "violation_count": "violation"}
 
 
-@query("qc18_first_failure", "SELECT submission_id, unit_id, gate, code FROM first_fail", _SUBS)
+@query("qc18_first_failure", "SELECT * FROM first_fail", _SUBS)
 def first_failure(t):
-    return _ladder(t).select("submission_id", "unit_id", "gate", "code")
+    return counts(_ladder(t), *COUNTS).withColumnsRenamed(COUNTS)
 
 
 @query("qc19_label_for", "SELECT code, label, count(*) AS n FROM (SELECT code, CASE code WHEN 'cutoff_violation' THEN 'leakage_cutoff' ELSE 'schema_invalid_output' END AS label FROM first_fail) GROUP BY 1, 2", _SUBS)
@@ -280,10 +315,9 @@ def label_for(t):
     return G.label_for(_ladder(t)).groupBy("code", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("qc20_public_projection", "SELECT submission_id, unit_id, code, true AS only_counts FROM first_fail", _SUBS)
+@query("qc20_public_projection", "SELECT submission_id, unit_id, code, observed, expected, missing, extra, invalid, nonfinite, violation FROM first_fail", _SUBS)
 def public_projection(t):
-    out = G.public_projection(_ladder(t))
-    return out.select("submission_id", "unit_id", "code", F.forall(F.map_values("counts"), lambda v: v >= 0).alias("only_counts"))
+    return counts(G.public_projection(_ladder(t)), *COUNTS).withColumnsRenamed(COUNTS)
 
 
 @query("udf3_gate_list", "SELECT gate, count(*) AS refused FROM first_fail GROUP BY 1", _SUBS)

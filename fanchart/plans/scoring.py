@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanchart import contract as C
@@ -14,6 +14,8 @@ from fanchart.operators import gates as G
 from fanchart.operators import generators as FC
 from fanchart.operators import metrics as M
 from fanchart.operators import panel as P
+from fanchart.sources import readers as R
+from fanchart.sources.materialize import materialized
 
 
 @dataclass
@@ -48,24 +50,81 @@ def organizer_faults(units: DataFrame, realized: DataFrame, scale: DataFrame, ro
 
 
 def score_submissions(tables: dict[str, DataFrame], realized: DataFrame, scale: DataFrame, roster: DataFrame,
-                      levels: tuple[float, ...] = C.DEFAULT_TAIL_LEVELS, joint: tuple[str, ...] = ("variogram",)) -> Evaluation:
+                      levels: tuple[float, ...] = C.DEFAULT_TAIL_LEVELS, joint: tuple[str, ...] = ("variogram",), without: tuple[str, ...] = ()) -> Evaluation:
     """Gates, metrics and roster aggregation for every submission in one plan.
 
     Call ``raise_on_faults`` on ``organizer_faults`` and ``faults`` before publishing. Refused
     (submission, unit) keys leave the draws before any metric runs, so what is ranked is
-    bounded by the contract (at most 20,000 draws per cell).
+    bounded by the contract (at most 20,000 draws per cell). ``without`` names ladder inputs that a
+    smoke run does not have.
     """
     units = tables["units"]
     stop = organizer_faults(units, realized, scale, roster, levels, joint)
-    refusals = G.run_ladder(tables)
-    clean = tables["draws"].join(refusals.select(*UNIT_KEYS), UNIT_KEYS, "left_anti")
+    refusals = materialized(G.run_ladder(tables, without), "refusals")
+    clean = tables["draws"].join(G.admitted(tables, refusals), UNIT_KEYS, "left_semi")
     comps = M.components(clean, realized, units, levels, joint)
     scored = M.composite(comps, units, scale)
     payload, faults = M.score_payload(scored, "ref_scale", "plan")
     rows = A.to_rows(payload, refusals)
+    faults = faults.select("submission_id", "unit_id", "fault").unionByName(row_faults(rows, roster))
     return Evaluation(stop, refusals, payload, faults, rows, A.leaderboard(A.roster_mean(rows, roster)))
 
 
+def row_faults(rows: DataFrame, roster: DataFrame) -> DataFrame:
+    """``(submission_id, unit_id, fault)`` that must stop publication: repeated or foreign units, a mode or grid that is
+    not rankable, a score that is not finite. Units without a row are failures of the participant, not faults."""
+    none = F.lit(None).cast("string").alias("unit_id")
+    cover = G.roster_coverage(rows, roster)
+    fault = lambda df, text, unit=none: df.select("submission_id", unit, F.lit(text).alias("fault"))
+    return (
+        fault(cover.where("duplicate > 0"), "a unit has several rows")
+        .unionByName(fault(cover.where("extra > 0"), "a unit is not in the roster"))
+        .unionByName(fault(G.uniform_mode(rows), "a row is not normalised"))
+        .unionByName(fault(G.grid_source(rows), "a row has no committed grid"))
+        .unionByName(fault(A.nonfinite_scores(rows), "a score is not finite", F.col("unit_id")))
+    )
+
+
+def submission_tables(spark: SparkSession, root: str, units: DataFrame) -> dict[str, DataFrame]:
+    """Every input of the ladder from a tree of submissions; each draws file is decoded once and written."""
+    files = materialized(R.list_submission_files(spark, root), "listing")
+    facts = materialized(R.inspect_draw_files(spark, root), "footers")
+    decoded = materialized(R.decode_draws(spark, root, facts), "decoded")
+    broken = decoded.where("broken").select(*UNIT_KEYS, F.lit(True).alias("_broken")).distinct()
+    facts = facts.join(broken, UNIT_KEYS, "left").withColumn("readable", F.col("readable") & F.col("_broken").isNull()).drop("_broken")
+    meta, errors = R.read_meta(spark, root)
+    return {
+        "units": units, "files": files, "file_facts": facts, "meta": materialized(meta, "sidecars"), "meta_errors": errors,
+        "rationales": R.read_rationales(spark, root), "draws": decoded.where("NOT broken").drop("broken"),
+        "expected": files.select(*UNIT_KEYS).distinct().join(units.select("unit_id"), "unit_id", "left_semi"),
+    }
+
+
+def evaluate_tree(spark: SparkSession, unit_root: str, submission_root: str, plan_path: str,
+                  levels: tuple[float, ...] = C.DEFAULT_TAIL_LEVELS, joint: tuple[str, ...] = ("variogram",)) -> Evaluation:
+    """Score a tree of submissions against a tree of units and an evaluation plan.
+
+    Units come from the plan; a submitted unit that the plan lacks is an organizer fault, as is every defect of cards,
+    outcomes or scales. Call ``raise_on_faults`` on both fault tables before publishing.
+    """
+    roster, _ = R.read_roster(spark, plan_path)
+    cards, card_faults = R.trusted_asof(R.read_units(spark, unit_root))
+    units = materialized(R.resolve_grid(cards, roster).join(roster.select("unit_id"), "unit_id", "left_semi"), "units")
+    realized = R.read_realized(spark, unit_root)
+    scale = materialized(R.read_ref_scale(spark, unit_root, units), "scales")
+    tables = submission_tables(spark, submission_root, units)
+    ev = score_submissions(tables, realized, scale, roster, levels, joint)
+    foreign = tables["files"].select("unit_id").distinct().join(roster.select("unit_id"), "unit_id", "left_anti")
+    bare = roster.select("unit_id").join(units.select("unit_id"), "unit_id", "left_anti")
+    stop = (
+        ev.organizer_faults.unionByName(card_faults.select("unit_id", F.col("fault").cast("string")))
+        .unionByName(scale.where("fault IS NOT NULL").select("unit_id", "fault"))
+        .unionByName(foreign.select("unit_id", F.lit("submitted unit is not in the plan").alias("fault")))
+        .unionByName(bare.select("unit_id", F.lit("a unit of the plan has no card").alias("fault")))
+    )
+    return replace(ev, organizer_faults=stop)
+
+
 def baseline_draws(panel: DataFrame, units: DataFrame, n_draws: int = C.DEFAULT_DRAWS, seed: int = 0) -> DataFrame:
     """The text-blind joint walk for all units: cut, choose panels, difference, align, correlate."""
     history = P.select_panel(P.asof_cut(P.drop_nonfinite(panel), units))

@@ -27,7 +27,7 @@ from fanchart.contract import (
     UNIT_SCHEMA,
 )
 from fanchart.functions.columns import is_finite, is_iso
-from fanchart.operators.gates import GATES, UNIT_KEYS, refusal
+from fanchart.operators.gates import CHECK, GATES, UNIT_KEYS, refusal
 
 
 #: A directory name, with or without the ``column=`` prefix that a partitioned write puts there.
@@ -235,16 +235,40 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- submissions -----------------------------------------------------------------------------
 
-SUBMISSION_PATH = rf"/{DIR}/{DIR}/([^/]+)$"
+def _qualified(spark: SparkSession, root: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _keyed(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """Add ``(submission_id, unit_id, name)`` from the path below ``root``; anything deeper keeps its inner path as name."""
+    parts = F.split(F.substring("path", len(_qualified(spark, root)) + 2, 1 << 20), "/", 3)
+    bare = lambda i: F.regexp_extract(F.get(parts, i), f"^{DIR}$", 1)
+    return files.withColumns({"submission_id": bare(0), "unit_id": bare(1), "name": F.get(parts, 2)}).where(F.size(parts) == 3)
+
+
+def _hidden(spark: SparkSession, root: str) -> DataFrame:
+    """Entries that Spark's file index passes over: names in a unit's directory that start with a dot or an underscore.
+
+    The glob returns only those, and a submission has no business with any.
+    """
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{_qualified(spark, root)}/*/*/{{.,_}}*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    rows = [(f.getPath().toString(), f.getLen()) for f in found or () if not f.getPath().getName().endswith(".crc")]
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 def list_submission_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(submission_id, unit_id, name, length)``; contents are not read."""
-    return _binary(spark, root, "*").select(
-        _part("path", SUBMISSION_PATH).alias("submission_id"),
-        _part("path", SUBMISSION_PATH, 2).alias("unit_id"),
-        _part("path", SUBMISSION_PATH, 3).alias("name"), "length",
-    )
+    """``(submission_id, unit_id, name, length)`` of every entry below a unit's directory, hidden and nested ones too."""
+    files = _binary(spark, root, "*").select("path", "length").unionByName(_hidden(spark, root))
+    return _keyed(spark, files, root).select("submission_id", "unit_id", "name", "length")
+
+
+def _submitted(spark: SparkSession, root: str, name: str, ceiling: int) -> DataFrame:
+    """Files of one name in their place and under their ceiling; what is larger is refused from its listed size."""
+    files = _keyed(spark, _binary(spark, root, name), root)
+    return files.where(~F.contains("name", F.lit("/")) & (F.col("length") <= ceiling)).select("submission_id", "unit_id", "length", "content")
 
 
 FACTS_SCHEMA = (
@@ -273,62 +297,87 @@ def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def inspect_draw_files(spark: SparkSession, root: str, name: str = "forecast.parquet") -> DataFrame:
-    """What each draws file says about itself, before any row is decoded.
+    """What each draws file says about itself, before any row is decoded."""
+    return _submitted(spark, root, name, C.MAX_DRAWS_FILE_BYTES).mapInPandas(_footers, FACTS_SCHEMA)
 
-    Files above the byte ceiling are left out by a filter the scan applies before opening them.
-    """
-    files = _binary(spark, root, name).where(F.col("length") <= C.MAX_DRAWS_FILE_BYTES)
-    return files.select(
-        _part("path", SUBMISSION_PATH).alias("submission_id"),
-        _part("path", SUBMISSION_PATH, 2).alias("unit_id"), "length", "content",
-    ).mapInPandas(_footers, FACTS_SCHEMA)
 
+DECODED = "submission_id string, unit_id string, draw long, asset string, horizon long, value double, broken boolean"
 
-def _decode_draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _decode_draws(batches: Iterator) -> Iterator:
+    """Rows of untrusted files: a column of the wrong type becomes nulls, a file that breaks off becomes one broken row.
+
+    Draw ids are integers only; horizons may be any number (cut to whole ones) or the text of an integer; values may be
+    any number, and NaN stays NaN.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
-    def whole(values: pd.Series) -> pd.Series:
-        numeric = pd.to_numeric(values.where(~values.map(lambda v: isinstance(v, bool))), errors="coerce")
-        return numeric
+    def whole(col: pa.Array) -> pa.Array:
+        if pa.types.is_integer(col.type):
+            return pc.cast(col, pa.int64(), safe=False)
+        return pa.nulls(len(col), pa.int64())
+
+    def horizon(col: pa.Array) -> pa.Array:
+        if pa.types.is_floating(col.type):
+            fine = pc.and_(pc.is_finite(col), pc.less(pc.abs(pc.cast(col, pa.float64())), 1e15))
+            return pc.cast(pc.if_else(fine, pc.cast(col, pa.float64()), None), pa.int64(), safe=False)
+        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+            text = pc.utf8_trim_whitespace(pc.cast(col, pa.string()))
+            return pc.cast(pc.if_else(pc.match_substring_regex(text, "^[+-]?[0-9]{1,15}$"), text, None), pa.int64())
+        return whole(col)
+
+    def number(col: pa.Array) -> pa.Array:
+        if pa.types.is_floating(col.type) or pa.types.is_integer(col.type):
+            return pc.cast(col, pa.float64(), safe=False)
+        return pa.nulls(len(col), pa.float64())
+
+    def label(col: pa.Array) -> pa.Array:
+        try:
+            return pc.cast(col, pa.string())
+        except pa.ArrowException:
+            return pa.nulls(len(col), pa.string())
 
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            file = pq.ParquetFile(pa.BufferReader(row.content))
-            for batch in file.iter_batches(columns=list(DRAW_COLUMNS)):
-                got = batch.to_pandas()
-                draws = got["draw"] if pd.api.types.is_integer_dtype(got["draw"]) else whole(got["draw"]).where(
-                    lambda s: s == s.round()
-                )
-                numeric = pd.api.types.is_numeric_dtype(got["value"]) and got["value"].dtype != bool
-                yield pd.DataFrame(
-                    {
-                        "submission_id": row.submission_id, "unit_id": row.unit_id,
-                        "draw": draws.astype("Int32"),
-                        "asset": got["asset"].astype("string"),
-                        "horizon": whole(got["horizon"]).map(int, na_action="ignore").astype("Int32"),
-                        "value": got["value"].astype(float) if numeric else float("nan"),
-                    }
-                )
+    def frame(keys: tuple, columns: dict, n: int, broken: bool) -> pa.RecordBatch:
+        same = {k: pa.array([v] * n, pa.string()) for k, v in zip(UNIT_KEYS, keys)}
+        return pa.RecordBatch.from_pydict({**same, **columns, "broken": pa.array([broken] * n, pa.bool_())})
 
+    for batch in batches:
+        for sub, unit, content in zip(*(batch[c].to_pylist() for c in (*UNIT_KEYS, "content"))):
+            try:
+                for part in pq.ParquetFile(pa.BufferReader(content)).iter_batches(columns=list(DRAW_COLUMNS)):
+                    columns = {"draw": whole(part["draw"]), "asset": label(part["asset"]), "horizon": horizon(part["horizon"]), "value": number(part["value"])}
+                    yield frame((sub, unit), columns, part.num_rows, False)
+            except (pa.ArrowException, OSError, ValueError, KeyError):
+                empty = {"draw": pa.nulls(1, pa.int64()), "asset": pa.nulls(1, pa.string()), "horizon": pa.nulls(1, pa.int64()), "value": pa.nulls(1, pa.float64())}
+                yield frame((sub, unit), empty, 1, True)
 
-def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None,
-               name: str = "forecast.parquet") -> DataFrame:
-    """Draw rows of every submission whose file has exactly the four columns.
 
-    Pass ``facts`` from :func:`inspect_draw_files` to leave out files already refused there.
+def decode_draws(spark: SparkSession, root: str, facts: DataFrame, name: str = "forecast.parquet") -> DataFrame:
+    """The draws schema and ``broken``: files whose footer is inside all ceilings and names exactly the four columns.
+
+    Ids and horizons beyond 32 bits become nulls, which no grid has.
     """
-    files = _binary(spark, root, name).where(F.col("length") <= C.MAX_DRAWS_FILE_BYTES).select(
-        _part("path", SUBMISSION_PATH).alias("submission_id"),
-        _part("path", SUBMISSION_PATH, 2).alias("unit_id"), "content",
-    )
-    facts = facts if facts is not None else inspect_draw_files(spark, root, name)
     want = F.array(*[F.lit(c) for c in sorted(DRAW_COLUMNS)])
     exact = facts.where(
-        F.col("readable") & (F.sort_array("columns") == want) & (F.col("n_rows") <= C.MAX_ROWS)
+        F.col("readable") & (F.sort_array("columns") == want) & (F.col("n_rows") <= C.MAX_ROWS) & (F.col("row_groups") <= C.MAX_ROW_GROUPS)
         & (F.col("uncompressed_bytes") <= C.MAX_UNCOMPRESSED_BYTES)
     )
-    return files.join(exact.select(*UNIT_KEYS), UNIT_KEYS, "left_semi").mapInPandas(_decode_draws, C.DRAWS_SCHEMA)
+    files = _submitted(spark, root, name, C.MAX_DRAWS_FILE_BYTES).select("submission_id", "unit_id", "content")
+    rows = files.join(exact.select(*UNIT_KEYS), UNIT_KEYS, "left_semi").mapInArrow(_decode_draws, DECODED)
+    return rows.select(*UNIT_KEYS, F.expr("try_cast(draw AS INT)").alias("draw"), "asset", F.expr("try_cast(horizon AS INT)").alias("horizon"), "value", "broken")
+
+
+def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None,
+               name: str = "forecast.parquet") -> DataFrame:
+    """Draw rows of every submission whose file has exactly the four columns.
+
+    Pass ``facts`` from :func:`inspect_draw_files` where they are at hand. A scoring run decodes once and
+    keeps what :func:`decode_draws` returns.
+    """
+    facts = facts if facts is not None else inspect_draw_files(spark, root, name)
+    return decode_draws(spark, root, facts, name).where(~F.col("broken")).drop("broken")
 
 
 def read_draws_table(spark: SparkSession, path: str) -> DataFrame:
@@ -356,25 +405,16 @@ def parse_meta(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(raw_type == "BIGINT", "integer").otherwise(F.lower(F.coalesce(raw_type, F.lit("absent")))).alias("n_draws_type"),
         get("target", "string").alias("target"),
     )
-    return typed, refusal(rows, bad, GATES[0], 3, code)
+    return typed, refusal(rows, bad, GATES[0], CHECK["meta_errors"], code)
 
 
 def read_meta(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    files = _binary(spark, root, "forecast_meta.json").where(F.col("length") <= C.MAX_META_BYTES)
-    return parse_meta(
-        files.select(
-            _part("path", SUBMISSION_PATH).alias("submission_id"),
-            _part("path", SUBMISSION_PATH, 2).alias("unit_id"), F.col("content").cast("string").alias("text"),
-        )
-    )
+    files = _submitted(spark, root, "forecast_meta.json", C.MAX_META_BYTES)
+    return parse_meta(files.select(*UNIT_KEYS, F.col("content").cast("string").alias("text")))
 
 
 def read_rationales(spark: SparkSession, root: str) -> DataFrame:
-    files = _binary(spark, root, "forecast_rationale.md").where(F.col("length") <= C.MAX_RATIONALE_BYTES)
-    return files.select(
-        _part("path", SUBMISSION_PATH).alias("submission_id"),
-        _part("path", SUBMISSION_PATH, 2).alias("unit_id"), _text().alias("text"),
-    )
+    return _submitted(spark, root, "forecast_rationale.md", C.MAX_RATIONALE_BYTES).select(*UNIT_KEYS, _text().alias("text"))
 
 
 # ---- reference material ----------------------------------------------------------------------

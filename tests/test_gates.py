@@ -33,7 +33,7 @@ def draws(spark):
 
 
 def first(units, meta, draws):
-    return G.run_ladder({"units": units, "meta": meta, "draws": draws}).first()
+    return G.run_ladder({"units": units, "meta": meta, "draws": draws}, without=("expected", "files", "file_facts", "meta_errors", "rationales")).first()
 
 
 def cell(d, a="SYN-A", h=1):
@@ -104,7 +104,7 @@ def test_an_undeclared_target_is_allowed(units, meta, draws):
 
 def test_repeated_and_reordered_axes(units, meta, draws):
     r = first(units, meta.withColumn("asset_ids", F.array(F.lit("SYN-A"), F.lit("SYN-A"))), draws)
-    assert (r.code, r.counts["invalid_row_count"], r.counts["missing_count"]) == ("schema_invalid", 1, 0)
+    assert (r.code, r.counts) == ("schema_invalid", {"invalid_row_count": 1})
     r = first(units, meta.withColumn("asset_ids", F.reverse("asset_ids")), draws)
     assert (r.code, r.counts["missing_count"], r.counts["extra_count"]) == ("schema_invalid", 0, 0)
     r = first(units, meta.withColumn("horizons", F.array(F.lit(1), F.lit(6))), draws)
@@ -125,8 +125,8 @@ def test_file_sets(spark):
     got = {r.unit_id: r for r in G.file_set(files, expected).collect()}
     assert "a" not in got
     assert (got["b"].code, got["b"].counts["extra_count"]) == ("schema_invalid", 1)
-    assert (got["c"].code, got["c"].counts["missing_count"]) == ("no_output", 2)
-    assert (got["d"].code, got["d"].counts["missing_count"]) == ("no_output", 3)
+    assert (got["c"].code, got["c"].counts["missing_count"]) == ("no_output", 1)
+    assert (got["d"].code, got["d"].counts["missing_count"]) == ("no_output", 2)
 
 
 def test_organizer_faults_raise(units):

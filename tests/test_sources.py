@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fanchart.operators import gates as G
 from fanchart.operators import metrics as M
 from fanchart.operators import panel as P
-from fanchart.plans.scoring import baseline_draws, score_submissions
+from fanchart import contract as C
+from fanchart.plans.scoring import baseline_draws, evaluate_tree, score_submissions, submission_tables
 from fanchart.sources import readers as R
 from fanchart.sources import writers as W
 
@@ -117,17 +118,69 @@ def submissions(tmp_path_factory):
 def tables(spark, tree, root):
     units, faults = R.trusted_asof(R.read_units(spark, str(tree)))
     assert faults.count() == 0
-    facts = R.inspect_draw_files(spark, str(root)).withColumns(
-        {"meta_bytes": F.lit(300), "rationale_bytes": F.lit(10)}
-    )
-    meta, errors = R.read_meta(spark, str(root))
-    files = R.list_submission_files(spark, str(root))
-    unreadable = G.refusal(facts, ~F.col("readable"), G.GATES[0], 2, "malformed_output")
-    return {
-        "units": units, "files": files, "file_facts": facts, "meta": meta, "meta_errors": errors.unionByName(unreadable),
-        "rationales": R.read_rationales(spark, str(root)), "draws": R.read_draws(spark, str(root)),
-        "expected": files.select("submission_id", "unit_id").distinct(),
+    return submission_tables(spark, str(root), units)
+
+
+def plan(root, units=UNITS):
+    grid = {"assets": ASSETS, "horizons": HORIZONS, "cell_count": len(ASSETS) * len(HORIZONS), "digest": "d"}
+    doc = {
+        "metric": {"direction": "asc", "domain": {"min": 0, "max": 4}}, "normalization": {"mode": "ref_scale"},
+        "roster": {"count": len(units), "expected_units": [{"unit_handle": u, "grid": grid} for u in units]},
+        "participant_failure": {"policy": "worst", "score": 4.0, "clip_real_scores_to_domain": True},
+    }
+    (root / "plan.json").write_text(json.dumps(doc))
+    return str(root / "plan.json")
+
+
+def test_no_defect_of_a_tree_is_scored(spark, tree, tmp_path):
+    good, one, two = forecast(), *UNITS
+    subs = tmp_path / "subs"
+    edit = lambda c, i, v: good.assign(**{c: good[c].astype(object).where(good.index != i, v)})
+    cases = {
+        "clean": (good, {}, "because", None),
+        "bulky-sidecar": (good.iloc[:-1], json.dumps({"asof": "1999-01-01"}) + " " * C.MAX_META_BYTES, "because", ("malformed_output", None)),
+        "bulky-rationale": (good, {}, "r" * (C.MAX_RATIONALE_BYTES + 1), ("malformed_output", None)),
+        "bulky-draws": (b"x" * (C.MAX_DRAWS_FILE_BYTES + 1), {}, "because", ("malformed_output", None)),
+        "no-rows": (good.iloc[:0], {}, "because", ("incomplete_output", 0)),
+        "short-and-wide": (good.iloc[:-4].assign(note="x"), {}, "because", ("incomplete_output", len(good) - 4)),
+        "wide-and-late": (good.assign(**{f"c{i}": 1 for i in range(6)}), {"asof": "1999-01-01"}, "because", ("cutoff_violation", None)),
+        "float-ids": (good.astype({"draw": "float64"}), {}, "because", ("schema_invalid", None)),
+        "huge-id": (good.astype({"draw": "int64"}).assign(draw=lambda f: f["draw"].where(f.index != 7, 2**40)), {}, "because", ("schema_invalid", None)),
+        "nan": (good.assign(value=good["value"].where(good.index != 3)), {}, "because", ("schema_invalid", None)),
+        "hidden": (good, {}, "because", ("schema_invalid", None)), "nested": (good, {}, "because", ("schema_invalid", None)),
+        "worded-axis": (good, {"horizons": [1, "x"]}, "because", ("schema_invalid", None)),
     }
+    for name, (frame, meta, rationale, _) in cases.items():
+        submit(subs, name, one, frame, meta=meta, rationale=rationale)
+        submit(subs, name, two, good)
+    pq.write_table(pa.table({"draw": pa.array(good["draw"]), "asset": pa.array(good["asset"]), "horizon": pa.array(good["horizon"]), "value": pa.array([None if i == 3 else v for i, v in enumerate(good["value"])])}), subs / "nan" / one / "forecast.parquet")
+    broken = bytearray((subs / "clean" / one / "forecast.parquet").read_bytes())
+    submit(subs, "broken", one, good)
+    submit(subs, "broken", two, good)
+    broken[4:400] = b"\0" * 396  # the footer stays whole, the pages do not
+    (subs / "broken" / one / "forecast.parquet").write_bytes(bytes(broken))
+    (subs / "hidden" / one / ".note").write_text("x")
+    (subs / "nested" / one / "x").mkdir()
+    (subs / "nested" / one / "x" / "answers.csv").write_text("x")
+    want = {n: c[3] for n, c in cases.items() if c[3]} | {"broken": ("malformed_output", None)}
+    ev = evaluate_tree(spark, str(tree), str(subs), plan(tmp_path))
+    refused = {(r.submission_id, r.unit_id): r for r in ev.refusals.collect()}
+    assert {k[0]: r.code for k, r in refused.items()} == {n: c for n, (c, _) in want.items()} and {k[1] for k in refused} == {one}
+    assert all(n is None or refused[s, one].counts["observed_count"] == n for s, (_, n) in want.items())
+    assert (refused["nan", one].counts["invalid_row_count"], refused["nan", one].counts["nonfinite_count"]) == (1, 0)
+    assert refused["hidden", one].counts["extra_count"] == 1 and refused["float-ids", one].counts["invalid_row_count"] == len(good)
+    scored = {(r.submission_id, r.unit_id) for r in ev.payload.collect()}
+    assert scored == {(n, two) for n in want} | {("clean", one), ("clean", two)}
+    assert ev.organizer_faults.count() == 0 and ev.faults.count() == 0
+    board = {r.submission_id: r for r in ev.aggregates.collect()}
+    assert len(board) == len(want) + 1 and board["clean"]["rank"] == 1 and all(board[n].n_failure == 1 for n in want)
+
+
+def test_foreign_and_missing_units_stop_the_run(spark, tree, tmp_path):
+    submit(tmp_path / "subs", "s", UNITS[0], forecast())
+    submit(tmp_path / "subs", "s", "unit-nine", forecast())
+    ev = evaluate_tree(spark, str(tree), str(tmp_path / "subs"), plan(tmp_path, [*UNITS, "unit-ten"]))
+    assert {(r.unit_id, r.fault) for r in ev.organizer_faults.collect()} >= {("unit-nine", "submitted unit is not in the plan"), ("unit-ten", "a unit of the plan has no card")}
 
 
 def test_units_and_panels(spark, tree):
