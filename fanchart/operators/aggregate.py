@@ -35,12 +35,18 @@ def roster_mean(results: DataFrame, roster: DataFrame) -> DataFrame:
     The denominator is the size of the roster, so nothing is expanded per submission.
     """
     n = roster.agg(F.count_distinct("unit_id")).scalar()
-    rows = penalise(results.join(roster.select("unit_id").distinct(), "unit_id", "left_semi"))
+    on_roster = roster.select("unit_id", F.lit(True).alias("_on")).distinct()
+    rows = penalise(results.join(on_roster, "unit_id", "left"))
+    # a repeated unit is a fault elsewhere; here it counts once, with its worst value
+    one = rows.groupBy("submission_id", "unit_id").agg(
+        F.max(F.when(F.col("_on"), F.when(is_finite("counted"), F.col("counted")).otherwise(C.FAILURE_SCORE))).alias("counted"),
+        F.bool_and(F.coalesce("_on", F.lit(False)) & (F.col("state") == "success") & is_finite("score")).alias("scored"),
+    )
     return (
-        rows.groupBy("submission_id")
+        one.groupBy("submission_id")
         .agg(
-            F.sum(F.when(F.col("state") == "success", F.col("counted")).otherwise(0.0)).alias("_sum"),
-            F.count_if(F.col("state") == "success").alias("n_scored"),
+            F.sum(F.when(F.col("scored"), F.col("counted")).otherwise(0.0)).alias("_sum"),
+            F.count_if("scored").alias("n_scored"),
         )
         .withColumn("n_expected", n)
         .select(
@@ -98,19 +104,17 @@ def leaderboard(aggregates: DataFrame) -> DataFrame:
 
 
 def bootstrap_means(results: DataFrame, units: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """Mean per (submission, replicate), resampling whole clusters of units sharing an as-of.
+    """Mean over the roster per (submission, replicate), resampling whole clusters of units sharing an as-of.
 
-    Unit rows fold to cluster sums first. Each replicate is a table of how often each cluster was
-    picked, made once for all submissions, so comparisons between submissions are paired and no row
-    is ever copied per replicate.
+    A unit without a row counts as a failure, as in :func:`roster_mean`: sums are kept as distances from the failure
+    score, so absent units add nothing and the denominator is the roster's. Each replicate is a table of how often
+    each cluster was picked, made once for all submissions, so comparisons between submissions are paired and no unit
+    row is ever copied per replicate.
     """
-    counted = penalise(results).select("submission_id", "unit_id", "counted").join(
-        units.select("unit_id", "asof"), "unit_id"
-    )
-    sums = counted.groupBy("submission_id", "asof").agg(
-        F.sum("counted").alias("s"), F.count("counted").alias("n")
-    )
-    clusters = units.select("asof").distinct().withColumn(
+    units = units.select("unit_id", "asof").distinct()
+    counted = penalise(results).select("submission_id", "unit_id", "counted").join(units, "unit_id")
+    sums = counted.groupBy("submission_id", "asof").agg(F.sum(F.col("counted") - C.FAILURE_SCORE).alias("s"))
+    clusters = units.groupBy("asof").agg(F.count("unit_id").alias("n")).withColumn(
         "k", F.row_number().over(Window.orderBy("asof")) - 1  # one row per distinct as-of date
     )
     total = clusters.agg(F.count("k").alias("c"))
@@ -122,10 +126,13 @@ def bootstrap_means(results: DataFrame, units: DataFrame, replicates: int, seed:
         .groupBy("replicate", "k").agg(F.count("k").alias("times"))
         .join(clusters, "k")
     )
-    return (
-        sums.join(picks, "asof").groupBy("submission_id", "replicate")
-        .agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    whole = picks.groupBy("replicate").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    moved = sums.join(picks.select("replicate", "asof", "times"), "asof").groupBy("submission_id", "replicate").agg(F.sum(F.col("s") * F.col("times")).alias("s"))
+    every = results.select("submission_id").distinct().select(
+        "submission_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     )
+    out = every.join(whole, "replicate").join(moved, ["submission_id", "replicate"], "left")
+    return out.select("submission_id", "replicate", (F.lit(C.FAILURE_SCORE) + F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"))
 
 
 def bootstrap_ci(results: DataFrame, units: DataFrame, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:

@@ -61,18 +61,21 @@ def leaderboard(t):
 
 def _boot(seed: int, tag: str) -> dict[str, str]:
     return {
-        "clusters": "SELECT asof, row_number() OVER (ORDER BY asof) - 1 AS k FROM (SELECT DISTINCT asof FROM units)",
+        "clusters": "SELECT asof, row_number() OVER (ORDER BY asof) - 1 AS k, n FROM (SELECT asof, count(*) AS n FROM units GROUP BY 1)",
         f"picks{tag}": f"SELECT replicate, CAST(floor({uniform_sql('replicate', 'slot', seed)} * c) AS BIGINT) AS k, count(*) AS times FROM "
-                       "(SELECT replicate, slot, (SELECT count(*) FROM clusters) AS c FROM (SELECT unnest(range(200)) AS replicate) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM clusters))) AS slot)) GROUP BY 1, 2",
-        "sums": "SELECT submission_id, asof, sum(counted) AS s, count(counted) AS n FROM counted GROUP BY 1, 2",
-        f"boots{tag}": f"SELECT u.submission_id, p.replicate, sum(u.s * p.times) / sum(u.n * p.times) AS mean FROM sums u JOIN clusters c ON c.asof = u.asof JOIN picks{tag} p ON p.k = c.k GROUP BY 1, 2",
+                       "(SELECT replicate, slot, (SELECT count(*) FROM clusters) AS c FROM (SELECT unnest(range(1000)) AS replicate) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM clusters))) AS slot)) GROUP BY 1, 2",
+        "sums": "SELECT submission_id, asof, sum(counted - 4.0) AS s FROM counted GROUP BY 1, 2",
+        f"whole{tag}": f"SELECT p.replicate, sum(c.n * p.times) AS n FROM picks{tag} p JOIN clusters c ON p.k = c.k GROUP BY 1",
+        f"boots{tag}": f"SELECT b.submission_id, w.replicate, 4.0 + coalesce(v.s, 0) / w.n AS mean FROM (SELECT DISTINCT submission_id FROM counted) b CROSS JOIN whole{tag} w LEFT JOIN "
+                       f"(SELECT u.submission_id, p.replicate, sum(u.s * p.times) AS s FROM sums u JOIN clusters c ON c.asof = u.asof JOIN picks{tag} p ON p.k = c.k GROUP BY 1, 2) v "
+                       "ON v.submission_id = b.submission_id AND v.replicate = w.replicate",
         f"ci{tag}": f"SELECT submission_id, quantile_cont(mean, CAST(0.025 AS DOUBLE)) AS lo, quantile_cont(mean, CAST(0.975 AS DOUBLE)) AS hi FROM boots{tag} GROUP BY 1",
     }
 
 
 @query("agg7_bootstrap_ci", f"SELECT submission_id, {rd('lo', 5)} AS lo, {rd('hi', 5)} AS hi FROM ci1", _boot(1, "1"))
 def bootstrap_ci(t):
-    return rounded(A.bootstrap_ci(t.results, t.units, 200, seed=1), 5)
+    return rounded(A.bootstrap_ci(t.results, t.units, seed=1), 5)
 
 
 @query("agg8_uplift", f"SELECT o.submission_id, 'rw' AS baseline, count(*) AS n_units, {rd('avg(b.counted) - avg(o.counted)', 5)} AS uplift FROM counted o JOIN counted b ON b.unit_id = o.unit_id AND b.submission_id = 'rw' WHERE o.submission_id <> 'rw' GROUP BY 1")
@@ -123,7 +126,7 @@ def budget_audit(t):
 
 @query("agg14_rerun_overlap", f"SELECT a.submission_id, {rd('a.lo', 5)} AS lo, {rd('a.hi', 5)} AS hi, {rd('b.lo', 5)} AS lo2, {rd('b.hi', 5)} AS hi2, a.lo <= b.hi AND b.lo <= a.hi AS verified FROM ci1 a JOIN ci2 b ON a.submission_id = b.submission_id", {**_boot(1, "1"), **_boot(2, "2")})
 def rerun_overlap(t):
-    return rounded(A.rerun_overlap(A.bootstrap_ci(t.results, t.units, 200, seed=1), A.bootstrap_ci(t.results, t.units, 200, seed=2)), 5)
+    return rounded(A.rerun_overlap(A.bootstrap_ci(t.results, t.units, seed=1), A.bootstrap_ci(t.results, t.units, seed=2)), 5)
 
 
 @query("agg15_parity", f"SELECT submission_id, unit_id, {rd('composite', 5)} AS a, {rd('composite + 1', 5)} AS b FROM scored WHERE submission_id = 'rw' AND unit_id LIKE 'F3-%'")

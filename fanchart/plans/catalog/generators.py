@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fanchart.contract import TEXT_BLIND_MODELS
+from fanchart.contract import DEFAULT_DRAWS, MIN_DRAWS, TEXT_BLIND_MODELS
 from fanchart.operators import generators as FC
 from fanchart.plans.bindings import normal_sql, rd, uniform_sql
 from fanchart.plans.catalog.common import rounded
 from fanchart.plans.registry import query
 
-N = 100
+#: Draws of a query: the contract's default.
+N = DEFAULT_DRAWS
 DRAW_ROWS = "unit_id, draw, asset, horizon, " + rd("value", 4) + " AS value"
 
 
@@ -249,10 +250,12 @@ def recent_changes(history: pd.DataFrame, unit: dict) -> pd.DataFrame:
 
 @query(
     "udf1_forecaster_hook",
-    f"SELECT unit_id, draw, asset, horizon, {rd('value')} AS value FROM (SELECT s.unit_id, s.n - s.rn AS draw, s.asset, c.horizon, a.last + (s.value - b.value) AS value FROM series s "
-    "JOIN cells c ON c.unit_id = s.unit_id AND c.asset = s.asset JOIN series b ON b.unit_id = s.unit_id AND b.asset = s.asset AND b.rn = s.rn - c.horizon JOIN anchors a ON a.unit_id = s.unit_id AND a.asset = s.asset) WHERE draw < 30",
-    {"series": "SELECT unit_id, asset, date, value, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date) AS rn, count(*) OVER (PARTITION BY unit_id, asset) AS n FROM cut"},
+    f"SELECT unit_id, draw, asset, horizon, {rd('value')} AS value FROM (SELECT s.unit_id, s.n - s.rn AS draw, s.asset, c.horizon, s.last + (s.value - b.value) AS value FROM recent s "
+    "JOIN cells c ON c.unit_id = s.unit_id AND c.asset = s.asset JOIN recent b ON b.unit_id = s.unit_id AND b.asset = s.asset AND b.rn = s.rn - c.horizon) WHERE draw < 200",
+    # only the rows that 200 changes over the longest horizon reach
+    {"recent": "SELECT x.unit_id, x.asset, x.value, x.rn, x.n, a.last FROM (SELECT unit_id, asset, value, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date) AS rn, "
+               "count(*) OVER (PARTITION BY unit_id, asset) AS n FROM cut) x JOIN anchors a ON a.unit_id = x.unit_id AND a.asset = x.asset WHERE x.n - x.rn < 200 + (SELECT max(horizon) FROM cells)"},
 )
 def forecaster_hook(t):
-    out = FC.run_forecaster(t.unit_panel, t.units, recent_changes, 30)
+    out = FC.run_forecaster(t.unit_panel, t.units, recent_changes, MIN_DRAWS)
     return rounded(out.withColumn("draw", F.col("draw").cast("long")))
