@@ -1,15 +1,16 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Fitted on a bounded sample: the ``EXAMPLES`` labelled rows whose ids have the least digests. Terms are words and
-their first four and five letters; the ``TERMS`` terms whose presence depends most on the label (chi-squared over
-the sample) span the vectors, weighted (1 + log tf) * log(n / df) and scaled to length 1. Vocabulary and examples are
-bounded by those parameters, so the index is broadcast.
+their first four and five letters. A term's evidence is its documents times the divergence of their label rate from
+the sample's, which bounds the probability of such a rate by chance; terms whose evidence exceeds what the best of all
+terms would reach by chance qualify, and the ``TERMS`` best of them span the vectors, weighted (1 + log tf) *
+log(n / df) and scaled to length 1. Vocabulary and examples are bounded by those parameters, so the index is broadcast.
 
 The index keeps each term's examples in order, cut into blocks of ``BLOCK`` examples, with the largest weight of each
 block. A document's terms give every block an upper bound of the cosine; blocks are scored from the highest bound down
 until the ``NEIGHBOURS``-th best cosine is above all bounds left, so the neighbours are those of a full scan. Ties go to
-the earlier example. The score is the vote of the neighbours, weighted by 1 / (distance + 0.05), drawn towards the
-sample's rate by one vote of a distant neighbour; documents that share no term with any example get the rate of the
+the earlier example. The score is the vote of the neighbours, weighted by cosine / (distance + 0.05), drawn towards
+the sample's rate by one vote at cosine 0.525; documents that share no term with any example get the rate of the
 examples without terms. The nearest example and its cosine are returned as evidence.
 
 Defined results: null and empty texts have no terms; without labelled rows every score is 0; several labels of one id:
@@ -31,8 +32,8 @@ from fanchart.llm.common import map_rows, table
 from fanchart.sources.materialize import materialized
 
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8192, 1024, 16, 64
-#: Least chi-squared of a term, and documents that must hold it.
-CHI, LEAST = 25.0, 5
+#: Documents of the sample that must hold a term.
+LEAST = 5
 PREFIXES = (4, 5)
 FOLDS = 5
 words = re.compile(r"[^\W_]+").findall
@@ -140,7 +141,7 @@ class Model:
         found, cosine = self.index.nearest(terms, values, k)
         if not len(found):
             return self.bare, None, 0.0
-        vote = 1 / (1.05 - np.minimum(cosine, 1.0))
+        vote = cosine / (1.05 - np.minimum(cosine, 1.0))
         score = float((vote @ self.label[found] + self.rate) / (vote.sum() + 1))
         return score, int(self.ids[found[0]]), float(cosine[0])
 
@@ -163,9 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         return Model({}, [(0, int(n1 > 0), np.zeros(0, np.int32), np.zeros(0))] if n0 + n1 else [])
     counts = sample.select("text", "toxic").mapInArrow(_term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n, df = float(n0 + n1), F.col("n0") + F.col("n1")
-    cross = F.col("n1") * float(n0) - F.col("n0") * float(n1)
-    chi = cross * cross * n / (df * (n - df) * float(n0) * float(n1))
-    best = counts.where((df >= LEAST) & (df < n)).select("term", df.alias("df"), chi.alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "term").limit(terms).collect()
+    counts = materialized(counts.where((df >= LEAST) & (df < n)).select("term", "n0", "n1", df.alias("df")), "tox-terms")
+    part = lambda k, all_: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / F.col("df") * (n / all_))).otherwise(0.0)
+    evidence = part("n0", float(n0)) + part("n1", float(n1))
+    chance = float(np.log(max(counts.count(), 1))) + 1
+    best = counts.withColumn("evidence", evidence).where(F.col("evidence") >= chance).orderBy(F.desc("evidence"), "term").limit(terms).collect()
     idf = {r.term: float(np.log(n / r.df)) for r in best}
     space = spark.sparkContext.broadcast(Terms(idf))
     rows = map_rows(sample, _vectors, "doc_id long, toxic int, terms array<int>, weights array<double>", space).collect()
