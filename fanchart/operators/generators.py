@@ -379,29 +379,29 @@ def continue_paths(moments: DataFrame, units: DataFrame, n_draws: int, seed: int
 def validate_draw_shape(draws: DataFrame, units: DataFrame, n_draws: int | Column) -> DataFrame:
     """Axis counts of each unit's draws against its grid.
 
-    Distinct axis labels are reduced cell by cell first, so no aggregate holds more than a grid.
+    Rows fold by their whole key first, so a repeated row cannot stand in for a missing one, and labels outside the
+    grid are counted, never gathered.
     """
-    axis = draws.groupBy("unit_id", "asset", "horizon").agg(
-        F.count("value").alias("n"), F.min("draw").alias("lo"), F.max("draw").alias("hi")
+    cells = draws.groupBy("unit_id", "asset", "horizon", "draw").agg(F.count(F.lit(1)).alias("k")).groupBy("unit_id", "asset", "horizon").agg(
+        F.sum("k").alias("n"), F.count(F.lit(1)).alias("distinct"), F.min("draw").alias("lo"), F.max("draw").alias("hi")
     )
-    got = axis.groupBy("unit_id").agg(
-        F.sum("n").alias("n_rows"),
+    axes = units.select("unit_id", "asset_ids", "horizons")
+    inside = F.coalesce(F.array_contains("asset_ids", F.col("asset")) & F.array_contains("horizons", F.col("horizon")), F.lit(False))
+    got = cells.join(axes, "unit_id").groupBy("unit_id").agg(
+        F.sum("n").alias("n_rows"), F.sum("distinct").alias("distinct"), F.count_if(~inside).alias("outside"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.sort_array(F.collect_set("asset")).alias("assets"),
-        F.sort_array(F.collect_set("horizon")).alias("hs"),
+        F.count_distinct("asset").alias("n_assets"), F.count_distinct("horizon").alias("n_horizons"),
     )
     want = n_draws if isinstance(n_draws, Column) else F.lit(n_draws)
+    size = want * F.size("asset_ids") * F.size("horizons")
     ok = (
-        (F.col("n_rows") == want * F.size("asset_ids") * F.size("horizons"))
+        (F.col("n_rows") == size) & (F.col("distinct") == size) & (F.col("outside") == 0)
         & (F.col("lo") == 0) & (F.col("hi") == want - 1)
-        & (F.col("assets") == F.sort_array("asset_ids"))
-        & (F.col("hs") == F.sort_array("horizons"))
     )
     return units.join(got, "unit_id", "left").select(
         "unit_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         (F.coalesce("hi", F.lit(-1)) + 1).alias("n_draws"),
-        F.size(F.coalesce("assets", F.array().cast("array<string>"))).alias("n_assets"),
-        F.size(F.coalesce("hs", F.array().cast("array<int>"))).alias("n_horizons"),
+        F.coalesce("n_assets", F.lit(0)).alias("n_assets"), F.coalesce("n_horizons", F.lit(0)).alias("n_horizons"),
         F.coalesce(ok, F.lit(False)).alias("valid"),
     )
 

@@ -125,8 +125,21 @@ def evaluate_tree(spark: SparkSession, unit_root: str, submission_root: str, pla
     return replace(ev, organizer_faults=stop)
 
 
+def producer_faults(panel: DataFrame, units: DataFrame) -> DataFrame:
+    """``(unit_id, fault)`` of units that no text-blind walk can be made for: an asset without a row up to the as-of,
+    or too few common rows. Such units stop the producer; call ``raise_on_faults`` before writing its draws."""
+    clean = P.drop_nonfinite(panel)
+    absent = P.require_assets(clean, units).select("unit_id", F.lit("an asset has no row").alias("fault")).distinct()
+    steps = P.gap_guard(P.first_diff(P.select_panel(P.asof_cut(clean, units))))
+    short = P.short_history(steps, units).select("unit_id", F.lit("too few common rows").alias("fault"))
+    return absent.unionByName(short)
+
+
 def baseline_draws(panel: DataFrame, units: DataFrame, n_draws: int = C.DEFAULT_DRAWS, seed: int = 0) -> DataFrame:
-    """The text-blind joint walk for all units: cut, choose panels, difference, align, correlate."""
+    """The text-blind joint walk for all units: cut, choose panels, difference, align, correlate.
+
+    Units named by :func:`producer_faults` have no draws.
+    """
     history = P.select_panel(P.asof_cut(P.drop_nonfinite(panel), units))
     aligned = P.align(P.gap_guard(P.first_diff(history)), units)
     factors = FC.correlation_factors(aligned, units)

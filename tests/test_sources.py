@@ -13,7 +13,7 @@ from fanchart.operators import gates as G
 from fanchart.operators import metrics as M
 from fanchart.operators import panel as P
 from fanchart import contract as C
-from fanchart.plans.scoring import baseline_draws, evaluate_tree, score_submissions, submission_tables
+from fanchart.plans.scoring import baseline_draws, evaluate_tree, producer_faults, score_submissions, submission_tables
 from fanchart.sources import readers as R
 from fanchart.sources import writers as W
 
@@ -275,3 +275,15 @@ def test_baseline_over_the_tree(spark, tree):
     assert draws.count() == 2 * 250 * 4
     counts = G.degenerate_draws(draws, units.withColumn("family", F.lit("F3"))).collect()
     assert {r.degenerate_cells for r in counts} == {0} and {r.warning for r in counts} == {"below 500 draws"}
+
+
+def test_units_without_history_are_faults(spark, tree):
+    units, _ = R.trusted_asof(R.read_units(spark, str(tree)))
+    panel = P.normalize_panel(R.read_panels(spark, str(tree)))
+    assert producer_faults(panel, units).count() == 0
+    thin = panel.where((F.col("unit_id") != UNITS[0]) | (F.col("asset") != ASSETS[0]))
+    late = F.col("date") > F.date_sub(F.lit(ASOF).cast("date"), 5)
+    thin = thin.where((F.col("unit_id") != UNITS[1]) | late)
+    assert {(r.unit_id, r.fault) for r in producer_faults(thin, units).collect()} == {
+        (UNITS[0], "an asset has no row"), (UNITS[0], "too few common rows"), (UNITS[1], "too few common rows"),
+    }
