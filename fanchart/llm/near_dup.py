@@ -38,8 +38,10 @@ WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 K, CHUNKS, RADIUS = 24, 6, 11
-#: Members of one block of a bucket.
-BLOCK = 256
+#: Members of one block of a large bucket, and from how many members on a bucket is large.
+BLOCK, LARGE = 128, 32
+#: Shingles that one product of a block's incidence matrix takes.
+SLICE = 4096
 
 U = np.uint64
 _rng = np.random.default_rng(20240611)
@@ -142,31 +144,90 @@ def _close(batch: pa.RecordBatch) -> dict:
     return {"a": batch["a"].to_numpy()[near], "b": batch["b"].to_numpy()[near], "d": d[near].astype(np.int32)}
 
 
-def _across(batches):
-    """Close pairs of different components; batches are sorted by (key, i, j), a block pair per group."""
+def whole_groups(batches, columns: tuple[str, ...]):
+    """Tables of whole groups from batches sorted by ``columns``; the last group of a batch may go on in the next."""
     rest = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         if rest is not None and rest.num_rows:
             t = pa.concat_tables([rest, t])
-        key, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
-        same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
-        whole = len(key) - int(same.sum())  # the last group may go on
+        same = np.logical_and.reduce([(v := t[c].to_numpy()) == v[-1] for c in columns])
+        whole = t.num_rows - int(same.sum())
         rest = t.slice(whole)
         if whole:
-            yield from _pairs(t.slice(0, whole))
+            yield t.slice(0, whole)
     if rest is not None and rest.num_rows:
-        yield from _pairs(rest)
+        yield rest
+
+
+def _across(batches):
+    """Close pairs of different components; batches are sorted by key."""
+    for t in whole_groups(batches, ("key",)):
+        yield from _pairs(t)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted sets."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for i in range(0, int(shared.sum()), SLICE):
+        a, b = np.searchsorted(column, (i, i + SLICE))
+        part = np.zeros((n, SLICE), np.float32)
+        part[row[a:b], column[a:b] - i] = 1
+        out += part @ part.T
+    size = np.array([len(s) for s in sets])
+    out[np.arange(n), np.arange(n)] = size
+    return out.astype(np.int64)
+
+
+def _block_links(batches, percent: int):
+    """Links that join components, of each block pair of a large bucket; batches are sorted by (key, i, j)."""
+    for t in whole_groups(batches, ("key", "i", "j")):
+        key, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
+        cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        for a, b in zip(cut, np.append(cut[1:], len(key))):
+            part = t.slice(a, b - a)
+            rep, root, block = (part[c].to_numpy() for c in ("rep", "root", "block"))
+            if (root == root[0]).all():
+                continue
+            sets = [shingles(zlib.decompress(x)) for x in part["packed"].to_pylist()]
+            both, size = intersections(sets), np.array([len(s) for s in sets])
+            near = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (root[:, None] != root[None, :])
+            near &= (block[:, None] != block[None, :]) | (i[a] == j[a])
+            x, y = np.nonzero(np.triu(near, 1))
+            joined = {}
+
+            def find(r):
+                while joined.get(r, r) != r:
+                    r = joined[r]
+                return r
+
+            kept = []
+            for k, (u, v) in enumerate(zip(root[x].tolist(), root[y].tolist())):
+                u, v = find(u), find(v)
+                if u != v:
+                    joined[max(u, v)] = min(u, v)
+                    kept.append(k)
+            if kept:
+                yield pa.RecordBatch.from_pydict({"a": rep[x[kept]], "b": rep[y[kept]]})
 
 
 def _pairs(t: pa.Table):
-    key, i, j, rep, root, block = (t[c].to_numpy() for c in ("key", "i", "j", "rep", "root", "block"))
+    key, rep, root = (t[c].to_numpy() for c in ("key", "rep", "root"))
     sig = _signatures(t["sig"].combine_chunks())
     for shift in range(1, len(key)):
-        group = (key[shift:] == key[:-shift]) & (i[shift:] == i[:-shift]) & (j[shift:] == j[:-shift])
+        group = key[shift:] == key[:-shift]
         if not group.any():
             break
-        at = np.flatnonzero(group & (root[shift:] != root[:-shift]) & ((i[shift:] == j[shift:]) | (block[shift:] != block[:-shift])))
+        at = np.flatnonzero(group & (root[shift:] != root[:-shift]))
         d = (sig[at] != sig[at + shift]).sum(axis=1)
         at, d = at[d <= RADIUS], d[d <= RADIUS]
         if len(at):
@@ -174,36 +235,51 @@ def _pairs(t: pa.Table):
             yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": d.astype(np.int32)})
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components, with their component."""
+    r = roots.select(F.col("id").alias("rid"), F.col("root").alias("rroot"))
+    m = members.join(r, F.col("rep") == F.col("rid"), "left").select("key", "rep", "n", F.coalesce("rroot", "rep").alias("root"))
+    split = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    return m.join(split, F.col("key") == F.col("k")).drop("k")
+
+
 def across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d): close pairs of members of one bucket that lie in different components.
+    """(a, b, d): close pairs of members of one bucket below ``LARGE`` that lie in different components.
 
     ``members`` (key, head, n, rep) has the buckets of at least two, ``roots`` (id, root) the components so far.
     Pairs with a bucket's head are not made here, they are known.
     """
-    r = roots.select(F.col("id").alias("rid"), F.col("root").alias("rroot"))
-    m = members.where("n >= 3 AND rep <> head").join(r, F.col("rep") == F.col("rid"), "left").select("key", "rep", F.coalesce("rroot", "rep").alias("root"))
-    split = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    m = m.join(split.select(F.col("key").alias("k"), F.ceil(F.col("size") / BLOCK).alias("blocks")), F.col("key") == F.col("k"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    m = _rooted(members.where((F.col("n") >= 3) & (F.col("n") < LARGE) & (F.col("rep") != F.col("head"))), roots)
     s = sets.select(F.col("rep").alias("sid"), "sig")
-    m = m.join(s, F.col("rep") == F.col("sid")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "sig")
-    dealt = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    m = m.join(s, F.col("rep") == F.col("sid")).select("key", "rep", "root", "sig")
+    dealt = m.repartition("key").sortWithinPartitions("key", "rep")
     return dealt.mapInArrow(_across, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def across_large(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join components within buckets of ``LARGE`` members or more."""
+    m = _rooted(members.where(F.col("n") >= LARGE), roots)
+    m = m.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("of"), "root")
+    m = m.join(texts, F.col("of") == F.col("rep")).select("key", "i", "j", "block", "rep", "root", "packed")
+    dealt = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return dealt.mapInArrow(lambda batches: _block_links(batches, percent), "a long, b long")
+
+
 def _pack(batch: pa.RecordBatch) -> dict:
     return {"rep": batch["rep"], "packed": pa.array([zlib.compress((t or "").encode(), 1) for t in batch["text"].to_pylist()], pa.binary())}
 
 
 def _confirm(batch: pa.RecordBatch, percent: int) -> dict:
+    # texts arrive by their second id, so that one changes rarely
     kept, last = [], (None, None)
-    for k, (a, ta, tb) in enumerate(zip(batch["a"].to_pylist(), batch["ta"].to_pylist(), batch["tb"].to_pylist())):
-        if last[0] != a:
-            last = (a, shingles(zlib.decompress(ta)))
-        y = shingles(zlib.decompress(tb))
-        both = len(np.intersect1d(last[1], y, assume_unique=True))
-        if 100 * both >= percent * (len(last[1]) + len(y) - both):
+    for k, (b, ta, tb) in enumerate(zip(batch["b"].to_pylist(), batch["ta"].to_pylist(), batch["tb"].to_pylist())):
+        if last[0] != b:
+            last = (b, shingles(zlib.decompress(tb)))
+        x = shingles(zlib.decompress(ta))
+        both = len(np.intersect1d(last[1], x, assume_unique=True))
+        if 100 * both >= percent * (len(last[1]) + len(x) - both):
             kept.append(k)
     return {"a": batch["a"].take(pa.array(kept, pa.int64())), "b": batch["b"].take(pa.array(kept, pa.int64()))}
 
@@ -232,7 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     provisional = components(star)
     pairs = materialized(star.unionByName(across(members, provisional, sets)), "near-pairs")
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    large = members.where(F.col("n") >= LARGE).select(F.col("rep").alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large).distinct()
     found = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, F.col("rep") == F.col("id"), "left_semi")
     texts = materialized(map_rows(found, _pack, "rep long, packed binary").groupBy("rep").agg(F.first("packed").alias("packed")), "near-texts")
 
@@ -243,9 +320,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ra, rb = roots.select(F.col("id").alias("ia"), F.col("root").alias("xa")), roots.select(F.col("id").alias("ib"), F.col("root").alias("xb"))
     open_ = pairs.select("a", "b").join(best.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
     open_ = open_.join(ra, F.col("a") == F.col("ia"), "left").join(rb, F.col("b") == F.col("ib"), "left").where("coalesce(xa, a) <> coalesce(xb, b)").select("a", "b")
-    inside = members.join(ids, F.col("rep") == F.col("id"), "left_semi")
+    inside = members.where(F.col("n") < LARGE).join(ids, F.col("rep") == F.col("id"), "left_semi")
     more = open_.unionByName(across(inside, roots, sets).select("a", "b")).distinct()
-    links = links.unionByName(confirm(more, texts, percent))
+    links = links.unionByName(confirm(more, texts, percent)).unionByName(across_large(members, roots, texts, percent))
 
     # classes of equal sets, and rows of one doc_id, hang together as well
     named = part.select("doc_id", "d1", "d2", "n_shingles").join(sets.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n_shingles").alias("en"), "rep"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") == F.col("en")))

@@ -52,6 +52,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and sum(not k for _, _, k in want.values()) > 20
 
 
+def test_a_large_group_whose_members_mostly_lie_below_the_threshold(spark):
+    rnd = random.Random(11)
+    base, rows = [f"v{rnd.randrange(9999)}" for _ in range(150)], []
+    for i in range(330):
+        words = list(base)
+        for _ in range(rnd.randrange(9)):
+            words[rnd.randrange(150)] = f"x{rnd.random()}"
+        rows.append((i * 17 % 997, " ".join(words), "en", "a", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, edge.SCHEMA)).collect()}
+    assert got == near_brute(rows)
+
+
+def test_intersections_of_all_pairs():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000), dtype=np.uint64)) for _ in range(30)]
+    m = near_dup.intersections(sets)
+    assert all(m[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30))
+
+
 def test_near_duplicates_edges(spark):
     out = near_dup.near_duplicates(edge.docs(spark)).collect()
     assert len(out) == len(edge.ROWS)
