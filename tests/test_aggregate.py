@@ -45,6 +45,23 @@ def test_nonfinite_scores_are_faults_and_never_averaged(spark):
         G.raise_on_faults(A.nonfinite_scores(bad), "scores")
 
 
+def test_missing_repeated_and_foreign_rows_cannot_move_a_mean(spark, roster):
+    rows = results(spark, [1.0, 2.0, float("nan")]).unionByName(results(spark, [3.0, 0.0]))
+    rows = rows.unionByName(spark.createDataFrame([("s", "elsewhere", "success", 0.0), ("t", "elsewhere", "success", 0.0)], rows.schema))
+    got = {r.submission_id: r for r in A.roster_mean(rows, roster).collect()}
+    # u0 and u1 count once with their worse value, u2 is not finite, three units have no row
+    assert (got["s"].n_scored, got["s"].n_failure) == (2, 4) and got["s"].value == pytest.approx((3.0 + 2.0 + 16) / 6)
+    assert (got["t"].n_scored, got["t"].value) == (0, 4.0)
+
+
+def test_bootstrap_counts_absent_units_as_failures(spark, roster):
+    rows = results(spark, [1.0, 1.0]).unionByName(results(spark, [None] * 6, "none"))
+    means = A.bootstrap_means(rows, roster, 400, 3).groupBy("submission_id").agg(F.count("*").alias("n"), F.avg("mean").alias("m"), F.max("mean").alias("hi"), F.min("mean").alias("lo"))
+    got = {r.submission_id: r for r in means.collect()}
+    assert got["s"].n == got["none"].n == 400 and got["none"].lo == got["none"].hi == 4.0
+    assert got["s"].m == pytest.approx(A.roster_mean(rows.where("submission_id = 's'"), roster).first().value, abs=0.15)
+
+
 def test_leaderboard_ranks_ascending_with_ties(spark, roster):
     rows = results(spark, [1] * 6, "b").unionByName(results(spark, [0.5] * 6, "a")).unionByName(results(spark, [1] * 6, "c"))
     board = A.leaderboard(A.roster_mean(rows, roster)).collect()
