@@ -39,7 +39,7 @@ WORDS = 5
 PERCENT = 85
 K, CHUNKS, RADIUS = 24, 6, 11
 #: Members of one block of a large bucket, and from how many members on a bucket is large.
-BLOCK, LARGE = 128, 32
+BLOCK, LARGE = 384, 32
 #: Shingles that one product of a block's incidence matrix takes.
 SLICE = 4096
 

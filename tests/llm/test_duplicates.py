@@ -55,7 +55,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_a_large_group_whose_members_mostly_lie_below_the_threshold(spark):
     rnd = random.Random(11)
     base, rows = [f"v{rnd.randrange(9999)}" for _ in range(150)], []
-    for i in range(330):
+    for i in range(460):
         words = list(base)
         for _ in range(rnd.randrange(9)):
             words[rnd.randrange(150)] = f"x{rnd.random()}"
