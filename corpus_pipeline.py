@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each written and read again as the next one's input.
 
 toxicity drops the documents that score 0.5 or more; line_dedup takes shared lines out of the texts; near_dedup keeps
-one document of each group of near duplicates; mixing repeats or drops documents so that sources meet their target
+one document of each group of near duplicates (shingle sets of similarity ``NEAR_PERCENT`` / 100 or more); mixing repeats or drops documents so that sources meet their target
 weights; bpe encodes what is left and decodes it again. All stages but the last return the columns of their input;
 ``n_chars``, where present, follows the text.
 
@@ -21,6 +21,8 @@ from fanchart.sources.materialize import shared_folder
 
 #: No SQL: nearest neighbours, signatures and tokenization are beyond it. Tests hold run() against brute force.
 ORACLE_SQL = None
+#: Similarity of near duplicates in percent; op2_near_dup has a contract of its own.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that share a doc_id all stay or go together."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_dup.near_duplicates(docs, NEAR_PERCENT).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

@@ -3,8 +3,9 @@
 A signature has ``K`` symbols of 32 bits, each the minimum of one hash over a document's shingles; two sets of
 similarity s differ in a symbol with probability 1 - s. All pairs within ``RADIUS`` differing symbols are found:
 the signature is cut into ``CHUNKS`` chunks, so by the pigeonhole principle some chunk has at most
-RADIUS // CHUNKS errors, and every way to leave out that many symbols of a chunk is a bucket key. At the link
-threshold (0.85) a pair lies beyond the radius with a probability of about 6e-5; nothing else is lost.
+RADIUS // CHUNKS errors, and every way to leave out that many symbols of a chunk is a bucket key. A pair of
+similarity 0.8, the pipeline's threshold, lies beyond the radius with a probability of about 6e-5, one of 0.85, that of
+``op2_near_dup``, with 9e-7; nothing else is lost.
 
 Equal sets are one class before anything is joined. Within a bucket members are first compared with its least
 member only; links found there give provisional components, and only members of different components are compared
@@ -37,7 +38,7 @@ from fanchart.sources.materialize import materialized
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-K, CHUNKS, RADIUS = 24, 6, 11
+K, CHUNKS, RADIUS = 36, 9, 17
 #: Members of one block of a large bucket, and from how many members on a bucket is large.
 BLOCK, LARGE = 384, 32
 #: Shingles that one product of a block's incidence matrix takes.

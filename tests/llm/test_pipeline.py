@@ -87,3 +87,17 @@ def test_extra_columns_with_clashing_names_pass(spark, corpus):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns, name
         out.collect()
+
+
+def test_near_dedup_takes_similarities_of_four_fifths(spark, corpus):
+    rows = []
+    for g in range(30):
+        words = [f"g{g}w{i}" for i in range(100)]
+        # one shingle set of 96 less 5 to 25: similarities from 0.90 down to 0.59
+        for k in range(2):
+            other = [f"x{i}" if k and i % 20 == 10 and i // 20 < 1 + g % 5 else w for i, w in enumerate(words)]
+            rows.append((10 * g + k, " ".join(other), "en", "a", 0))
+    want = near_brute(rows, 80)
+    assert 0 < sum(not k for _, _, k in near_brute(rows).values()) < sum(not k for _, _, k in want.values()) < 30
+    out = dict(pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, edge.SCHEMA), corpus[2])
+    assert {r.doc_id for r in out.collect()} == {d for d, (_, _, kept) in want.items() if kept}
