@@ -5,7 +5,8 @@ one document of each group of near duplicates (shingle sets of similarity ``NEAR
 weights; bpe encodes what is left and decodes it again. All stages but the last return the columns of their input;
 ``n_chars``, where present, follows the text.
 
-Documents whose text has no words have nothing to mix and end at mixing. Copies that mixing adds are rows of their own.
+Documents whose text has no words have nothing to mix and end at mixing; all others, with or without an id, get the
+copies that the mix gives their row. Copies that mixing adds are rows of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fanchart.llm import bpe, lines, mixing, near_dup, toxicity
 from fanchart.llm.common import table
-from fanchart.sources.materialize import shared_folder
+from fanchart.sources.materialize import materialized, shared_folder
 
 #: No SQL: nearest neighbours, signatures and tokenization are beyond it. Tests hold run() against brute force.
 ORACLE_SQL = None
@@ -44,13 +45,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(mixing.sized_with_weight(docs, table(spark, sf_dir, "labels")))
-    # rows of one id share their sampling key; their copies are dealt to them in the order of their sizes
-    copies = mixed.where("copies > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__of"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    copies = copies.groupBy("__of", "__source", "__size").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
-    same = (F.col("doc_id") == F.col("__of")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.n_words(F.col("text")) == F.col("__size"))
-    times = F.ceil(F.col("__sum") / F.col("__n")).cast("int")
-    return docs.join(copies, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # ids may be absent or repeated: rows are written once with a key of their own
+    rows = materialized(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mixing.mix(mixing.sized_with_weight(rows, table(spark, sf_dir, "labels"), carry=["__row"]), carry=["__row"])
+    copies = mixed.where("copies > 0").select(F.col("__row").alias("__of"), F.col("copies").cast("int").alias("__times"))
+    out = rows.join(copies, F.col("__row") == F.col("__of")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ the smaller size); an empty table gives no rows. Only ``doc_id``, ``source``, ``
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,10 +58,10 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS)
     return t.select("source", "source_size", "n_docs", "target")
 
 
-def mix(docs: DataFrame, *, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``docs`` (doc_id, source, size, weight) -> doc_id, source, size, source_size, target, copies, taken."""
+def mix(docs: DataFrame, *, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_rows: int = RANGE_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+    """``docs`` (doc_id, source, size, weight, carried) -> doc_id, source, size, source_size, target, copies, taken, carried."""
     weight = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
-    sized = materialized(docs.select("doc_id", "source", "size", weight.alias("w")), "mix-sized")
+    sized = materialized(docs.select("doc_id", "source", "size", weight.alias("w"), *carry), "mix-sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), cycle, max_epochs)
     s = targets.withColumnRenamed("source", "of")
     keyed = sized.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w"))
@@ -70,7 +72,7 @@ def mix(docs: DataFrame, *, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str
     offset = F.sum("in_cut").over(W.partitionBy("source").orderBy("cut")) - F.col("in_cut")
     offsets = sums.select(F.col("source").alias("of"), F.col("cut").alias("of_cut"), offset.alias("offset"))
     placed = keyed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("cut") == F.col("of_cut"))).drop("of", "of_cut")
-    inside = W.partitionBy("source", "cut").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "cut").orderBy("key", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("upto", F.col("offset") + F.sum("size").over(inside))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = placed.withColumn("epochs", F.least(epochs, F.lit(max_epochs)).cast("long"))
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, *, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str
     # the document on the edge goes where its middle lies
     part = (F.col("size") > 0) & (F.col("epochs") < max_epochs) & (F.col("upto") - F.col("size") / 2 <= left)
     copies = F.when(F.col("size") > 0, F.col("epochs") + part.cast("long")).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
 
 
 def label_weight(labels: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def label_weight(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).select("doc_id", F.expr("CASE WHEN q = 1 THEN 2.0D WHEN q = 0 THEN 0.5D ELSE 1.0D END").alias("weight"))
 
 
-def sized_with_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight): words are counted before anything is shuffled, so no text is."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).join(label_weight(labels), "doc_id", "left")
+def sized_with_weight(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, weight, carried): words are counted before anything is shuffled, so no text is."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry).join(label_weight(labels), "doc_id", "left")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,15 @@ def test_near_dedup_takes_similarities_of_four_fifths(spark, corpus):
     assert 0 < sum(not k for _, _, k in near_brute(rows).values()) < sum(not k for _, _, k in want.values()) < 30
     out = dict(pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, edge.SCHEMA), corpus[2])
     assert {r.doc_id for r in out.collect()} == {d for d, (_, _, kept) in want.items() if kept}
+
+
+def test_mixing_keeps_rows_without_id_and_meets_targets_with_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # a has target weight 1, b 2: all of one id in a, none has an id in b
+    rows = [(7, f"a{i} is a text of eight words in all", "en", "a", i) for i in range(300)] + [(None, f"b{i} is a text of eight words in all", "en", "b", i) for i in range(150)]
+    out = [tuple(r) for r in dict(pipeline.STAGES)["mixing"](spark, spark.createDataFrame(rows, edge.SCHEMA), str(tmp_path)).collect()]
+    taken = Counter(out)
+    per = Counter(r[3] for r in out)
+    # 9 words a row, 450 rows in all: a gets 150, b 300, which is two whole epochs
+    assert set(taken) <= set(rows) and abs(per["a"] - 150) <= 1 and abs(per["b"] - 300) <= 1
+    assert {n for r, n in taken.items() if r[0] is None} == {2} and {n for r, n in taken.items() if r[0] == 7} == {1}
