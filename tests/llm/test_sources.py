@@ -138,3 +138,21 @@ def test_trust_and_distrust_spread_over_links(spark):
         action = pages[r.page_id][2]
         assert r.verdict == (action or ("block" if distrust - trust > links.THRESHOLD else "allow"))
     assert {r.verdict for r in links.judge(spark.createDataFrame(rows, PAGES)).where("rule IS NULL").collect()} == {"allow", "block"}
+
+
+def test_verdicts_reach_far_hosts_and_do_not_depend_on_the_number_of_pages(spark):
+    link = lambda host: f'<a href="http://{host}/">'
+    # d0 links to a blocked host, d1 to d0, and so on; mixed.info has an allowed and a blocked neighbour
+    graph = [("spam.net", "/", "")] + [(f"d{i}.info", "/", link(f"d{i - 1}.info" if i else "spam.net")) for i in range(12)]
+    graph += [("good.org", "/fr/", link("mixed.info")), ("mixed.info", "/", link("spam.net")), ("e.info", "/", link("bad.net"))] + [("bad.net", "/", "")] * 3
+
+    def run(times):
+        rows = [(i, f"http://{h}{p}", html) for i, (h, p, html) in enumerate(graph * times)]
+        return {r.host: r for r in links.judge(spark.createDataFrame(rows, PAGES)).collect()}
+
+    one, ten = run(1), run(10)
+    assert {h: r.verdict for h, r in one.items()} == {h: r.verdict for h, r in ten.items()}
+    assert {r.verdict for r in one.values() if not r.rule} == {"allow", "block"}
+    # half of spam.net's distrust goes to d0, and 0.85 of a host's to the next
+    for i in range(12):
+        assert math.isclose(one[f"d{i}.info"].distrust, 0.15 * 0.5 * 0.85 ** (i + 1), rel_tol=1e-9)
