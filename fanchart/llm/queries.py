@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanchart.llm import bit_sliced, bpe, graph_search, lines, links, mixing, near_dup, suffix, token_count, toxicity
+from fanchart.llm import bit_sliced, bpe, graph_search, lines, links, mixing, near_dup, resampling, suffix, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": links.op8_url_filters,
     "op9_suffix_dedup": suffix.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_resampling": resampling.op11_resampling,
 }
-SQL: dict[str, str] = {"op6_line_dedup": lines.SQL, "op7_exact_topk": bit_sliced.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_line_dedup": lines.SQL, "op7_exact_topk": bit_sliced.SQL, "op10_mixing": mixing.SQL, "op11_resampling": resampling.SQL}
