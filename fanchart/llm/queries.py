@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanchart.llm import bit_sliced, bpe, graph_search, lines, links, mixing, near_dup, resampling, suffix, token_count, toxicity
+from fanchart.llm import bit_sliced, bpe, divergence, graph_search, lines, links, mixing, near_dup, packing, resampling, suffix, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,5 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": suffix.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
     "op11_resampling": resampling.op11_resampling,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_packing": packing.op13_packing,
+}
+SQL: dict[str, str] = {
+    "op6_line_dedup": lines.SQL, "op7_exact_topk": bit_sliced.SQL, "op10_mixing": mixing.SQL, "op11_resampling": resampling.SQL, "op12_divergence": divergence.SQL,
 }
-SQL: dict[str, str] = {"op6_line_dedup": lines.SQL, "op7_exact_topk": bit_sliced.SQL, "op10_mixing": mixing.SQL, "op11_resampling": resampling.SQL}
