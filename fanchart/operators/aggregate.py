@@ -9,6 +9,7 @@ from fanchart import contract as C
 from fanchart.contract import UNIT_KEYS
 from fanchart.functions.columns import clamp, is_finite
 from fanchart.functions.hashing import uniform
+from fanchart.operators.ranking import global_rank
 
 
 def clip_score(c: str | Column) -> Column:
@@ -97,10 +98,9 @@ def provenance(rows: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def leaderboard(aggregates: DataFrame) -> DataFrame:
-    """Lower is better. One row per submission is ordered; no unit row reaches this sort."""
-    return aggregates.withColumn("rank", F.rank().over(Window.orderBy("value"))).orderBy(
-        "rank", "submission_id"
-    )
+    """Lower is better; equal values share a rank. Submissions are ranked in sorted ranges of their distinct values."""
+    ranked = global_rank(aggregates, "value", "rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).orderBy("rank", "submission_id")
 
 
 def bootstrap_means(results: DataFrame, units: DataFrame, replicates: int, seed: int = 0) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanchart.contract import MAX_DOC_CHARS, MAX_DOCS
-
-WORDS = r"[^\s]+"
+from fanchart.operators.shared_runs import longest_shared_run  # noqa: F401
 
 
 def docs_asof(index: DataFrame, docs: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,36 +110,6 @@ def passage_overlap(docs: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def longest_shared_run(docs: DataFrame, refs: DataFrame, seed_words: int = 8) -> DataFrame:
-    """Longest run of consecutive words a document shares with one reference, from ``seed_words`` up.
-
-    Word n-grams are joined by digest and matched positions on one diagonal of a (document,
-    reference) pair are joined into runs. Exact copies collapse to one text on each side first, so a
-    passage copied into a third of the documents is compared once.
-    """
-    def grams(df: DataFrame, key: str, pos: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(pos)
-        words = df.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), 0)).alias(pos, "w"))
-        return words.select(
-            key, pos,
-            F.collect_list("w").over(w.rowsBetween(0, seed_words - 1)).alias("g"),
-        ).where(F.size("g") == seed_words).select(key, pos, F.sha2(F.concat_ws(" ", "g"), 256).alias("h"))
-
-    left = docs.select(F.sha2("text", 256).alias("d"), "text", "doc_id")
-    right = refs.select(F.sha2("text", 256).alias("r"), "text").dropDuplicates(["r"])
-    a = grams(left.dropDuplicates(["d"]), "d", "i")
-    b = grams(right, "r", "j")
-    a = a.join(b.select("h").distinct(), "h", "left_semi")
-    diagonal = Window.partitionBy("d", "r", "k").orderBy("i")
-    hits = a.join(b, "h").withColumn("k", F.col("i") - F.col("j"))
-    runs = (
-        hits.withColumn("island", F.col("i") - F.row_number().over(diagonal))
-        .groupBy("d", "r", "k", "island").agg((F.count("i") + seed_words - 1).alias("run"))
-        .groupBy("d").agg(F.max("run").alias("longest_run"))
-    )
-    return left.select("doc_id", "d").join(runs, "d").select("doc_id", "longest_run")
-
-
 def phrase_search(docs: DataFrame, patterns: dict[str, str], control: str) -> DataFrame:
     """Documents and hits per pattern, with a planted control that every pattern set must find.
 

@@ -530,17 +530,28 @@ def evidence_present(scored: DataFrame, evidence: DataFrame) -> DataFrame:
     return scored.select(*UNIT_KEYS).join(full.select(*UNIT_KEYS), UNIT_KEYS, "left_anti")
 
 
-def min_gap(units: DataFrame) -> DataFrame:
-    """Calendar months between as-of and first target that each family requires."""
-    # Months per family; F4 only has to precede its shock by the horizon.
-    months = F.create_map(
-        F.lit("F1"), F.lit(6), F.lit("F2"), F.lit(3), F.lit("F3"), F.lit(1), F.lit("F4"), F.lit(0)
-    )
-    need = F.coalesce(F.element_at(months, F.col("family")), F.lit(0))
+def min_gap(units: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The distance that each family requires of the as-of: calendar months before the first target, and for F4 its
+    longest horizon in business days before the shock.
+
+    ``units`` has ``target_dates`` and ``shock_date`` (F4 only), ``calendar`` is that of
+    :func:`fanchart.operators.panel.business_calendar`: a closed day counts as the previous open one. A unit whose
+    dates are absent or outside the calendar is not ok.
+    """
+    # Months per family.
+    months = F.create_map(F.lit("F1"), F.lit(6), F.lit("F2"), F.lit(3), F.lit("F3"), F.lit(1))
+    shock = F.col("family") == "F4"
+    need = F.when(~shock, F.coalesce(F.element_at(months, F.col("family")), F.lit(0)))
+    days = F.when(shock, F.array_max("horizons"))
     first = F.to_date(F.array_min("target_dates"))
-    return units.select(
-        "unit_id", "family", need.alias("min_months"), first.cast("string").alias("first_target"),
-        (F.add_months("asof", need) <= first).alias("ok"),
+    at = calendar.select(F.col("date").alias("_d"), F.col("idx").alias("_asof_idx"))
+    on = calendar.select(F.col("date").alias("_s"), F.col("idx").alias("_shock_idx"))
+    placed = units.join(at, F.col("asof") == F.col("_d"), "left").join(on, F.col("shock_date") == F.col("_s"), "left")
+    gap = F.when(shock, F.col("_shock_idx") - F.col("_asof_idx"))
+    ok = F.when(shock, gap >= days).otherwise(F.add_months("asof", need) <= first)
+    return placed.select(
+        "unit_id", "family", need.alias("min_months"), days.alias("min_days"), first.cast("string").alias("first_target"),
+        gap.cast("int").alias("gap_days"), F.coalesce(ok, F.lit(False)).alias("ok"),
     )
 
 

@@ -394,6 +394,12 @@ def h_change_stats(panel: DataFrame, h: int) -> DataFrame:
     )
 
 
+def recent_rows(panel: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` rows of each series; only as many leave a task before the shuffle."""
+    newest = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("date")))
+    return panel.withColumn("_age", newest).where(F.col("_age") <= n).drop("_age")
+
+
 def vol_regime(panel: DataFrame, window: int = 21, decay: float = 0.94) -> DataFrame:
     """EWMA and trailing-window volatility of guarded differences, next to the full history.
 

@@ -33,6 +33,8 @@ FAMILIES = {
     "F3": (["A", "N", "R"], [5], "pinball"),
     "F4": (["A", "N", "R"], [5, 21], "pinball"),
 }
+#: Every horizon of the families.
+HORIZONS = tuple(sorted({h for _, horizons, _ in FAMILIES.values() for h in horizons}))
 
 
 def _array(values: list, quote: bool) -> str:

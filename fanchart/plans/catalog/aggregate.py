@@ -78,9 +78,11 @@ def bootstrap_ci(t):
     return rounded(A.bootstrap_ci(t.results, t.units, seed=1), 5)
 
 
-@query("agg8_uplift", f"SELECT o.submission_id, 'rw' AS baseline, count(*) AS n_units, {rd('avg(b.counted) - avg(o.counted)', 5)} AS uplift FROM counted o JOIN counted b ON b.unit_id = o.unit_id AND b.submission_id = 'rw' WHERE o.submission_id <> 'rw' GROUP BY 1")
+@query("agg8_uplift", f"SELECT submission_id, baseline, n_units, {rd('base - own', 5)} AS uplift FROM (SELECT o.submission_id, b.submission_id AS baseline, count(*) AS n_units, avg(b.counted) AS base, avg(o.counted) AS own FROM counted o "
+       "JOIN counted b ON b.unit_id = o.unit_id WHERE b.submission_id IN ('hist', 'rw') AND o.submission_id NOT IN ('hist', 'rw') GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY base, baseline) = 1")
 def uplift(t):
-    return rounded(A.uplift(t.results, ["rw"]), 5)
+    """The better of two text-blind baselines."""
+    return rounded(A.uplift(t.results, ["rw", "hist"]), 5)
 
 
 @query("agg9_ablation_delta", f"SELECT 'text' AS submission_id, f.unit_id, {rd('h.composite - f.composite', 5)} AS delta FROM scored f JOIN scored h ON h.unit_id = f.unit_id WHERE f.submission_id = 'adj' AND h.submission_id = 'hist'")
@@ -129,7 +131,7 @@ def rerun_overlap(t):
     return rounded(A.rerun_overlap(A.bootstrap_ci(t.results, t.units, seed=1), A.bootstrap_ci(t.results, t.units, seed=2)), 5)
 
 
-@query("agg15_parity", f"SELECT submission_id, unit_id, {rd('composite', 5)} AS a, {rd('composite + 1', 5)} AS b FROM scored WHERE submission_id = 'rw' AND unit_id LIKE 'F3-%'")
+@query("agg15_parity", f"SELECT submission_id, unit_id, {rd('composite', 5)} AS a, {rd('composite + 1', 5)} AS b FROM scored WHERE unit_id LIKE 'F3-%'")
 def parity(t):
     """Two scorings of the same draws in different row orders agree but for a planted change."""
     def path(draws):
@@ -137,8 +139,8 @@ def parity(t):
         return M.composite(comps, t.units, t.scale).select("submission_id", "unit_id", F.round("composite", 9).alias("score"))
 
     planted = F.when(F.col("unit_id").startswith("F3"), F.col("score") + 1).otherwise(F.col("score"))
-    other = path(t.rw.repartition(5, "draw")).withColumn("score", planted)
-    return rounded(A.parity(path(t.rw), other), 5)
+    other = path(t.draws.repartition("draw")).withColumn("score", planted)
+    return rounded(A.parity(path(t.draws), other), 5)
 
 
 @query("agg16_phase_budget", "SELECT submission_id, status, count(*) AS runs, CAST(max(elapsed) AS BIGINT) AS elapsed FROM (SELECT submission_id, CASE WHEN elapsed > 9000 THEN 'unscored' WHEN seconds > 1800 THEN 'resource_timeout' ELSE 'completed' END AS status, elapsed FROM "

@@ -13,6 +13,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def ten_thousandths(c: str) -> str:
+    """SQL: the sum of ``c`` cut to ten-thousandths, in those; a sum of integers does not depend on its order."""
+    return f"CAST(sum(CAST(floor({c} * 10000) AS BIGINT)) AS BIGINT)"
+
+
+def whole_sum(c: str) -> Column:
+    """The same as a column."""
+    return F.sum(F.floor(F.col(c) * 10000))
+
+
 def text(c: str) -> Column:
     return F.col(c).cast("string").alias(c)
 

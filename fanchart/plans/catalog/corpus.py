@@ -85,14 +85,14 @@ def passage_overlap(t):
     return X.passage_overlap(t.read("documents"), t.read("benchmark").select(F.col("item_id").alias("ref_id"), "text"))
 
 
-_GRAMS = "SELECT {key}, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM (SELECT {key}, w, unnest(range(len(w) - 7)) AS i FROM (SELECT {key}, regexp_extract_all(text, '[^\\s]+') AS w FROM {table}))"
+_WORDS = "SELECT {key}, unnest(regexp_extract_all(text, '[^\\s]+')) AS w, unnest(range(len(regexp_extract_all(text, '[^\\s]+')))) AS i FROM {table}"
 
 
 @query(
     "txt6_longest_shared_run",
-    "SELECT doc_id, max(run) AS longest_run FROM (SELECT doc_id, item_id, k, island, count(*) + 7 AS run FROM (SELECT a.doc_id, b.item_id, a.i - b.i AS k, a.i - row_number() OVER (PARTITION BY a.doc_id, b.item_id, a.i - b.i ORDER BY a.i) AS island "
-    "FROM doc_grams a JOIN ref_grams b ON a.g = b.g) GROUP BY ALL) GROUP BY 1",
-    {"doc_grams": _GRAMS.format(key="doc_id", table="documents"), "ref_grams": _GRAMS.format(key="item_id", table="benchmark")},
+    "SELECT d.doc_id, CAST(coalesce(max(run), 0) AS INTEGER) AS longest_run FROM documents d LEFT JOIN (SELECT doc_id, item_id, k, island, count(*) AS run FROM (SELECT a.doc_id, b.item_id, a.i - b.i AS k, "
+    "a.i - row_number() OVER (PARTITION BY a.doc_id, b.item_id, a.i - b.i ORDER BY a.i) AS island FROM doc_words a JOIN ref_words b ON a.w = b.w) GROUP BY ALL) r ON r.doc_id = d.doc_id GROUP BY 1",
+    {"doc_words": _WORDS.format(key="doc_id", table="documents"), "ref_words": _WORDS.format(key="item_id", table="benchmark")},
 )
 def longest_run(t):
     return X.longest_shared_run(t.read("documents"), t.read("benchmark"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from fanchart import contract as C
 from fanchart.operators import gates as G
+from fanchart.operators import panel as P
 from fanchart.plans.bindings import Tables
 from fanchart.plans.catalog.common import counts
+from fanchart.plans.catalog.panel import CALENDAR
 from fanchart.plans.registry import query
 
 
@@ -365,12 +367,16 @@ def evidence(t):
     return G.evidence_present(_scored(t), ev)
 
 
-@query("qc25_min_gap", "SELECT unit_id, family, need AS min_months, CAST(first AS VARCHAR) AS first_target, asof + to_months(need) <= first AS ok FROM (SELECT unit_id, family, asof, CASE family WHEN 'F1' THEN 6 WHEN 'F2' THEN 3 WHEN 'F3' THEN 1 ELSE 0 END AS need, "
-       "CAST(asof + to_days(CAST(20 + 20 * month(asof) AS INTEGER)) AS DATE) AS first FROM units WHERE unit_id IN (SELECT unit_id FROM cut))")
+@query("qc25_min_gap", "SELECT u.unit_id, u.family, need AS min_months, CAST(CASE WHEN u.family = 'F4' THEN list_max(horizons) END AS INTEGER) AS min_days, CAST(first AS VARCHAR) AS first_target, CAST(s.idx - a.idx AS INTEGER) AS gap_days, "
+       "coalesce(CASE WHEN u.family = 'F4' THEN s.idx - a.idx >= list_max(horizons) ELSE asof + to_months(need) <= first END, false) AS ok FROM (SELECT unit_id, family, asof, horizons, CASE family WHEN 'F1' THEN 6 WHEN 'F2' THEN 3 WHEN 'F3' THEN 1 END AS need, "
+       "CAST(asof + to_days(CAST(20 + 20 * month(asof) AS INTEGER)) AS DATE) AS first, CASE WHEN family = 'F4' THEN CAST(asof + to_days(CAST(24 + month(asof) AS INTEGER)) AS DATE) END AS shock FROM units WHERE unit_id IN (SELECT unit_id FROM cut)) u "
+       "LEFT JOIN cal_idx a ON a.date = u.asof AND u.family = 'F4' LEFT JOIN cal_idx s ON s.date = u.shock", CALENDAR)
 def min_gap(t):
+    """The shocks of F4 units follow the as-of by 27 to 36 days: before and after the limit of 21 business days."""
     target = F.date_add("asof", 20 + 20 * F.month("asof")).cast("string")
-    u = t.units.join(t.cut.select("unit_id").distinct(), "unit_id")
-    return G.min_gap(u.withColumn("target_dates", F.array(target, F.date_add("asof", 400).cast("string"))))
+    shock = F.when(F.col("family") == "F4", F.date_add("asof", 24 + F.month("asof")))
+    u = t.units.join(t.cut.select("unit_id").distinct(), "unit_id").withColumns({"target_dates": F.array(target, F.date_add("asof", 400).cast("string")), "shock_date": shock})
+    return G.min_gap(u, P.business_calendar(t.panel.select("date"), t.holidays))
 
 
 @query("qc26_transfer_absent", "SELECT t.unit_id, t.asset, count(*) AS n_rows FROM transfer t JOIN units u ON u.unit_id = t.unit_id WHERE t.date <= u.asof GROUP BY 1, 2")

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from fanchart.contract import DEFAULT_DRAWS, MIN_DRAWS, TEXT_BLIND_MODELS
 from fanchart.operators import generators as FC
-from fanchart.plans.bindings import normal_sql, rd, uniform_sql
+from fanchart.operators import panel as P
+from fanchart.plans.bindings import HORIZONS, normal_sql, rd, uniform_sql
 from fanchart.plans.catalog.common import rounded
 from fanchart.plans.registry import query
 
 #: Draws of a query: the contract's default.
 N = DEFAULT_DRAWS
+#: Rows of each series in the recent window of a blend.
+RECENT = 127
 DRAW_ROWS = "unit_id, draw, asset, horizon, " + rd("value", 4) + " AS value"
 
 
@@ -71,11 +74,11 @@ def rw_joint(t):
     {
         "models": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s})" for n, s in TEXT_BLIND_MODELS.items()) + ") AS m(submission_id, seed)",
         "runs": "SELECT submission_id, unit_id, asset, horizon, last + mu * horizon + sigma * sqrt(CAST(horizon AS DOUBLE)) * z AS value FROM (SELECT k.submission_id, c.unit_id, c.asset, c.horizon, m.last, m.mu, m.sigma, "
-                f"{normal_sql('c.unit_id', 'd.draw', 'c.cell', 'k.seed')} AS z FROM cells c JOIN moments m ON c.unit_id = m.unit_id AND c.asset = m.asset CROSS JOIN {_range(50)} d CROSS JOIN models k)",
+                f"{normal_sql('c.unit_id', 'd.draw', 'c.cell', 'k.seed')} AS z FROM cells c JOIN moments m ON c.unit_id = m.unit_id AND c.asset = m.asset CROSS JOIN {_range(N)} d CROSS JOIN models k)",
     },
 )
 def model_registry(t):
-    runs = FC.model_registry(t.moments, t.units, 50)
+    runs = FC.model_registry(t.moments, t.units, N)
     return rounded(runs.groupBy("submission_id", "unit_id", "asset", "horizon").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("fallback").alias("fallback")
     ), 3)
@@ -175,13 +178,18 @@ def student_t(t):
     "fc10_regime_blend",
     f"SELECT {DRAW_ROWS} FROM recent WHERE {uniform_sql('unit_id', 'draw', 2, 5)} < CAST(0.6 AS DOUBLE) UNION ALL SELECT {DRAW_ROWS} FROM full_window WHERE NOT {uniform_sql('unit_id', 'draw', 2, 5)} < CAST(0.6 AS DOUBLE)",
     {
-        "recent": _walk_sql("CAST(1.5 AS DOUBLE) * " + normal_sql("c.unit_id", "d.draw", "c.cell", 21)),
+        "late_cut": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date DESC) AS age FROM cut) WHERE age <= {RECENT}",
+        "late_raw": "SELECT * FROM (SELECT unit_id, asset, value - lag(value) OVER w AS diff, date_diff('day', lag(date) OVER w, date) AS step FROM late_cut WINDOW w AS (PARTITION BY unit_id, asset ORDER BY date)) WHERE diff IS NOT NULL",
+        "late_steps": "SELECT d.* FROM late_raw d JOIN (SELECT unit_id, asset, greatest(10 * quantile_cont(step, 0.5), 5) AS lim FROM late_raw GROUP BY 1, 2) g ON d.unit_id = g.unit_id AND d.asset = g.asset WHERE d.step <= g.lim",
+        "late_moments": "SELECT a.unit_id, a.asset, a.last, s.mu, greatest(s.sigma, abs(a.last) * CAST(0.0001 AS DOUBLE), CAST(0.000001 AS DOUBLE)) AS sigma FROM anchors a JOIN "
+                        "(SELECT unit_id, asset, avg(diff) AS mu, stddev_pop(diff) AS sigma FROM late_steps GROUP BY 1, 2) s ON s.unit_id = a.unit_id AND s.asset = a.asset",
+        "recent": _walk_sql(normal_sql("c.unit_id", "d.draw", "c.cell", 21)).replace("JOIN moments m", "JOIN late_moments m"),
         "full_window": _walk_sql(normal_sql("c.unit_id", "d.draw", "c.cell", 22)),
     },
 )
 def regime_blend(t):
-    hot = t.moments.withColumn("sigma", F.col("sigma") * 1.5)
-    return _draws(FC.regime_blend(FC.rw_independent(hot, t.units, N, 21), FC.rw_independent(t.moments, t.units, N, 22), 0.6, 2))
+    late = P.moments(P.recent_rows(t.cut, RECENT), t.units)
+    return _draws(FC.regime_blend(FC.rw_independent(late, t.units, N, 21), FC.rw_independent(t.moments, t.units, N, 22), 0.6, 2))
 
 
 @query(
@@ -250,11 +258,10 @@ def recent_changes(history: pd.DataFrame, unit: dict) -> pd.DataFrame:
 
 @query(
     "udf1_forecaster_hook",
-    f"SELECT unit_id, draw, asset, horizon, {rd('value')} AS value FROM (SELECT s.unit_id, s.n - s.rn AS draw, s.asset, c.horizon, s.last + (s.value - b.value) AS value FROM recent s "
-    "JOIN cells c ON c.unit_id = s.unit_id AND c.asset = s.asset JOIN recent b ON b.unit_id = s.unit_id AND b.asset = s.asset AND b.rn = s.rn - c.horizon) WHERE draw < 200",
-    # only the rows that 200 changes over the longest horizon reach
-    {"recent": "SELECT x.unit_id, x.asset, x.value, x.rn, x.n, a.last FROM (SELECT unit_id, asset, value, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date) AS rn, "
-               "count(*) OVER (PARTITION BY unit_id, asset) AS n FROM cut) x JOIN anchors a ON a.unit_id = x.unit_id AND a.asset = x.asset WHERE x.n - x.rn < 200 + (SELECT max(horizon) FROM cells)"},
+    f"SELECT s.unit_id, s.draw, s.asset, c.horizon, {rd('a.last + (s.value - CASE c.horizon ' + ' '.join(f'WHEN {h} THEN s.before_{h}' for h in HORIZONS) + ' END)')} AS value FROM recent s "
+    "JOIN cells c ON c.unit_id = s.unit_id AND c.asset = s.asset JOIN anchors a ON a.unit_id = s.unit_id AND a.asset = s.asset",
+    {"recent": "SELECT * FROM (SELECT unit_id, asset, value, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date DESC) - 1 AS draw, "
+               + ", ".join(f"lag(value, {h}) OVER (PARTITION BY unit_id, asset ORDER BY date) AS before_{h}" for h in HORIZONS) + " FROM cut) WHERE draw < 200"},
 )
 def forecaster_hook(t):
     out = FC.run_forecaster(t.unit_panel, t.units, recent_changes, MIN_DRAWS)

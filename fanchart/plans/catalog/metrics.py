@@ -200,10 +200,10 @@ def tail_registry(t):
     return rounded(scored)
 
 
-@query("udf4_joint_switch", f"SELECT d.submission_id, d.unit_id, CASE WHEN d.unit_id LIKE 'F1-%' THEN {rd('e.joint', 4)} ELSE {rd('j.joint', 4)} END AS joint FROM (SELECT DISTINCT submission_id, unit_id FROM rw) d "
+@query("udf4_joint_switch", f"SELECT d.submission_id, d.unit_id, CASE WHEN d.unit_id LIKE 'F1-%' THEN {rd('e.joint', 4)} ELSE {rd('j.joint', 4)} END AS joint FROM (SELECT DISTINCT submission_id, unit_id FROM draws) d "
        "JOIN joints j ON j.submission_id = d.submission_id AND j.unit_id = d.unit_id "
        "LEFT JOIN (SELECT submission_id, unit_id, avg(crps) AS joint FROM cell_stats GROUP BY 1, 2) e ON e.submission_id = d.submission_id AND e.unit_id = d.unit_id")
 def joint_switch(t):
     """One-cell units ask for the energy score, which is the CRPS in one dimension."""
     units = t.units.withColumn("joint", F.when(F.col("family") == "F1", "energy").otherwise("variogram"))
-    return rounded(M.joint_scores(t.rw, t.realized, units, ("variogram", "energy")), 4)
+    return rounded(M.joint_scores(t.draws, t.realized, units, ("variogram", "energy")), 4)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanchart.operators import panel as P
-from fanchart.plans.bindings import rd
-from fanchart.plans.catalog.common import rounded, text
+from fanchart.plans.bindings import HORIZONS, rd
+from fanchart.plans.catalog.common import rounded, ten_thousandths, text, whole_sum
 from fanchart.plans.registry import query
 
 
@@ -169,20 +172,20 @@ _LOCF = {
 }
 
 
-@query("pan15_locf", f"SELECT asset, count(*) AS n, count_if(observed) AS observed, {rd('sum(v)', 2)} AS total FROM locf_filled WHERE v IS NOT NULL AND date IN "
+@query("pan15_locf", f"SELECT asset, count(*) AS n, count_if(observed) AS observed, {ten_thousandths('v')} AS total FROM locf_filled WHERE v IS NOT NULL AND date IN "
        "(SELECT date FROM locf_filled GROUP BY 1 HAVING count_if(v IS NULL) <= 1) GROUP BY 1", _LOCF)
 def locf(t):
     calendar = t.holey.select("unit_id", "date").distinct()
     filled = P.locf(t.holey, calendar)
     return filled.groupBy("asset").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("observed").alias("observed"), F.round(F.sum("value"), 2).alias("total")
+        F.count(F.lit(1)).alias("n"), F.count_if("observed").alias("observed"), whole_sum("value").alias("total")
     )
 
 
-@query("pan16_rename_series", f"SELECT CASE asset WHEN 'A' THEN 'ACCEPTED' WHEN 'R' THEN 'RETURNED' ELSE asset END AS asset, count(*) AS n, {rd('sum(value)', 3)} AS total FROM panel GROUP BY 1")
+@query("pan16_rename_series", f"SELECT CASE asset WHEN 'A' THEN 'ACCEPTED' WHEN 'R' THEN 'RETURNED' ELSE asset END AS asset, count(*) AS n, {ten_thousandths('value')} AS total FROM panel GROUP BY 1")
 def rename_series(t):
     mapping = t.spark.sql("SELECT * FROM VALUES ('A', 'ACCEPTED'), ('R', 'RETURNED') AS m(source_id, asset)")
-    return P.rename_series(t.panel, mapping).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return P.rename_series(t.panel, mapping).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), whole_sum("value").alias("total"))
 
 
 @query("pan17_lag_cut", _summary_sql("(SELECT * FROM unit_panel WHERE date <= asof - INTERVAL 45 DAY)"))
@@ -217,7 +220,7 @@ def spread(t):
     )
 
 
-_CAL = {
+CALENDAR = {
     "cal": "SELECT d AS date, CASE WHEN dayofweek(d) BETWEEN 1 AND 5 AND d NOT IN (DATE '1996-01-01', DATE '1997-01-01', DATE '1998-01-01', DATE '1999-01-01', DATE '1996-12-25', "
            "DATE '1997-12-25', DATE '1998-12-25', DATE '2000-12-25', DATE '1996-07-04') THEN 1 ELSE 0 END AS is_open FROM "
            "(SELECT CAST(unnest(generate_series((SELECT CAST(min(date) AS TIMESTAMP) FROM panel), (SELECT CAST(max(date) AS TIMESTAMP) FROM panel), INTERVAL 1 DAY)) AS DATE) AS d)",
@@ -225,7 +228,7 @@ _CAL = {
 }
 
 
-@query("pan20_target_dates", "SELECT DISTINCT c.unit_id, c.horizon, CAST(t.date AS VARCHAR) AS target_date FROM cells c JOIN cal_idx b ON b.date = c.asof JOIN cal_idx t ON t.is_open = 1 AND t.idx = b.idx + c.horizon", _CAL)
+@query("pan20_target_dates", "SELECT DISTINCT c.unit_id, c.horizon, CAST(t.date AS VARCHAR) AS target_date FROM cells c JOIN cal_idx b ON b.date = c.asof JOIN cal_idx t ON t.is_open = 1 AND t.idx = b.idx + c.horizon", CALENDAR)
 def target_dates(t):
     calendar = P.business_calendar(t.panel.select("date"), t.holidays)
     return P.target_dates(t.units, calendar).select("unit_id", "horizon", text("target_date"))
@@ -285,30 +288,28 @@ def proxy_anchor(t):
 
 @query(
     "pan25_implied_move_rank",
-    f"SELECT h.unit_id, h.asset, CAST(5 AS INTEGER) AS horizon, {rd('max(m.move)', 4)} AS move, {rd('avg(CASE WHEN h.change <= m.move THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS move_rank, count(*) AS n_changes "
-    "FROM hch h JOIN (SELECT d.unit_id, d.asset, avg(d.value) - max(a.last) AS move FROM rw d JOIN anchors a ON a.unit_id = d.unit_id AND a.asset = d.asset WHERE d.horizon = 5 GROUP BY 1, 2) m "
-    "ON m.unit_id = h.unit_id AND m.asset = h.asset GROUP BY 1, 2",
-    _CHANGES,
+    f"SELECT h.unit_id, h.asset, h.horizon, {rd('max(m.move)', 4)} AS move, {rd('avg(CASE WHEN h.change <= m.move THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS move_rank, count(*) AS n_changes "
+    "FROM hchs h JOIN (SELECT d.unit_id, d.asset, d.horizon, avg(d.value) - max(a.last) AS move FROM rw d JOIN anchors a ON a.unit_id = d.unit_id AND a.asset = d.asset GROUP BY 1, 2, 3) m "
+    "ON m.unit_id = h.unit_id AND m.asset = h.asset AND m.horizon = h.horizon GROUP BY 1, 2, 3",
+    {"hchs": " UNION ALL ".join(f"SELECT unit_id, asset, CAST({h} AS INTEGER) AS horizon, value - lag(value, {h}) OVER (PARTITION BY unit_id, asset ORDER BY date) AS change FROM cut QUALIFY change IS NOT NULL" for h in HORIZONS)},
 )
 def implied_move_rank(t):
-    centre = t.rw.where("horizon = 5").groupBy("unit_id", "asset", "horizon").agg(F.avg("value").alias("c"))
+    centre = t.rw.groupBy("unit_id", "asset", "horizon").agg(F.avg("value").alias("c"))
     moves = centre.join(t.anchors, ["unit_id", "asset"]).select("unit_id", "asset", "horizon", (F.col("c") - F.col("last")).alias("move"))
-    changes = P.h_changes(t.cut, 5).select("unit_id", "asset", F.lit(5).alias("horizon"), "change")
-    out = P.implied_move_rank(moves, changes)
+    per_horizon = [P.h_changes(t.cut, h).select("unit_id", "asset", F.lit(h).alias("horizon"), "change") for h in HORIZONS]
+    out = P.implied_move_rank(moves, reduce(DataFrame.unionByName, per_horizon))
     return out.withColumn("move", F.round("move", 4)).withColumn("move_rank", F.round("move_rank", 6))
 
 
 @query(
     "pan26_deoverlap",
-    f"SELECT asset, count(*) AS n, CAST(max(episode) AS BIGINT) AS episodes, {rd('sum(change)', 2)} AS total FROM (SELECT *, sum(flag) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS episode FROM "
-    "(SELECT asset, date, change, row_number() OVER w AS rn, CASE WHEN date_diff('day', lag(date) OVER w, date) > 3 THEN 1 ELSE 0 END AS flag FROM big WINDOW w AS (PARTITION BY asset ORDER BY date))) WHERE (rn - 1) % 5 = 0 GROUP BY 1",
+    f"SELECT asset, count(*) AS n, CAST(max(episode) AS BIGINT) AS episodes, {ten_thousandths('change')} AS total FROM (SELECT *, sum(flag) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS episode FROM "
+    "(SELECT asset, date, change, row_number() OVER w AS rn, CASE WHEN date_diff('day', lag(date) OVER w, date) > 3 THEN 1 ELSE 0 END AS flag FROM och WINDOW w AS (PARTITION BY asset ORDER BY date))) WHERE (rn - 1) % 5 = 0 GROUP BY 1",
     {
         "och": "SELECT * FROM (SELECT asset, date, value - lag(value, 5) OVER (PARTITION BY asset ORDER BY date) AS change FROM panel_holey) WHERE change IS NOT NULL",
-        "big": "SELECT * FROM och WHERE abs(change) > 50000",
     },
 )
 def deoverlap(t):
-    big = P.h_changes(t.holey, 5).where(F.abs("change") > 50000)
-    return P.deoverlap(big, 5, gap=3).groupBy("asset").agg(
-        F.count(F.lit(1)).alias("n"), F.max("episode").alias("episodes"), F.round(F.sum("change"), 2).alias("total")
+    return P.deoverlap(P.h_changes(t.holey, 5), 5, gap=3).groupBy("asset").agg(
+        F.count(F.lit(1)).alias("n"), F.max("episode").alias("episodes"), whole_sum("change").alias("total")
     )

@@ -196,8 +196,8 @@ def meta_refusals(t):
 
 @query(
     "src11_read_ref_scale",
-    f"SELECT u.unit_id, CASE WHEN month(u.asof) = 3 THEN 'unknown key' WHEN month(u.asof) = 6 AND u.family <> 'F1' THEN 'missing joint' WHEN month(u.asof) = 9 THEN 'tail is not positive' WHEN u.asof = DATE '1999-12-31' THEN 'marginal is not a number' END AS fault, "
-    f"CASE WHEN month(u.asof) = 12 AND u.asof <> DATE '1999-12-31' THEN {rd('m.sigma', 4)} END AS marginal FROM units u JOIN moments m ON m.unit_id = u.unit_id AND m.asset = 'A'",
+    f"SELECT u.unit_id || '/' || m.asset AS unit_id, CASE WHEN month(u.asof) = 3 THEN 'unknown key' WHEN month(u.asof) = 6 AND u.family <> 'F1' THEN 'missing joint' WHEN month(u.asof) = 9 THEN 'tail is not positive' WHEN u.asof = DATE '1999-12-31' THEN 'marginal is not a number' END AS fault, "
+    f"CASE WHEN month(u.asof) = 12 AND u.asof <> DATE '1999-12-31' THEN {rd('m.sigma', 4)} END AS marginal FROM units u JOIN moments m ON m.unit_id = u.unit_id",
 )
 def read_ref_scale(t):
     m = F.month("asof")
@@ -207,8 +207,9 @@ def read_ref_scale(t):
     tail = F.when(m == 9, F.lit("-1")).otherwise(F.lit("2.5"))
     extra = F.when(m == 3, F.lit(', "note": "x"')).otherwise(F.lit(', "seed": 7'))
     body = F.concat(F.lit('{"marginal": '), marginal, joint, F.lit(', "tail": '), tail, extra, F.lit("}"))
-    texts = t.moments.where("asset = 'A'").join(t.units, "unit_id").select("unit_id", (F.size("asset_ids") * F.size("horizons")).alias("cell_count"), body.alias("text"))
-    out = R.parse_ref_scale(texts).join(t.units.select("unit_id", "asof"), "unit_id")
+    texts = t.moments.join(t.units, "unit_id").select(F.concat_ws("/", "unit_id", "asset").alias("unit_id"), (F.size("asset_ids") * F.size("horizons")).alias("cell_count"), body.alias("text"))
+    asof = t.units.select(F.explode("asset_ids").alias("asset"), "unit_id", "asof").select(F.concat_ws("/", "unit_id", "asset").alias("unit_id"), "asof")
+    out = R.parse_ref_scale(texts).join(asof, "unit_id")
     shown = (F.month("asof") == 12) & F.col("fault").isNull()
     return out.select("unit_id", "fault", F.round(F.when(shown, F.col("marginal")), 4).alias("marginal"))
 
@@ -278,7 +279,7 @@ def write_scores(t):
     return rounded(t.spark.read.json(path).select("submission_id", "value", "n_scored", "roster_count"), 4)
 
 
-@query("snk3_write_details", "SELECT submission_id, unit_id, code, CAST(violation AS BIGINT) AS violation_count FROM q5", _SUBS)
+@query("snk3_write_details", "SELECT submission_id, unit_id, code, nullif(CAST(violation AS BIGINT), -1) AS violation_count FROM q5", _SUBS)
 def write_details(t):
     path = _folder(t, "details")
     W.write_details(G.bind_meta(metas(t), t.units), path)
