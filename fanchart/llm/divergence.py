@@ -35,7 +35,7 @@ from fanchart.sources.materialize import materialized
 
 MIN_DOCS, TOP = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
-BLOCK, TILE, DENSE = 4096, 64, 64
+BLOCK, TILE, DENSE = 512, 64, 64
 #: Terms that a task counts before it hands them on.
 FLUSH = 400_000
 # letters A-Z, a-z and everything beyond ASCII, on UTF-8 bytes; bytes.lower() changes A-Z only
@@ -112,7 +112,8 @@ class Levels:
 
 def _meet(t: pa.Table) -> pa.Table:
     """Partial distances of all pairs of two tiles; rows without a term tell a source's share of absent terms."""
-    lang, i, j, size = (t[c][0].as_py() for c in ("lang", "i", "j", "size"))
+    lang, i, j = (t[c][0].as_py() for c in ("lang", "i", "j"))
+    size = int(t["size"].to_numpy().max())
     named = t["term"].combine_chunks().dictionary_encode()
     seen = len(named.dictionary)
     ids = named.indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -167,7 +168,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block:
     rows = rows.unionByName(present.select("lang", in_block.alias("block"), "number", "tiles", "term", "count", F.col("share").cast("long"), F.lit(0).cast("long").alias("size")).select(columns))
     tile = F.floor(F.col("number") / TILE)
     rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("lang", "block", F.least(tile, "u").alias("i"), F.greatest(tile, "u").alias("j"), "number", "term", "count", "share", F.max("size").over(W.partitionBy("lang", "block", F.least(tile, "u"), F.greatest(tile, "u"))).alias("size"))
+    rows = rows.select("lang", "block", F.least(tile, "u").alias("i"), F.greatest(tile, "u").alias("j"), "number", "term", "count", "share", "size")
     met = rows.groupBy("lang", "block", "i", "j").applyInArrow(_meet, "lang string, a long, b long, part long")
     distance = met.groupBy("lang", "a", "b").agg(F.sum("part").alias("value"))
     both = distance.unionByName(distance.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
