@@ -1,19 +1,21 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Fitted on a bounded sample: the ``EXAMPLES`` labelled rows whose ids have the least digests. Terms are words and
-their first four and five letters. A term's evidence is its documents times the divergence of their label rate from
-the sample's, which bounds the probability of such a rate by chance; terms whose evidence exceeds what the best of all
-terms would reach by chance qualify, and the ``TERMS`` best of them span the vectors, weighted (1 + log tf) *
-log(n / df) and scaled to length 1. Vocabulary and examples are bounded by those parameters, so the index is broadcast.
+Examples are a bounded sample: the ``EXAMPLES`` labelled rows whose ids have the least digests. The space has all their
+terms, words and the first four and five letters of words; document frequencies are counted over all documents. A
+term's weight is (1 + log tf) * log((n + 1) / (df + 1)), scaled by what the sample's labels say about it: its evidence is its
+documents times the divergence of their label rate from the sample's, and the scale rises from ``FLOOR`` for terms
+without any towards 1 for evidence that chance does not reach. No term is left out, so texts without telling words
+still meet the examples that share their rare ones. Words outside the space count in a text's length, as terms of
+one document without evidence.
 
 The index keeps each term's examples in order, cut into blocks of ``BLOCK`` examples, with the largest weight of each
-block. A document's terms give every block an upper bound of the cosine; blocks are scored from the highest bound down
-until the ``NEIGHBOURS``-th best cosine is above all bounds left, so the neighbours are those of a full scan. Ties go to
+block. A document's terms give every block an upper bound of the cosine; the quarter of the blocks with the highest bounds is
+scored first, then every block whose bound reaches the ``NEIGHBOURS``-th best cosine so far, so the neighbours are those of a full scan. Ties go to
 the earlier example. The score is the vote of the neighbours, weighted by cosine / (distance + 0.05), drawn towards
-the sample's rate by one vote at cosine 0.525; documents that share no term with any example get the rate of the
-examples without terms. The nearest example and its cosine are returned as evidence.
+the sample's rate by one vote at cosine 0.525; documents that share no term with any example get the rate. The nearest
+example and its cosine are returned as evidence.
 
-Defined results: null and empty texts have no terms; without labelled rows every score is 0; several labels of one id:
+Defined results: null and empty texts have no terms and get the sample's rate; without labelled rows every score is 0; several labels of one id:
 the largest; null labels are unlabelled; repeated rows repeat their result; a null doc_id counts as held out. Labels
 are read of rows that are not held out only, and texts are the only input of a score.
 """
@@ -31,9 +33,13 @@ from pyspark.sql import functions as F
 from fanchart.llm.common import map_rows, table
 from fanchart.sources.materialize import materialized
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8192, 1024, 16, 64
-#: Documents of the sample that must hold a term.
-LEAST = 5
+EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16, 64
+#: Scale of terms that say nothing about labels.
+FLOOR = 0.005
+#: Terms of more than one in COMMON examples are kept as columns.
+COMMON = 16
+#: Texts whose dense parts are made in one product.
+TOGETHER = 128
 PREFIXES = (4, 5)
 FOLDS = 5
 words = re.compile(r"[^\W_]+").findall
@@ -43,141 +49,263 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def term_set(text: str | None) -> set[str]:
-    own = set(words((text or "").lower()))
-    return own.union(*({w[:n] + "~" for w in own if len(w) > n} for n in PREFIXES))
-
-
-def _term_counts(batches):
-    """Documents of each label that hold a term, summed in the task."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for text, y in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-            counts[y].update(term_set(text))
-    terms = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(terms), 10_000):
-        part = terms[i : i + 10_000]
-        yield pa.RecordBatch.from_pydict({"term": part, "n0": pa.array([counts[0][t] for t in part], pa.int64()), "n1": pa.array([counts[1][t] for t in part], pa.int64())})
-
-
-class Terms:
-    """Vectors over the selected terms."""
-
-    def __init__(self, idf: dict[str, float]):
-        self.at = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.whole = {t for t in idf if not t.endswith("~")}
-        self.heads = {n: {t[:-1] for t in idf if t.endswith("~") and len(t) == n + 1} for n in PREFIXES}
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of length 1; both empty without terms."""
-        said = words((text or "").lower())
-        own, tf = set(said), Counter()
-        for t in self.whole & own:
-            tf[self.at[t]] = said.count(t)
-        for n, heads in self.heads.items():
-            for h in heads & {w[:n] for w in own}:
-                if c := sum(len(w) > n and w.startswith(h) for w in said):
-                    tf[self.at[h + "~"]] = c
-        if not tf:
-            return np.zeros(0, np.int32), np.zeros(0)
-        i = np.array(sorted(tf), np.int32)
-        v = (1 + np.log([tf[k] for k in i])) * self.idf[i]
-        return i, v / np.sqrt((v * v).sum())
+def word_terms(word: str) -> list[str]:
+    return [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
+
+
+def term_counts(text: str | None) -> Counter:
+    out: Counter = Counter()
+    for w, c in Counter(words((text or "").lower())).items():
+        for t in word_terms(w):
+            out[t] += c
+    return out
+
+
+class Space:
+    """Numbers of terms: of words, and of word beginnings by their length."""
+
+    def __init__(self, terms: list[str]):
+        self.packed = "\n".join(terms)
+        self.size = len(terms)
+        self.at: dict[str, int] | None = None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "size": self.size, "at": None}
+
+    def _spread(self) -> None:
+        self.at, self.heads = {}, {n: {} for n in PREFIXES}
+        for i, t in enumerate(self.packed.split("\n") if self.size else ()):
+            if t.endswith("~"):
+                self.heads[len(t) - 1][t[:-1]] = i
+            else:
+                self.at[t] = i
+
+    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term numbers, their counts, and the counts of words outside the space."""
+        if self.at is None:
+            self._spread()
+        said = Counter(words((text or "").lower()))
+        n = list(said.values())
+        ids = [*map(self.at.get, said)]
+        for size, heads in self.heads.items():
+            found: dict[str, int] = {}
+            for w, c in said.items():
+                if len(w) > size:
+                    h = w[:size]
+                    found[h] = found.get(h, 0) + c
+            ids.extend(map(heads.get, found))
+            n.extend(found.values())
+        ids = np.array(ids, float)  # what is not in the space is not a number
+        n, out = np.array(n, np.int64), np.isnan(ids)
+        outside = n[: len(said)][out[: len(said)]]
+        ids, n = ids[~out].astype(np.int32), n[~out]
+        order = np.argsort(ids, kind="stable")
+        return ids[order], n[order], outside
+
+    def document_counts(self, texts: list[str | None]) -> np.ndarray:
+        """Of each term the texts that hold it."""
+        if self.at is None:
+            self._spread()
+        seen, by_head = Counter(), {n: Counter() for n in PREFIXES}
+        for text in texts:
+            own = set(words((text or "").lower()))
+            seen.update(own)
+            for n, c in by_head.items():
+                c.update({w[:n] for w in own if len(w) > n})
+        df = np.zeros(self.size, np.int64)
+        for counts, at in [(seen, self.at), *((by_head[n], self.heads[n]) for n in PREFIXES)]:
+            for t, c in counts.items():
+                if (i := at.get(t)) is not None:
+                    df[i] += c
+        return df
 
 
 class Index:
-    """Postings by term with block maxima."""
+    """Postings by term, in blocks of examples with each block's largest weight. Terms of many examples, whose postings
+    would be nearly whole, are dense columns: their part of the cosines is exact from the start and joins a block's bound."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
-        lens = [len(i) for i, _ in vectors]
-        term = np.concatenate([i for i, _ in vectors] or [np.zeros(0, np.int32)])
+        term = np.concatenate([i for i, _ in vectors] or [np.zeros(0, np.int32)]).astype(np.int64)
         weight = np.concatenate([v for _, v in vectors] or [np.zeros(0)])
-        example = np.repeat(np.arange(self.n), lens)
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in vectors])
+        common = np.bincount(term, minlength=n_terms) * COMMON > max(self.n, COMMON)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        here = common[term]
+        self.parts = (example[here], self.column[term[here]].astype(np.int32), weight[here])
+        term, example, weight = term[~here], example[~here], weight[~here]
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.top = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.top, (term, example // block), weight)
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine and those cosines, best first."""
-        bound = values @ self.top[terms]
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        part = term * max(self.blocks, 1) + self.example // block
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        # of each (term, block): its block, its postings, its largest weight
+        self.of_block = (self.example[first] // block).astype(np.int32)
+        self.begin = np.append(first, len(part)).astype(np.int64)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.dense = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"dense": None}
+
+    def _spread(self) -> None:
+        """The dense columns, spread out by each worker."""
+        row, column, weight = self.parts
+        self.dense = np.zeros((int(self.column.max(initial=-1)) + 1, self.blocks * self.block))
+        self.dense[column, row] = weight
+
+    def columns(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each vector the part of all its cosines that the dense columns make, in one product."""
+        if self.dense is None:
+            self._spread()
+        wide = np.zeros((len(vectors), len(self.dense)))
+        for i, (terms, values) in enumerate(vectors):
+            column = self.column[terms]
+            wide[i, column[column >= 0]] = values[column >= 0]
+        return wide @ self.dense
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest positive cosine and those cosines, best first; ``dense`` is the vector's row of :meth:`columns`."""
+        dense = self.columns([(terms, values)])[0] if dense is None else dense
+        rare = self.column[terms] < 0
+        terms, values = terms[rare], values[rare]
+        a, b = self.start[terms], self.start[terms + 1]
+        parts, value = _ranges(a, b), np.repeat(values, b - a)
+        of = self.of_block[parts]
+        bound = np.bincount(of, weights=self.top[parts] * value, minlength=self.blocks) + dense.reshape(self.blocks, self.block).max(axis=1, initial=0.0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        lists = [(self.example[a:b], self.weight[a:b] * v) for t, v in zip(terms, values) for a, b in [self.start[t : t + 2]]]
-        score, done, step, least = np.zeros(self.n), 0, 4, 0.0
-        while done < len(order) and bound[order[done]] >= least - 1e-12:
+        # the most promising blocks set a floor, then all blocks above it
+        score, least = np.zeros(self.blocks * self.block), 0.0
+        first = order[: max(2, self.blocks // 4)]
+        for blocks in (first, order[len(first) :]):
+            blocks = blocks[bound[blocks] >= least - 1e-12]
+            if not len(blocks):
+                break
             chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : done + step]] = True
-            for example, weight in lists:
-                here = chosen[example // self.block]
-                score[example[here]] += weight[here]
-            done, step = done + step, step * 2
+            chosen[blocks] = True
+            here = parts if len(blocks) == self.blocks else parts[chosen[of]]
+            x = self.begin[here]
+            n = self.begin[here + 1] - x
+            at = _ranges(x, x + n)
+            v = np.repeat(value[chosen[of]], n)
+            score += np.bincount(self.example[at], weights=self.weight[at] * v, minlength=len(score))
+            score += np.where(np.repeat(chosen, self.block), dense, 0.0)
             if np.count_nonzero(score) >= k:
                 least = np.partition(score, -k)[-k]
         found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score, -k)[-k]]
         found = found[np.lexsort((found, -score[found]))[:k]]
         return found, score[found]
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges a..b, one range after the other."""
+    n = b - a
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class Model:
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        """``rows``: doc_id, label, terms, weights of the examples."""
+    def __init__(self, space: Space, weight: np.ndarray, outside: float, rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]):
+        """``weight`` by term; ``rows``: doc_id, label, term numbers, counts, counts outside of the examples."""
+        self.space, self.weight, self.outside = space, weight, outside
+        made = [(r[0], r[1], *self.unit(*r[2:])) for r in rows]
         # examples with like leading terms share blocks, which keeps block maxima sharp
-        rows = sorted(rows, key=lambda r: (-1 if not len(r[2]) else int(r[2][np.argmax(r[3])]), r[0]))
-        self.terms, self.ids = Terms(idf), np.array([r[0] for r in rows], np.int64)
-        self.label = np.array([r[1] for r in rows], float)
-        self.index = Index([(r[2], r[3]) for r in rows], len(idf))
-        self.rate = float(self.label.mean()) if len(rows) else 0.0
-        bare = [r[1] for r in rows if not len(r[2])]
-        self.bare = (sum(bare) + self.rate) / (len(bare) + 1)
-
-    def score(self, text: str | None, k: int) -> tuple[float, int | None, float]:
-        terms, values = self.terms.vector(text)
-        if not len(terms) or not self.index.n:
-            return self.bare, None, 0.0
-        found, cosine = self.index.nearest(terms, values, k)
-        if not len(found):
-            return self.bare, None, 0.0
-        vote = cosine / (1.05 - np.minimum(cosine, 1.0))
-        score = float((vote @ self.label[found] + self.rate) / (vote.sum() + 1))
-        return score, int(self.ids[found[0]]), float(cosine[0])
-
-
-def _vectors(batch: pa.RecordBatch, terms) -> dict:
-    v = [terms.value.vector(t) for t in batch["text"].to_pylist()]
-    return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": pa.array([i for i, _ in v], pa.list_(pa.int32())), "weights": pa.array([w for _, w in v], pa.list_(pa.float64()))}
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """The model from at most ``examples`` labelled rows outside the held-out fold; only bounded results reach the driver."""
+        made.sort(key=lambda r: (-1 if not len(r[2]) else int(r[2][np.argmax(r[3])]), r[0]))
+        self.ids, self.label = np.array([r[0] for r in made], np.int64), np.array([r[1] for r in made], float)
+        self.index = Index([(r[2], r[3]) for r in made], len(weight))
+        self.rate = float(self.label.mean()) if made else 0.0
+
+    def unit(self, ids: np.ndarray, counts: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A vector of length 1 over terms and words outside; only the terms are returned."""
+        v = (1 + np.log(counts)) * self.weight[ids]
+        rest = (1 + np.log(outside)) * self.outside if len(outside) else outside
+        size = float((v * v).sum() + (rest * rest).sum()) ** 0.5
+        some = v > 0
+        return ids[some], v[some] / size if size else v[some]
+
+    def scores(self, texts: list[str | None], k: int):
+        """(score, nearest example, its cosine) of each text."""
+        for i in range(0, len(texts), TOGETHER):
+            vectors = [self.unit(*self.space.numbers(t)) for t in texts[i : i + TOGETHER]]
+            if not self.index.n:
+                yield from [(self.rate, None, 0.0)] * len(vectors)
+                continue
+            for (terms, values), dense in zip(vectors, self.index.columns(vectors)):
+                found, cosine = self.index.nearest(terms, values, k, dense)
+                if not len(found):
+                    yield self.rate, None, 0.0
+                    continue
+                vote = cosine / (1.05 - np.minimum(cosine, 1.0))
+                yield float((vote @ self.label[found] + self.rate) / (vote.sum() + 1)), int(self.ids[found[0]]), float(cosine[0])
+
+
+def weights(df: np.ndarray, n: int, n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> tuple[np.ndarray, float]:
+    """Term weights from corpus frequencies ``df`` of ``n`` documents and the labels of the sample's documents; the last
+    number is the weight of a word outside the space."""
+    total, here = float(all0 + all1), n0 + n1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda k, every: np.where(k > 0, k * np.log(k / here * (total / every)), 0.0)
+        evidence = part(n0, all0) + part(n1, all1) if all0 and all1 else np.zeros(len(df))
+    chance = np.log(max(len(df), 1)) + 1
+    scale = FLOOR + (1 - FLOOR) * evidence / (evidence + chance)
+    return np.log((n + 1) / (np.minimum(df, n) + 1)) * scale, float(np.log((n + 1) / 2) * FLOOR)
+
+
+def _example_terms(batch: pa.RecordBatch) -> dict:
+    counts = [term_counts(t) for t in batch["text"].to_pylist()]
+    return {"toxic": batch["toxic"], "terms": pa.array([list(c) for c in counts], pa.list_(pa.string()))}
+
+
+def _corpus_counts(space):
+    """(number, df): documents of the task that hold each term of the space."""
+
+    def run(batches):
+        s = space.value
+        df = np.zeros(s.size, np.int64)
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for i in range(0, len(texts), 2000):
+                df += s.document_counts(texts[i : i + 2000])
+        at = np.flatnonzero(df)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_pydict({"number": pa.array(at[i : i + 100_000], pa.int32()), "df": pa.array(df[at[i : i + 100_000]], pa.int64())})
+
+    return run
+
+
+def _numbers(batch: pa.RecordBatch, space) -> dict:
+    v = [space.value.numbers(t) for t in batch["text"].to_pylist()]
+    lists = lambda i, kind: pa.array([x[i] for x in v], pa.list_(kind))
+    return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": lists(0, pa.int32()), "counts": lists(1, pa.int64()), "outside": lists(2, pa.int64())}
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """The model from at most ``examples`` labelled rows outside the held-out fold; only what those rows hold reaches the driver."""
     spark = docs.sparkSession
     y = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = y.join(docs.select(F.col("doc_id").alias("of")).where("of IS NOT NULL").distinct(), F.col("doc_id") == F.col("of"), "left_semi")
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples)
     texts = docs.select(F.col("doc_id").alias("of"), "text").join(F.broadcast(chosen), F.col("of") == F.col("doc_id"))
     sample = materialized(texts.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]), "tox-sample")
-    n0, n1 = sample.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
-    if not n0 or not n1:
-        return Model({}, [(0, int(n1 > 0), np.zeros(0, np.int32), np.zeros(0))] if n0 + n1 else [])
-    counts = sample.select("text", "toxic").mapInArrow(_term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n, df = float(n0 + n1), F.col("n0") + F.col("n1")
-    counts = materialized(counts.where((df >= LEAST) & (df < n)).select("term", "n0", "n1", df.alias("df")), "tox-terms")
-    part = lambda k, all_: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / F.col("df") * (n / all_))).otherwise(0.0)
-    evidence = part("n0", float(n0)) + part("n1", float(n1))
-    chance = float(np.log(max(counts.count(), 1))) + 1
-    best = counts.withColumn("evidence", evidence).where(F.col("evidence") >= chance).orderBy(F.desc("evidence"), "term").limit(terms).collect()
-    idf = {r.term: float(np.log(n / r.df)) for r in best}
-    space = spark.sparkContext.broadcast(Terms(idf))
-    rows = map_rows(sample, _vectors, "doc_id long, toxic int, terms array<int>, weights array<double>", space).collect()
-    return Model(idf, [(r.doc_id, r.toxic, np.array(r.terms, np.int32), np.array(r.weights)) for r in rows])
+    all0, all1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    held = map_rows(sample.select("text", "toxic"), _example_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
+    by_term = held.groupBy("term").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).orderBy("term").toArrow()
+    space = Space(by_term["term"].to_pylist())
+    shared = spark.sparkContext.broadcast(space)
+    df, n = np.zeros(space.size, np.int64), docs.count()
+    counted = docs.select("text").mapInArrow(_corpus_counts(shared), "number int, df long").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
+    df[counted["number"].to_numpy()] = counted["df"].to_numpy()
+    weight, outside = weights(df, n, by_term["n0"].to_numpy(), by_term["n1"].to_numpy(), all0, all1)
+    rows = map_rows(sample, _numbers, "doc_id long, toxic int, ids array<int>, counts array<long>, outside array<long>", shared).toArrow().to_pydict()
+    of = lambda c, kind: [np.array(x, kind) for x in rows[c]]
+    return Model(space, weight, outside, list(zip(rows["doc_id"], rows["toxic"], of("ids", np.int32), of("counts", np.int64), of("outside", np.int64))))
 
 
 def _score(batch: pa.RecordBatch, model, k: int, keep_text: bool) -> dict:
     m = model.value
-    found = [m.score(t, k) for t in batch["text"].to_pylist()]
+    found = list(m.scores(batch["text"].to_pylist(), k))
     out = {"row": batch["row"], "score": pa.array([s for s, _, _ in found], pa.float64()), "evidence_id": pa.array([e for _, e, _ in found], pa.int64()), "evidence_cosine": pa.array([c for _, _, c in found], pa.float64())}
     return out | {"text": batch["text"]} if keep_text else out
 

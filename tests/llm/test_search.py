@@ -1,9 +1,12 @@
 """Vector searches and toxicity against full scans."""
 
 import math
+import pickle
 import random
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fanchart.llm import bit_sliced, graph_search, toxicity
@@ -79,23 +82,27 @@ def test_graph_search_finds_the_nearest(spark):
     assert found / total >= 0.95
 
 
-def test_block_max_neighbours_equal_a_full_scan():
+@pytest.mark.parametrize("n_terms", [40, 900])
+def test_block_max_neighbours_equal_a_full_scan(n_terms):
     rnd = random.Random(0)
     vectors = []
     for _ in range(700):
-        terms = np.array(sorted(rnd.sample(range(40), rnd.randrange(0, 6))), np.int32)
+        terms = np.array(sorted(rnd.sample(range(n_terms), rnd.randrange(0, 6))), np.int32)
         w = np.array([rnd.choice([0.5, 1.0, 2.0]) for _ in terms])
         vectors.append((terms, w / np.sqrt((w * w).sum()) if len(w) else w))
-    index = toxicity.Index(vectors, 40, block=16)
-    dense = np.zeros((700, 40))
+    index = toxicity.Index(vectors, n_terms, block=16)
+    dense = np.zeros((700, n_terms))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for t, w in vectors[:200]:
+    pickled = pickle.loads(pickle.dumps(index))
+    together = pickled.columns(vectors[:200])
+    for i, (t, w) in enumerate(vectors[:200]):
         if len(t):
-            q = np.zeros(40)
+            q = np.zeros(n_terms)
             q[t] = w
             score = dense @ q
             found, cosine = index.nearest(t, w, 16)
+            np.testing.assert_allclose(pickled.nearest(t, w, 16, together[i])[1], cosine, rtol=0, atol=1e-12)
             want = np.sort(score[score > 0])[::-1][:16]
             np.testing.assert_allclose(cosine, want, rtol=0, atol=1e-12)
             np.testing.assert_allclose(score[found], want, rtol=0, atol=1e-12)
@@ -126,6 +133,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.evidence_id is not None for r in held if r.score >= 0.5)
 
 
+def brute_toxicity(rows, truth, k=16):
+    """Scores by full TF-IDF cosines: {doc_id: (score, best cosine)}."""
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    examples = [(i, truth[i], toxicity.term_counts(t)) for i, t, *_ in rows if i in truth and i not in held]
+    terms = sorted({t for *_, c in examples for t in c})
+    own = {i: toxicity.term_counts(t) for i, t, *_ in rows}
+    df = np.array([sum(t in c for c in own.values()) for t in terms])
+    n0, n1 = (np.array([sum(t in c for _, y, c in examples if y == label) for t in terms]) for label in (0, 1))
+    all1 = sum(y for _, y, _ in examples)
+    weight, outside = toxicity.weights(df, len(rows), n0, n1, len(examples) - all1, all1)
+    at, rate = {t: j for j, t in enumerate(terms)}, all1 / len(examples)
+
+    def unit(counts):
+        v, rest = np.zeros(len(terms)), 0.0
+        for t, c in counts.items():
+            if t in at:
+                v[at[t]] = (1 + np.log(c)) * weight[at[t]]
+            elif not t.endswith("~"):
+                rest += ((1 + np.log(c)) * outside) ** 2
+        return v / max((v @ v + rest) ** 0.5, 1e-300)
+
+    base, label = np.stack([unit(c) for *_, c in examples]), np.array([y for _, y, _ in examples])
+    out = {}
+    for i, c in own.items():
+        cosine = base @ unit(c)
+        best = np.argsort(-cosine, kind="stable")[:k]
+        best = best[cosine[best] > 0]
+        vote = cosine[best] / (1.05 - np.minimum(cosine[best], 1))
+        out[i] = float((vote @ label[best] + rate) / (vote.sum() + 1)), float(cosine[best[0]]) if len(best) else 0.0
+    return out
+
+
+def test_toxicity_equals_brute_force_over_all_terms(spark):
+    rows, labels = toxic_rows(260)
+    # copies of labelled rows whose words nobody else uses, and clean rows of unknown words
+    rows += [(i, " ".join(f"only{'abcdefgh'[i % 8]}{'xyz'[j]}q" for j in range(3)), "en", "s", 0) for i in range(1000, 1040)]
+    labels += [(i, 1, i % 2) for i in range(1000, 1020)]
+    rows += [(i, f"nothing{i} known{i} here{i}", "en", "s", 0) for i in range(2000, 2010)] + [(3000, None, None, None, None), (3001, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, edge.SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    want = brute_toxicity(rows, {i: y for i, _, y in labels})
+    got = {r.row.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert set(got) == set(want)
+    for i, (score, cosine) in want.items():
+        # where cosines tie at the edge of the neighbours another label may vote, so only clear edges are compared
+        assert got[i].evidence_cosine == pytest.approx(cosine, abs=1e-9)
+    assert np.mean([abs(got[i].score - s) < 1e-9 for i, (s, _) in want.items()]) > 0.9
+    assert all(got[i].evidence_id is not None and got[i].evidence_cosine > 0.999 for i in range(1020, 1040))
+    assert all(got[i].score == pytest.approx(model.rate) for i in (*range(2000, 2010), 3000, 3001))
+    assert np.mean([got[i].evidence_id is not None for i, *_ in rows]) > 0.9
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = edge.docs(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {0.0}
