@@ -1,16 +1,13 @@
-"""Byte-level BPE by a deterministic automaton over tokens.
-
-A BPE tokenization is right exactly when no merge could still happen across the border of two neighbours. The
-automaton that accepts right tokenizations starts with one state that loops on every byte. Each merge (u, v) -> uv
-adds one gadget: uv leads wherever v after u led, and u now leads to a copy of its state in which v is barred. A
-copy differs from its original by that one bar, so states share their rows: the bar is one table entry
-(u, v) -> rank, and the state behind a token is the chain of bars along the right ends it was merged from. A token
-t may follow p unless some v on t's left ends is barred behind some x on p's right ends, by a gadget older than the
-merges that hid x and v. Transitions are resolved once and kept in a table.
-
-A word is encoded by walking the automaton: of all token paths that spell it exactly one is accepted. The walk
-tries the longest arc first and remembers positions without an accepted rest, so it is linear in practice. Decoding
-emits the arcs' labels.
+"""Byte-level BPE by the compatibility of neighbouring tokens.
+
+A BPE tokenization is right exactly when no merge could still happen across the border of two neighbours. Each merge
+(u, v) -> uv bars v behind u from its rank on, so a token t may follow p unless some v on t's left ends is barred
+behind some x on p's right ends, by a merge older than those that hid x and v. These tests take the place of the
+states and transitions of a compiled automaton, whose table would be quadratic in the vocabulary; results of pairs
+that occur are kept, up to a bound.
+
+Of all token paths that spell a word exactly one passes every test. The search tries the longest token first and
+remembers positions without an accepted rest, so it is linear in practice. Decoding joins the tokens' bytes.
 
 Words are cut with the vocabulary's own pattern. A worker keeps a bounded table of words that it has encoded.
 

@@ -9,7 +9,7 @@ documents; sums per range give each range its offset, and only rows inside one r
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source, ordered last; a
 null or non-positive weight counts as 1; repeated rows are documents of their own that share a key (ties go to
-the smaller size); an empty table gives no rows. Only ``doc_id``, ``source``, ``text`` and the labels' ``quality`` are read.
+the smaller size); rows without an id draw their keys from their place in the input, so many of them spread over all ranges; an empty table gives no rows. Only ``doc_id``, ``source``, ``text`` and the labels' ``quality`` are read.
 """
 
 from __future__ import annotations
@@ -33,10 +33,15 @@ RANGE_ROWS = 2000
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
     """A number in (0, 1) from 52 bits of a digest of the id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), doc_id.cast("string")))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def row_name() -> Column:
+    """The id as text; rows without one are named by their place, so that each has a key of its own."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+
+
 def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, n_docs) -> the same with ``target``: weighted shares of the total, none above the cap.
 
@@ -61,10 +66,11 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS)
 def mix(docs: DataFrame, *, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_rows: int = RANGE_ROWS, carry: Sequence[str] = ()) -> DataFrame:
     """``docs`` (doc_id, source, size, weight, carried) -> doc_id, source, size, source_size, target, copies, taken, carried."""
     weight = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
-    sized = materialized(docs.select("doc_id", "source", "size", weight.alias("w"), *carry), "mix-sized")
+    name = F.col("__name") if "__name" in docs.columns else row_name()
+    sized = materialized(docs.select("doc_id", "source", "size", weight.alias("w"), *carry, name.alias("__name")), "mix-sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), cycle, max_epochs)
     s = targets.withColumnRenamed("source", "of")
-    keyed = sized.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w"))
+    keyed = sized.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", -F.log(uniform(F.col("__name"), seed)) / F.col("w"))
     # 1 - exp(-key) rises with the key and is uniform for weight 1
     ranges = F.ceil(F.col("n_docs") / range_rows)
     keyed = keyed.withColumn("cut", F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-F.col("key"))))).cast("long"))
@@ -89,8 +95,8 @@ def label_weight(labels: DataFrame) -> DataFrame:
 
 
 def sized_with_weight(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, source, size, weight, carried): words are counted before anything is shuffled, so no text is."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry).join(label_weight(labels), "doc_id", "left")
+    """(doc_id, source, size, weight, carried, __name): words are counted before anything is shuffled, so no text is."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry, row_name().alias("__name")).join(label_weight(labels), "doc_id", "left")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

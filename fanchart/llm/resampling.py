@@ -152,15 +152,15 @@ class Words:
         return np.concatenate(texts), np.concatenate(buckets).astype(np.int64)
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, bounds) of consecutive texts, about ``PART`` bytes each; nulls are empty."""
+def _parts(column: pa.Array, size: int = PART) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, bounds) of consecutive texts, about ``size`` bytes each; nulls are empty."""
     column = column.fill_null("") if column.null_count else column
     width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     ends = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(int(np.searchsorted(ends, ends[at] + PART, side="right")) - 1, at + 1)
+        to = max(int(np.searchsorted(ends, ends[at] + size, side="right")) - 1, at + 1)
         yield at, to, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 

@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample: the ``EXAMPLES`` labelled rows whose ids have the least digests. The space has all their
-terms, words and the first four and five letters of words; document frequencies are counted over all documents. A
+terms, words (runs of ASCII letters and digits and of all characters beyond ASCII, in lower case) and the first five
+letters of longer words, by 64-bit names; document frequencies are counted over all documents. A
 term's weight is (1 + log tf) * log((n + 1) / (df + 1)), scaled by what the sample's labels say about it: its evidence is its
 documents times the divergence of their label rate from the sample's, and the scale rises from ``FLOOR`` for terms
 without any towards 1 for evidence that chance does not reach. No term is left out, so texts without telling words
@@ -22,8 +23,8 @@ are read of rows that are not held out only, and texts are the only input of a s
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import ctypes
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,116 +32,127 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanchart.llm.common import map_rows, table
+from fanchart.llm.near_dup import BYTES, _powers, scramble
+from fanchart.llm.resampling import IN_WORD, LOWER, _parts
 from fanchart.sources.materialize import materialized
 
-EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16, 64
+EXAMPLES, NEIGHBOURS, BLOCK = 2048, 16, 64
 #: Scale of terms that say nothing about labels.
 FLOOR = 0.005
 #: Terms of more than one in COMMON examples are kept as columns.
 COMMON = 16
-#: Texts whose dense parts are made in one product.
-TOGETHER = 128
-PREFIXES = (4, 5)
+#: Letters of a word's beginning.
+HEAD = 5
 FOLDS = 5
-words = re.compile(r"[^\W_]+").findall
+#: Bytes of text worked on at once; a longer text is taken alone, whole.
+PART = 1 << 18
+U = np.uint64
+_HEADS = U(0x5851F42D4C957F2D)
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def word_terms(word: str) -> list[str]:
-    return [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
-
-
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, c in Counter(words((text or "").lower())).items():
-        for t in word_terms(w):
-            out[t] += c
-    return out
+class Terms:
+    """The terms of consecutive texts: per (text, term) its count; terms are 64-bit names, of words or of beginnings."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        self.texts = len(bounds) - 1
+        b = LOWER[data]
+        # capitals of the two-byte Latin letters
+        b[1:][(b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)] += 0x20
+        word = IN_WORD[b]
+        cut = np.zeros(len(b) + 1, bool)
+        cut[bounds] = True
+        first = word.copy()
+        first[1:] &= ~word[:-1] | cut[1:-1]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            self.of, self.term, self.count = (np.zeros(0, np.int64),) * 3
+            self.names, self.is_word = np.zeros(0, np.uint64), np.zeros(0, bool)
+            return
+        of = np.searchsorted(bounds, starts, side="right") - 1
+        number = np.cumsum(first) - 1
+        at = np.arange(len(b)) - starts[number]
+        at[~word] = 0
+        value = BYTES[b] * _powers(1 << max(int(at.max()), 63).bit_length())[at]
+        value[~word] = 0
+        begins = word & ((b & 0xC0) != 0x80)
+        letters = np.cumsum(begins)
+        early = letters - letters[starts][number] < HEAD
+        long = np.add.reduceat(begins.astype(np.int64), starts) > HEAD
+        whole = scramble(np.add.reduceat(value, starts))
+        heads = scramble(np.add.reduceat(np.where(early, value, U(0)), starts) ^ _HEADS)[long]
+        self.names, back = np.unique(np.concatenate([whole, heads]), return_inverse=True)
+        self.is_word = np.zeros(len(self.names), bool)
+        self.is_word[back[: len(whole)]] = True
+        pair, self.count = np.unique(np.concatenate([of, of[long]]) * len(self.names) + back, return_counts=True)
+        self.of, self.term = pair // len(self.names), pair % len(self.names)
+
+
+def chunks(column: pa.Array):
+    """(first row, end row, terms) of consecutive texts; small parts keep the work in a processor's cache."""
+    for a, b, data, bounds in _parts(column, PART):
+        yield a, b, Terms(data, bounds)
 
 
 class Space:
-    """Numbers of terms: of words, and of word beginnings by their length."""
+    """The examples' terms with their weights; ``outside`` is the weight of any other word."""
+
+    def __init__(self, names: np.ndarray, weight: np.ndarray | None = None, outside: float = 0.0):
+        self.names, self.weight, self.outside = names, weight, outside
+
+    def numbers(self, names: np.ndarray) -> np.ndarray:
+        """Places in the space, -1 outside."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, at, -1)
+
+    def vectors(self, t: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, value), by text, of vectors of length 1 over the space's terms and the words outside."""
+        number = self.numbers(t.names)
+        per_name = np.where(number >= 0, self.weight[number] if len(self.names) else 0.0, np.where(t.is_word, self.outside, 0.0))
+        v = (1 + np.log(t.count)) * per_name[t.term]
+        size = np.sqrt(np.bincount(t.of, weights=v * v, minlength=t.texts))
+        keep = (number[t.term] >= 0) & (v > 0)
+        return t.of[keep], number[t.term[keep]], v[keep] / size[t.of[keep]]
+
+
+def _ranges(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of n from a on, one range after the other."""
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
-    def __init__(self, terms: list[str]):
-        self.packed = "\n".join(terms)
-        self.size = len(terms)
-        self.at: dict[str, int] | None = None
 
-    def __getstate__(self):
-        return {"packed": self.packed, "size": self.size, "at": None}
-
-    def _spread(self) -> None:
-        self.at, self.heads = {}, {n: {} for n in PREFIXES}
-        for i, t in enumerate(self.packed.split("\n") if self.size else ()):
-            if t.endswith("~"):
-                self.heads[len(t) - 1][t[:-1]] = i
-            else:
-                self.at[t] = i
-
-    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Term numbers, their counts, and the counts of words outside the space."""
-        if self.at is None:
-            self._spread()
-        said = Counter(words((text or "").lower()))
-        n = list(said.values())
-        ids = [*map(self.at.get, said)]
-        for size, heads in self.heads.items():
-            found: dict[str, int] = {}
-            for w, c in said.items():
-                if len(w) > size:
-                    h = w[:size]
-                    found[h] = found.get(h, 0) + c
-            ids.extend(map(heads.get, found))
-            n.extend(found.values())
-        ids = np.array(ids, float)  # what is not in the space is not a number
-        n, out = np.array(n, np.int64), np.isnan(ids)
-        outside = n[: len(said)][out[: len(said)]]
-        ids, n = ids[~out].astype(np.int32), n[~out]
-        order = np.argsort(ids, kind="stable")
-        return ids[order], n[order], outside
-
-    def document_counts(self, texts: list[str | None]) -> np.ndarray:
-        """Of each term the texts that hold it."""
-        if self.at is None:
-            self._spread()
-        seen, by_head = Counter(), {n: Counter() for n in PREFIXES}
-        for text in texts:
-            own = set(words((text or "").lower()))
-            seen.update(own)
-            for n, c in by_head.items():
-                c.update({w[:n] for w in own if len(w) > n})
-        df = np.zeros(self.size, np.int64)
-        for counts, at in [(seen, self.at), *((by_head[n], self.heads[n]) for n in PREFIXES)]:
-            for t, c in counts.items():
-                if (i := at.get(t)) is not None:
-                    df[i] += c
-        return df
+def one_thread() -> None:
+    """Tasks share a machine's cores already, so the matrix library of a worker keeps to one thread; else its threads wait busily."""
+    for lib in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        handle = ctypes.CDLL(str(lib))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(handle, name):
+                getattr(handle, name)(1)
+                break
 
 
 class Index:
     """Postings by term, in blocks of examples with each block's largest weight. Terms of many examples, whose postings
     would be nearly whole, are dense columns: their part of the cosines is exact from the start and joins a block's bound."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
-        term = np.concatenate([i for i, _ in vectors] or [np.zeros(0, np.int32)]).astype(np.int64)
-        weight = np.concatenate([v for _, v in vectors] or [np.zeros(0)])
-        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in vectors])
-        common = np.bincount(term, minlength=n_terms) * COMMON > max(self.n, COMMON)
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
+        self.n, self.block, self.blocks = n, block, -(-n // block)
+        common = np.bincount(term, minlength=n_terms) * COMMON > max(n, COMMON)
         self.column = np.where(common, np.cumsum(common) - 1, -1)
         here = common[term]
-        self.parts = (example[here], self.column[term[here]].astype(np.int32), weight[here])
+        self.wide = (example[here], self.column[term[here]], weight[here])
         term, example, weight = term[~here], example[~here], weight[~here]
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
         part = term * max(self.blocks, 1) + self.example // block
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
         # of each (term, block): its block, its postings, its largest weight
-        self.of_block = (self.example[first] // block).astype(np.int32)
-        self.begin = np.append(first, len(part)).astype(np.int64)
+        self.of_block = self.example[first] // block
+        self.begin, self.size = first, np.diff(np.append(first, len(part)))
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.start = np.searchsorted(term[first], np.arange(n_terms + 1))
         self.dense = None
@@ -148,97 +160,75 @@ class Index:
     def __getstate__(self):
         return self.__dict__ | {"dense": None}
 
-    def _spread(self) -> None:
-        """The dense columns, spread out by each worker."""
-        row, column, weight = self.parts
-        self.dense = np.zeros((int(self.column.max(initial=-1)) + 1, self.blocks * self.block))
-        self.dense[column, row] = weight
-
-    def columns(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of each vector the part of all its cosines that the dense columns make, in one product."""
+    def nearest(self, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of each text's k examples of highest positive cosine, best first, ties to the earlier example."""
+        width, blocks = self.blocks * self.block, self.blocks
         if self.dense is None:
-            self._spread()
-        wide = np.zeros((len(vectors), len(self.dense)))
-        for i, (terms, values) in enumerate(vectors):
-            column = self.column[terms]
-            wide[i, column[column >= 0]] = values[column >= 0]
-        return wide @ self.dense
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine and those cosines, best first; ``dense`` is the vector's row of :meth:`columns`."""
-        dense = self.columns([(terms, values)])[0] if dense is None else dense
-        rare = self.column[terms] < 0
-        terms, values = terms[rare], values[rare]
-        a, b = self.start[terms], self.start[terms + 1]
-        parts, value = _ranges(a, b), np.repeat(values, b - a)
-        of = self.of_block[parts]
-        bound = np.bincount(of, weights=self.top[parts] * value, minlength=self.blocks) + dense.reshape(self.blocks, self.block).max(axis=1, initial=0.0)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+            one_thread()
+            self.dense = np.zeros((int(self.column.max(initial=-1)) + 1, width))
+            self.dense[self.wide[1], self.wide[0]] = self.wide[2]
+        column = self.column[term]
+        wide = np.zeros((texts, len(self.dense)))
+        common = column >= 0
+        wide[of[common], column[common]] = value[common]
+        known = wide @ self.dense
+        of, term, value = of[~common], term[~common], value[~common]
+        many = self.start[term + 1] - self.start[term]
+        part, of, value = _ranges(self.start[term], many), np.repeat(of, many), np.repeat(value, many)
+        cell = of * blocks + self.of_block[part]
+        bound = np.bincount(cell, weights=self.top[part] * value, minlength=texts * blocks) + known.reshape(texts * blocks, self.block).max(axis=1, initial=0.0)
+        by_text = bound.reshape(texts, blocks)
+        score = np.zeros(texts * width)
         # the most promising blocks set a floor, then all blocks above it
-        score, least = np.zeros(self.blocks * self.block), 0.0
-        first = order[: max(2, self.blocks // 4)]
-        for blocks in (first, order[len(first) :]):
-            blocks = blocks[bound[blocks] >= least - 1e-12]
-            if not len(blocks):
+        few = min(max(2, blocks // 4), blocks)
+        chosen = by_text >= -np.partition(-by_text, few - 1, axis=1)[:, few - 1 : few]
+        done = np.zeros_like(chosen)
+        for _ in range(2):
+            here = chosen.reshape(-1)[cell]
+            n = self.size[part[here]]
+            at = _ranges(self.begin[part[here]], n)
+            score += np.bincount(np.repeat(of[here] * width, n) + self.example[at], weights=self.weight[at] * np.repeat(value[here], n), minlength=len(score))
+            score.reshape(texts, blocks, self.block)[chosen] += known.reshape(texts, blocks, self.block)[chosen]
+            rows = score.reshape(texts, width)
+            least = np.partition(rows, -min(k, width), axis=1)[:, -min(k, width)]
+            done |= chosen
+            chosen = (by_text >= least[:, None] - 1e-12) & (by_text > 0) & ~done
+            if not chosen.any():
                 break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[blocks] = True
-            here = parts if len(blocks) == self.blocks else parts[chosen[of]]
-            x = self.begin[here]
-            n = self.begin[here + 1] - x
-            at = _ranges(x, x + n)
-            v = np.repeat(value[chosen[of]], n)
-            score += np.bincount(self.example[at], weights=self.weight[at] * v, minlength=len(score))
-            score += np.where(np.repeat(chosen, self.block), dense, 0.0)
-            if np.count_nonzero(score) >= k:
-                least = np.partition(score, -k)[-k]
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            found = found[score[found] >= np.partition(score, -k)[-k]]
-        found = found[np.lexsort((found, -score[found]))[:k]]
-        return found, score[found]
-
-
-def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges a..b, one range after the other."""
-    n = b - a
-    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        text, example = np.nonzero((rows >= least[:, None]) & (rows > 0))
+        cosine = rows[text, example]
+        order = np.lexsort((example, -cosine, text))
+        text, example, cosine = text[order], example[order], cosine[order]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        return text[place < k], example[place < k], cosine[place < k]
 
 
 class Model:
-    def __init__(self, space: Space, weight: np.ndarray, outside: float, rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]):
-        """``weight`` by term; ``rows``: doc_id, label, term numbers, counts, counts outside of the examples."""
-        self.space, self.weight, self.outside = space, weight, outside
-        made = [(r[0], r[1], *self.unit(*r[2:])) for r in rows]
+    def __init__(self, space: Space, ids: np.ndarray, label: np.ndarray, of: np.ndarray, term: np.ndarray, value: np.ndarray):
+        """``ids`` and ``label`` of the examples; (of, term, value) their vectors."""
+        self.space, n = space, len(ids)
         # examples with like leading terms share blocks, which keeps block maxima sharp
-        made.sort(key=lambda r: (-1 if not len(r[2]) else int(r[2][np.argmax(r[3])]), r[0]))
-        self.ids, self.label = np.array([r[0] for r in made], np.int64), np.array([r[1] for r in made], float)
-        self.index = Index([(r[2], r[3]) for r in made], len(weight))
-        self.rate = float(self.label.mean()) if made else 0.0
-
-    def unit(self, ids: np.ndarray, counts: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A vector of length 1 over terms and words outside; only the terms are returned."""
-        v = (1 + np.log(counts)) * self.weight[ids]
-        rest = (1 + np.log(outside)) * self.outside if len(outside) else outside
-        size = float((v * v).sum() + (rest * rest).sum()) ** 0.5
-        some = v > 0
-        return ids[some], v[some] / size if size else v[some]
-
-    def scores(self, texts: list[str | None], k: int):
-        """(score, nearest example, its cosine) of each text."""
-        for i in range(0, len(texts), TOGETHER):
-            vectors = [self.unit(*self.space.numbers(t)) for t in texts[i : i + TOGETHER]]
-            if not self.index.n:
-                yield from [(self.rate, None, 0.0)] * len(vectors)
-                continue
-            for (terms, values), dense in zip(vectors, self.index.columns(vectors)):
-                found, cosine = self.index.nearest(terms, values, k, dense)
-                if not len(found):
-                    yield self.rate, None, 0.0
-                    continue
-                vote = cosine / (1.05 - np.minimum(cosine, 1.0))
-                yield float((vote @ self.label[found] + self.rate) / (vote.sum() + 1)), int(self.ids[found[0]]), float(cosine[0])
+        lead = np.full(n, -1)
+        by_value = np.argsort(value, kind="stable")
+        lead[of[by_value]] = term[by_value]
+        order = np.lexsort((ids, lead))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.label = ids[order], label[order].astype(float)
+        self.index = Index(place[of] if n else of, term, value, n, len(space.names))
+        self.rate = float(self.label.mean()) if n else 0.0
+
+    def scores(self, column: pa.Array, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score, nearest example (-1: none) and its cosine of each text."""
+        score, nearest, best = np.full(len(column), self.rate), np.full(len(column), -1, np.int64), np.zeros(len(column))
+        for a, b, terms in chunks(column) if len(self.ids) else ():
+            text, example, cosine = self.index.nearest(*self.space.vectors(terms), terms.texts, k)
+            vote = cosine / (1.05 - np.minimum(cosine, 1.0))
+            total = lambda w: np.bincount(text, weights=w, minlength=b - a)  # noqa: B023, E731
+            score[a:b] = (total(vote * self.label[example]) + self.rate) / (total(vote) + 1)
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else text
+            nearest[a + text[first]], best[a + text[first]] = self.ids[example[first]], cosine[first]
+        return score, nearest, best
 
 
 def weights(df: np.ndarray, n: int, n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> tuple[np.ndarray, float]:
@@ -254,20 +244,29 @@ def weights(df: np.ndarray, n: int, n0: np.ndarray, n1: np.ndarray, all0: int, a
 
 
 def _example_terms(batch: pa.RecordBatch) -> dict:
-    counts = [term_counts(t) for t in batch["text"].to_pylist()]
-    return {"toxic": batch["toxic"], "terms": pa.array([list(c) for c in counts], pa.list_(pa.string()))}
+    """Names and counts of the terms of each text, and which of them are words."""
+    out: dict[str, list] = {"names": [], "counts": [], "is_word": []}
+    for _, _, t in chunks(batch["text"]):
+        edge = np.searchsorted(t.of, np.arange(t.texts + 1))
+        for x, y in zip(edge[:-1], edge[1:]):
+            out["names"].append(t.names[t.term[x:y]].view(np.int64))
+            out["counts"].append(t.count[x:y])
+            out["is_word"].append(t.is_word[t.term[x:y]])
+    kinds = {"names": pa.int64(), "counts": pa.int64(), "is_word": pa.bool_()}
+    return {"doc_id": batch["doc_id"], "toxic": batch["toxic"]} | {c: pa.array(v, pa.list_(kinds[c])) for c, v in out.items()}
 
 
 def _corpus_counts(space):
-    """(number, df): documents of the task that hold each term of the space."""
+    """(name, df): documents of the task that hold each term of the space."""
 
     def run(batches):
         s = space.value
-        df = np.zeros(s.size, np.int64)
+        df = np.zeros(len(s.names), np.int64)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for i in range(0, len(texts), 2000):
-                df += s.document_counts(texts[i : i + 2000])
+            for _, _, t in chunks(batch["text"]):
+                number = s.numbers(t.names)
+                held = np.bincount(t.term, minlength=len(t.names))
+                df[number[number >= 0]] += held[number >= 0]
         at = np.flatnonzero(df)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_pydict({"number": pa.array(at[i : i + 100_000], pa.int32()), "df": pa.array(df[at[i : i + 100_000]], pa.int64())})
@@ -275,12 +274,6 @@ def _corpus_counts(space):
     return run
 
 
-def _numbers(batch: pa.RecordBatch, space) -> dict:
-    v = [space.value.numbers(t) for t in batch["text"].to_pylist()]
-    lists = lambda i, kind: pa.array([x[i] for x in v], pa.list_(kind))
-    return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": lists(0, pa.int32()), "counts": lists(1, pa.int64()), "outside": lists(2, pa.int64())}
-
-
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """The model from at most ``examples`` labelled rows outside the held-out fold; only what those rows hold reaches the driver."""
     spark = docs.sparkSession
@@ -288,25 +281,30 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     known = y.join(docs.select(F.col("doc_id").alias("of")).where("of IS NOT NULL").distinct(), F.col("doc_id") == F.col("of"), "left_semi")
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples)
     texts = docs.select(F.col("doc_id").alias("of"), "text").join(F.broadcast(chosen), F.col("of") == F.col("doc_id"))
-    sample = materialized(texts.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]), "tox-sample")
-    all0, all1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    held = map_rows(sample.select("text", "toxic"), _example_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
-    by_term = held.groupBy("term").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).orderBy("term").toArrow()
-    space = Space(by_term["term"].to_pylist())
-    shared = spark.sparkContext.broadcast(space)
-    df, n = np.zeros(space.size, np.int64), docs.count()
+    sample = texts.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
+    held = map_rows(sample, _example_terms, "doc_id long, toxic int, names array<long>, counts array<long>, is_word array<boolean>")
+    held = materialized(held, "tox-sample").toArrow()
+    ids, label = held["doc_id"].to_numpy(), held["toxic"].to_numpy()
+    of = np.repeat(np.arange(len(ids)), held["names"].combine_chunks().value_lengths().to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    flat = lambda c: held[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0, np.int64)
+    names, term = np.unique(flat("names").view(np.uint64), return_inverse=True)
+    shared = spark.sparkContext.broadcast(Space(names))
+    df, n = np.zeros(len(names), np.int64), docs.count()
     counted = docs.select("text").mapInArrow(_corpus_counts(shared), "number int, df long").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
     df[counted["number"].to_numpy()] = counted["df"].to_numpy()
-    weight, outside = weights(df, n, by_term["n0"].to_numpy(), by_term["n1"].to_numpy(), all0, all1)
-    rows = map_rows(sample, _numbers, "doc_id long, toxic int, ids array<int>, counts array<long>, outside array<long>", shared).toArrow().to_pydict()
-    of = lambda c, kind: [np.array(x, kind) for x in rows[c]]
-    return Model(space, weight, outside, list(zip(rows["doc_id"], rows["toxic"], of("ids", np.int32), of("counts", np.int64), of("outside", np.int64))))
+    holders = lambda which: np.bincount(term[label[of] == which], minlength=len(names))
+    all1 = int(label.sum())
+    space = Space(names, *weights(df, n, holders(0), holders(1), len(ids) - all1, all1))
+    # every word of an example is in the space, so its length is that of its terms
+    v = (1 + np.log(flat("counts"))) * space.weight[term]
+    size = np.sqrt(np.bincount(of, weights=v * v, minlength=len(ids)))
+    some = v > 0
+    return Model(space, ids, label, of[some], term[some], v[some] / size[of[some]])
 
 
 def _score(batch: pa.RecordBatch, model, k: int, keep_text: bool) -> dict:
-    m = model.value
-    found = list(m.scores(batch["text"].to_pylist(), k))
-    out = {"row": batch["row"], "score": pa.array([s for s, _, _ in found], pa.float64()), "evidence_id": pa.array([e for _, e, _ in found], pa.int64()), "evidence_cosine": pa.array([c for _, _, c in found], pa.float64())}
+    score, nearest, cosine = model.value.scores(batch["text"], k)
+    out = {"row": batch["row"], "score": pa.array(score), "evidence_id": pa.array(nearest, pa.int64(), mask=nearest < 0), "evidence_cosine": pa.array(cosine)}
     return out | {"text": batch["text"]} if keep_text else out
 
 

@@ -3,9 +3,12 @@
 import math
 import pickle
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,27 +88,46 @@ def test_graph_search_finds_the_nearest(spark):
 @pytest.mark.parametrize("n_terms", [40, 900])
 def test_block_max_neighbours_equal_a_full_scan(n_terms):
     rnd = random.Random(0)
-    vectors = []
-    for _ in range(700):
-        terms = np.array(sorted(rnd.sample(range(n_terms), rnd.randrange(0, 6))), np.int32)
-        w = np.array([rnd.choice([0.5, 1.0, 2.0]) for _ in terms])
-        vectors.append((terms, w / np.sqrt((w * w).sum()) if len(w) else w))
-    index = toxicity.Index(vectors, n_terms, block=16)
     dense = np.zeros((700, n_terms))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    pickled = pickle.loads(pickle.dumps(index))
-    together = pickled.columns(vectors[:200])
-    for i, (t, w) in enumerate(vectors[:200]):
-        if len(t):
-            q = np.zeros(n_terms)
-            q[t] = w
-            score = dense @ q
-            found, cosine = index.nearest(t, w, 16)
-            np.testing.assert_allclose(pickled.nearest(t, w, 16, together[i])[1], cosine, rtol=0, atol=1e-12)
-            want = np.sort(score[score > 0])[::-1][:16]
-            np.testing.assert_allclose(cosine, want, rtol=0, atol=1e-12)
-            np.testing.assert_allclose(score[found], want, rtol=0, atol=1e-12)
+    for row in dense:
+        terms = rnd.sample(range(n_terms), rnd.randrange(0, 6))
+        row[terms] = [rnd.choice([0.5, 1.0, 2.0]) for _ in terms]
+    dense /= np.maximum(np.sqrt((dense * dense).sum(axis=1, keepdims=True)), 1e-9)
+    of, term = np.nonzero(dense)
+    index = pickle.loads(pickle.dumps(toxicity.Index(of, term, dense[of, term], 700, n_terms, block=16)))
+    asked = of < 200
+    text, example, cosine = index.nearest(of[asked], term[asked], dense[of, term][asked], 200, 16)
+    full = dense[:200] @ dense.T
+    for i in range(200):
+        want = np.sort(full[i][full[i] > 1e-12])[::-1][:16]
+        np.testing.assert_allclose(cosine[text == i], want, rtol=0, atol=1e-12)
+        np.testing.assert_allclose(full[i, example[text == i]], want, rtol=0, atol=1e-12)
+
+
+def terms_of(text):
+    """Words and beginnings by plain string operations: {(kind, term): count}."""
+    low = "".join(c.lower() if c < "\x80" or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
+    said = Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    out = Counter({("w", w): n for w, n in said.items()})
+    for w, n in said.items():
+        if len(w) > 5:
+            out["h", w[:5]] += n
+    return out
+
+
+def test_terms_equal_plain_strings():
+    rnd = random.Random(4)
+    texts = ["", "Abc abc", "Éclair éclair ÉCLAIRS", "x" * 300 + " y", *("".join(rnd.choice("abcdefgÀÉéß日 .\n7") for _ in range(rnd.randrange(120))) for _ in range(200))]
+    named = {}
+    for a, b, t in toxicity.chunks(pa.array(texts)):
+        for i in range(a, b):
+            here = t.of == i - a
+            want = terms_of(texts[i])
+            assert sorted(t.count[here].tolist()) == sorted(want.values()) and t.is_word[t.term[here]].sum() == sum(k == "w" for k, _ in want)
+            for name, count in zip(t.names[t.term[here]].tolist(), t.count[here].tolist()):
+                named.setdefault(name, set()).add(frozenset(k for k, n in want.items() if n == count))
+    # a name stands for one term wherever it is found
+    assert all(frozenset.intersection(*sets) for sets in named.values())
 
 
 def toxic_rows(n=900):
@@ -136,9 +158,9 @@ def test_toxicity_on_held_out_rows(spark):
 def brute_toxicity(rows, truth, k=16):
     """Scores by full TF-IDF cosines: {doc_id: (score, best cosine)}."""
     held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
-    examples = [(i, truth[i], toxicity.term_counts(t)) for i, t, *_ in rows if i in truth and i not in held]
+    examples = [(i, truth[i], terms_of(t)) for i, t, *_ in rows if i in truth and i not in held]
     terms = sorted({t for *_, c in examples for t in c})
-    own = {i: toxicity.term_counts(t) for i, t, *_ in rows}
+    own = {i: terms_of(t) for i, t, *_ in rows}
     df = np.array([sum(t in c for c in own.values()) for t in terms])
     n0, n1 = (np.array([sum(t in c for _, y, c in examples if y == label) for t in terms]) for label in (0, 1))
     all1 = sum(y for _, y, _ in examples)
@@ -150,7 +172,7 @@ def brute_toxicity(rows, truth, k=16):
         for t, c in counts.items():
             if t in at:
                 v[at[t]] = (1 + np.log(c)) * weight[at[t]]
-            elif not t.endswith("~"):
+            elif t[0] == "w":
                 rest += ((1 + np.log(c)) * outside) ** 2
         return v / max((v @ v + rest) ** 0.5, 1e-300)
 

@@ -66,6 +66,16 @@ def test_better_documents_are_taken_more_often(spark):
     assert taken[1] > 1.5 * taken[0]
 
 
+def test_rows_without_an_id_spread_over_the_ranges(spark):
+    rows = [(None, "one two three", "en", "a" if i < 4000 else "b", 0) for i in range(5000)]
+    sized = mixing.sized_with_weight(edge.docs(spark, rows), spark.createDataFrame([], LABELS))
+    assert sized.select("__name").distinct().count() == len(rows)
+    out = mixing.mix(sized, range_rows=50).collect()
+    for s in "ab":
+        of = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 3
+
+
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], LABELS)
     assert mixing.mix(mixing.sized_with_weight(edge.docs(spark, []), none)).collect() == []
