@@ -48,8 +48,8 @@ def truncate_doc(c: str | Column, chars: int = MAX_DOC_CHARS) -> Column:
     return F.substring(c, 1, chars)
 
 
-def context_pack(top: DataFrame, stats: DataFrame, units: DataFrame) -> DataFrame:
-    """The ordered context of each unit: assets with level and horizon deviation, then documents.
+def context_pack(top: DataFrame, stats: DataFrame, units: DataFrame, instruction: str = "") -> DataFrame:
+    """The ordered context of each unit: assets with level and horizon deviation, then documents, then the instruction.
 
     ``top`` is the output of :func:`newest_k`; ``stats`` is ``(unit_id, asset, last, sd_h)``. Both
     lists are bounded: k documents and the assets of one grid.
@@ -72,7 +72,7 @@ def context_pack(top: DataFrame, stats: DataFrame, units: DataFrame) -> DataFram
         ),
         F.coalesce(F.col("_a.line"), empty),
         F.array(F.concat(F.lit("Documents: "), F.coalesce(F.size("_d"), F.lit(0)).cast("string"))),
-        F.coalesce(F.col("_d.line"), empty),
+        F.coalesce(F.col("_d.line"), empty), F.array(F.lit(instruction)) if instruction else empty,
     )
     return (
         units.join(assets, "unit_id", "left").join(papers, "unit_id", "left")

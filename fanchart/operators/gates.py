@@ -54,24 +54,31 @@ def refusal(rows: DataFrame, bad: Column, gate: str, check_no: int, code: str |
 # ---- g0: file set and sizes ------------------------------------------------------------------
 
 def file_set(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """No entry beyond the three expected files, and the draws and the sidecar among them.
+    """No entry beyond the three expected files, and the draws and the sidecar among them as regular files.
 
-    ``files`` is ``(U, name, length)``, ``expected`` lists U. The rationale's absence belongs to the schema gate
-    (:func:`rationale_file`). Counts come from flags summed per submission; no file listing is gathered.
+    ``files`` is ``(U, name, length)`` and, where a tree was listed, ``kind``; ``expected`` lists U. The rationale's
+    absence belongs to the schema gate (:func:`rationale_file`). Counts come from flags summed per submission; no file
+    listing is gathered.
     """
+    regular = F.col("kind") == "file" if "kind" in files.columns else F.lit(True)
     known = F.col("name").isin(*C.SUBMISSION_FILES)
     needed = C.SUBMISSION_FILES[:2]
     seen = files.groupBy(*UNIT_KEYS).agg(
         F.count_if(~known).alias("extra"),
         *[F.count_if(F.col("name") == n).alias(f"has_{i}") for i, n in enumerate(needed)],
+        *[F.count_if((F.col("name") == n) & ~regular).alias(f"odd_{i}") for i, n in enumerate(needed)],
     )
     rows = expected.select(*UNIT_KEYS).join(seen, UNIT_KEYS, "left")
     present = sum((F.least(F.coalesce(f"has_{i}", F.lit(0)), F.lit(1)) for i in range(len(needed))), F.lit(0))
     extra = F.coalesce("extra", F.lit(0))
-    code = F.when(extra > 0, "schema_invalid").otherwise("no_output")
+    odd = sum((F.coalesce(f"odd_{i}", F.lit(0)) for i in range(len(needed))), F.lit(0))
+    # the first file that is absent or not regular decides
+    code = F.when(extra > 0, "schema_invalid")
+    for i in range(len(needed)):
+        code = code.when(F.coalesce(f"has_{i}", F.lit(0)) == 0, "no_output").when(F.col(f"odd_{i}") > 0, "malformed_output")
     return refusal(
-        rows, (extra > 0) | (present < len(needed)), GATES[0], CHECK["file_set"], code,
-        extra_count=extra, missing_count=F.lit(len(needed)) - present, expected_count=len(C.SUBMISSION_FILES),
+        rows, (extra > 0) | (present < len(needed)) | (odd > 0), GATES[0], CHECK["file_set"], code,
+        extra_count=extra, missing_count=F.lit(len(needed)) - present, expected_count=len(C.SUBMISSION_FILES), rejected_node_count=odd,
     )
 
 
@@ -522,11 +529,23 @@ def grid_source(scored: DataFrame) -> DataFrame:
     )
 
 
-def evidence_present(scored: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Units without both digests."""
-    full = evidence.where(
-        F.col("run_record_digest").isNotNull() & F.col("sanitized_tree_digest").isNotNull()
+def content_digest(rows: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """``(keys, name)``: one digest per group of what its rows hold, whatever their order or partitioning.
+
+    Each row is hashed twice to 64 bits; the sums and the number of rows are digested. Sums fold map-side and a row
+    that occurs twice counts twice. A group without rows has no digest.
+    """
+    body = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    whole = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("string").alias("_n"), whole(F.xxhash64(*body)).alias("_a"), whole(F.xxhash64(F.lit("second"), *body)).alias("_b")
     )
+    return sums.select(*keys, F.sha2(F.concat_ws("|", "_n", "_a", "_b"), 256).alias(name))
+
+
+def evidence_present(scored: DataFrame, evidence: DataFrame, digests: tuple[str, ...] = ("run_record_digest", "sanitized_tree_digest")) -> DataFrame:
+    """Units without all digests."""
+    full = evidence.dropna(subset=list(digests))
     return scored.select(*UNIT_KEYS).join(full.select(*UNIT_KEYS), UNIT_KEYS, "left_anti")
 
 

@@ -26,6 +26,7 @@ from fanchart.contract import (
 from fanchart.functions.columns import clamp, is_finite
 from fanchart.functions.hashing import normal, uniform
 from fanchart.operators import panel as P
+from fanchart.sources.materialize import materialized
 
 CELL = ["unit_id", "asset", "horizon"]
 DRAW = ["unit_id", "draw", "asset", "horizon", "value"]
@@ -413,24 +414,50 @@ def ablate(draws: DataFrame, adjustments: DataFrame, scale: DataFrame, keys: lis
     return full.unionByName(empty)
 
 
-def run_forecaster(panel: DataFrame, units: DataFrame, forecast: Callable, n_draws: int) -> DataFrame:
-    """Plug in any model: ``forecast(history: pandas.DataFrame, unit: dict) -> pandas.DataFrame``.
+#: What became of a unit's run.
+RUN_OK, RUN_ERROR, RUN_SHAPE, RUN_NONFINITE, RUN_NO_HISTORY = "ok", "model_error", "shape_invalid", "nonfinite_values", "no_history"
+RUNS = "unit_id string, status string, draw int, asset string, horizon int, value double"
 
-    The hook gets one unit's cut panel, which a calendar bounds, and returns its draws; Spark
-    spreads the units. Check the result with :func:`validate_draw_shape`.
+
+def forecaster_runs(panel: DataFrame, units: DataFrame, forecast: Callable, n_draws: int) -> DataFrame:
+    """``(unit_id, status, draw, asset, horizon, value)``: the draws of each unit whose model run holds, else one row with
+    the reason and no draw.
+
+    ``forecast(history: pandas.DataFrame, unit: dict) -> pandas.DataFrame`` gets one unit's cut panel, which a calendar
+    bounds; Spark spreads the units. What it returns is proven in the same pass: the grid's cells times draws 0 to n_draws - 1,
+    each once, and finite. A model that raises or returns anything else costs its own unit only.
     """
-    facts = units.select(
-        F.col("unit_id").alias("unit"), "asof", "asset_ids", "horizons", "target_type"
-    )
+    facts = units.select(F.col("unit_id").alias("unit"), "asof", "asset_ids", "horizons", "target_type")
     history = P.asof_cut(panel, units).select("unit_id", "asset", "date", "value")
 
     def one_unit(key, past, unit):
         if unit.empty:
-            return pd.DataFrame(columns=DRAW)
+            return pd.DataFrame(columns=["unit_id", "status", *DRAW[1:]])
         spec = unit.iloc[0].to_dict() | {"n_draws": n_draws}
-        out = forecast(past.sort_values(["asset", "date"]), spec)
-        return out.assign(unit_id=key[0])[DRAW]
-
-    return history.groupBy("unit_id").cogroup(facts.groupBy("unit")).applyInPandas(
-        one_unit, "unit_id string, draw int, asset string, horizon int, value double"
-    )
+        failed = lambda status: pd.DataFrame({"unit_id": [key[0]], "status": [status], "draw": [None], "asset": [None], "horizon": [None], "value": [None]})
+        if past.empty:
+            return failed(RUN_NO_HISTORY)
+        try:
+            out = forecast(past.sort_values(["asset", "date"]), spec)
+            out = out[["draw", "asset", "horizon", "value"]].astype({"draw": "int64", "asset": str, "horizon": "int64", "value": float})
+        except Exception:  # noqa: BLE001 - whatever a plugged-in model raises is that unit's outcome
+            return failed(RUN_ERROR)
+        cells = {(str(a), int(h)) for a in spec["asset_ids"] for h in spec["horizons"]}
+        whole = len(out) == len(cells) * n_draws and not out.duplicated(["draw", "asset", "horizon"]).any()
+        if not whole or set(zip(out["asset"], out["horizon"])) != cells or not out["draw"].between(0, n_draws - 1).all():
+            return failed(RUN_SHAPE)
+        if not np.isfinite(out["value"]).all():
+            return failed(RUN_NONFINITE)
+        return out.assign(unit_id=key[0], status=RUN_OK)[["unit_id", "status", *DRAW[1:]]]
+
+    return history.groupBy("unit_id").cogroup(facts.groupBy("unit")).applyInPandas(one_unit, RUNS)
+
+
+def run_forecaster(panel: DataFrame, units: DataFrame, forecast: Callable, n_draws: int) -> tuple[DataFrame, DataFrame]:
+    """Plug in any model: the draws of the units whose runs hold, and ``(unit_id, status, n_rows)`` of all units.
+
+    Runs are written once, so the model is not called again for the second table.
+    """
+    runs = materialized(forecaster_runs(panel, units, forecast, n_draws), "forecaster-runs")
+    outcomes = runs.groupBy("unit_id").agg(F.min("status").alias("status"), F.count("draw").alias("n_rows"))
+    return runs.where(F.col("status") == RUN_OK).drop("status"), outcomes

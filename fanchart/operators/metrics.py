@@ -184,12 +184,13 @@ def _block_distance(left: pd.Series, right: pd.Series, d: pd.Series) -> pd.Serie
     return pd.Series([one(a, b, int(k)) for a, b, k in zip(left, right, d, strict=True)])
 
 
-def energy(draws: DataFrame, realized: DataFrame, block: int = 512) -> DataFrame:
+def energy(draws: DataFrame, realized: DataFrame, block: int = 128) -> DataFrame:
     """Energy score: ``mean |x - y| - 1/2 mean |x_s - x_t|`` with Euclidean distances.
 
-    Quadratic in draws by definition. Draws are packed into blocks of about ``block`` vectors and
-    blocks, not draws, are paired: each pair is one task-sized row, a large unit spreads over many
-    tasks, and the shuffled volume grows with draws x blocks. The draw must be an integer.
+    Quadratic in draws by definition. Draws are packed into blocks and blocks, not draws, are paired: each pair is one
+    row, a large unit spreads over many tasks, and each block travels once per block. A block of a unit with m draws
+    has ``sqrt(block * m)`` vectors, so that m draws travel sqrt(m / block) times, and a pair's memory grows with
+    sqrt(m) only. The draw must be an integer.
     """
     y = with_outcome(draws, realized)
     vectors = y.groupBy(*UNIT_KEYS, "draw").agg(
@@ -197,8 +198,9 @@ def energy(draws: DataFrame, realized: DataFrame, block: int = 512) -> DataFrame
         F.sqrt(F.sum(F.pow(F.col("value") - F.col("y"), F.lit(2.0)))).alias("near"),
     ).select(*UNIT_KEYS, "draw", "near", F.col("c.value").alias("x"))
     near = vectors.groupBy(*UNIT_KEYS).agg(F.avg("near").alias("near"), F.count("draw").alias("m"))
-    blocks = vectors.groupBy(
-        *UNIT_KEYS, F.floor(F.col("draw") / block).alias("blk")
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("m") * F.lit(float(block)))))
+    blocks = vectors.join(near.select(*UNIT_KEYS, "m"), UNIT_KEYS).groupBy(
+        *UNIT_KEYS, F.pmod(F.col("draw"), F.ceil(F.col("m") / size)).alias("blk")
     ).agg(F.flatten(F.collect_list("x")).alias("xs"), F.max(F.size("x")).alias("d"))
     last = blocks.groupBy(*UNIT_KEYS).agg(F.max("blk").alias("last_blk"))
     placed = blocks.join(last, UNIT_KEYS)
@@ -232,7 +234,8 @@ JOINT_METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 def joint_scores(draws: DataFrame, realized: DataFrame, units: DataFrame,
                  names: tuple[str, ...] = ("variogram",)) -> DataFrame:
-    """Each unit's own joint metric; ``names`` lists those in use, so unused ones cost nothing."""
+    """Each unit's own joint metric; ``names`` lists those in use, so unused ones cost nothing. Units of other metrics
+    have no row; :func:`metric_faults` names them and stops the run."""
     choice = units.select("unit_id", F.coalesce("joint", F.lit(DEFAULT_JOINT)).alias("_joint"))
     parts = []
     for name in names:

@@ -44,24 +44,25 @@ def truncate(t):
     return t.read("documents").select("doc_id", F.length(cut).cast("long").alias("kept_chars"), F.md5(cut).alias("digest"))
 
 
+LANGUAGES = ("de", "en", "es", "fr")
 _CONTEXT = {
     **_KEPT,
-    "lang_stats": "SELECT source AS unit_id, lang AS asset, avg(n_chars) AS last, coalesce(stddev_samp(n_chars), CAST(0 AS DOUBLE)) AS sd_h FROM documents WHERE lang IN ('de', 'en') GROUP BY 1, 2",
+    "lang_stats": "SELECT source AS unit_id, lang AS asset, avg(n_chars) AS last, coalesce(stddev_samp(n_chars), CAST(0 AS DOUBLE)) AS sd_h FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY 1, 2",
     "asset_lines": "SELECT unit_id, string_agg(printf('  %s: level %.6f, horizon sd %.6f', asset, last, sd_h), chr(10) ORDER BY asset) AS a FROM lang_stats GROUP BY 1",
     "doc_lines": "SELECT unit_id, count(*) AS n, string_agg('--- ' || doc_id || ' (' || timestamp || ', ' || doc_type || ') ---' || chr(10) || substr(text, 1, 6000), chr(10) ORDER BY rank) AS d FROM ranked_docs WHERE rank <= 8 GROUP BY 1",
 }
 
 
-@query("txt4_context_pack", "SELECT u.unit_id, length(c) AS chars, md5(c) AS digest FROM (SELECT u.unit_id, concat_ws(chr(10), 'As-of date: 2000-02-09', 'Target type: level. Horizons: 5, 21', a.a, 'Documents: ' || coalesce(d.n, 0), d.d) AS c FROM doc_units u "
+@query("txt4_context_pack", "SELECT u.unit_id, length(c) AS chars, md5(c) AS digest FROM (SELECT u.unit_id, concat_ws(chr(10), 'As-of date: 2000-02-09', 'Target type: level. Horizons: 5, 21', a.a, 'Documents: ' || coalesce(d.n, 0), d.d, 'Give two numbers for each asset.') AS c FROM doc_units u "
        "LEFT JOIN asset_lines a ON a.unit_id = u.unit_id LEFT JOIN doc_lines d ON d.unit_id = u.unit_id) u", _CONTEXT)
 def context_pack(t):
     units = t.doc_units.select(
-        "unit_id", "asof", F.lit("level").alias("target_type"), F.array(F.lit("de"), F.lit("en")).alias("asset_ids"), F.array(F.lit(5), F.lit(21)).alias("horizons")
+        "unit_id", "asof", F.lit("level").alias("target_type"), F.array(*[F.lit(x) for x in LANGUAGES]).alias("asset_ids"), F.array(F.lit(5), F.lit(21)).alias("horizons")
     )
-    stats = t.read("documents").where(F.col("lang").isin("de", "en")).groupBy(F.col("source").alias("unit_id"), F.col("lang").alias("asset")).agg(
+    stats = t.read("documents").where(F.col("lang").isin(*LANGUAGES)).groupBy(F.col("source").alias("unit_id"), F.col("lang").alias("asset")).agg(
         F.avg("n_chars").alias("last"), F.coalesce(F.stddev_samp("n_chars"), F.lit(0.0)).alias("sd_h")
     )
-    packed = X.context_pack(X.newest_k(_kept(t)[0])[0], stats, units)
+    packed = X.context_pack(X.newest_k(_kept(t)[0])[0], stats, units, "Give two numbers for each asset.")
     return packed.select("unit_id", F.length("context").cast("long").alias("chars"), F.md5("context").alias("digest"))
 
 

@@ -6,6 +6,8 @@ so every check meets both clean and broken rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from fanchart.plans.bindings import Tables
 from fanchart.plans.catalog.common import counts
 from fanchart.plans.catalog.panel import CALENDAR
 from fanchart.plans.registry import query
+from fanchart.plans.scoring import submission_tables
+from fanchart.sources import writers as W
+from fanchart.sources.materialize import shared_folder
 
 
 def _is(sub: str, month: int) -> Column:
@@ -312,6 +317,33 @@ def first_failure(t):
     return counts(_ladder(t), *COUNTS).withColumnsRenamed(COUNTS)
 
 
+@query(
+    "qc18_tree_ladder",
+    "SELECT submission_id, unit_id, gate, code FROM (SELECT submission_id, unit_id, "
+    "CASE WHEN k = 'rw3' OR k = 'rw6' OR k = 'adj6' THEN 'g0_integrity' WHEN n < 200 OR k = 'adj9' THEN 'g1_schema' WHEN k = 'rw9' THEN 'g2_cutoff_resource' WHEN k = 'adj3' OR k = 'adj12' THEN 'g3_domain_semantics' END AS gate, "
+    "CASE WHEN k = 'rw3' THEN 'schema_invalid' WHEN k = 'rw6' THEN 'malformed_output' WHEN k = 'adj6' THEN 'no_output' WHEN n < 200 OR k IN ('adj9', 'rw9', 'adj3') THEN 'schema_invalid' WHEN k = 'adj12' THEN 'malformed_output' END AS code FROM "
+    "(SELECT d.submission_id, d.unit_id, max(d.draw) + 1 AS n, d.submission_id || month(max(u.asof)) AS k FROM draws d JOIN units u ON u.unit_id = d.unit_id GROUP BY 1, 2)) WHERE gate IS NOT NULL",
+)
+def tree_ladder(t):
+    """Submissions written as a tree with one kind of defect per submission and quarter, then listed, opened and judged."""
+    keys = t.draws.groupBy("submission_id", "unit_id").agg((F.max("draw") + 1).alias("n_draws")).join(t.units.select("unit_id", "asof", "asset_ids", "horizons"), "unit_id")
+    k = F.concat("submission_id", F.month("asof").cast("string"))
+    meta = F.to_json(F.struct(
+        F.when(k == "rw9", "other").otherwise(F.col("unit_id")).alias("unit_id"), F.col("asof").cast("string").alias("asof"), F.lit("samples").alias("representation"),
+        "asset_ids", "horizons", "n_draws", F.lit("level").alias("target"),
+    ))
+    file = lambda name: F.create_map(F.lit(name), F.lit(""))
+    sidecars = keys.select(
+        "submission_id", "unit_id", F.when(k == "rw6", "").otherwise(meta).alias("meta"), F.when(k == "adj9", " \n").otherwise("because").alias("rationale"),
+        F.when(k == "rw3", file(".note")).when(k == "adj12", file("forecast.parquet")).alias("others"),
+    )
+    draws = t.draws.join(keys.select("submission_id", "unit_id", k.alias("k")), ["submission_id", "unit_id"]).where(~F.col("k").isin("adj6", "adj12"))
+    value = F.when((F.col("k") == "adj3") & (F.col("draw") == 2), F.lit(float("nan"))).otherwise(F.col("value"))
+    root = f"{shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+    W.write_submission_tree(draws.withColumn("value", value).drop("k"), sidecars, root)
+    return G.run_ladder(submission_tables(t.spark, root, t.units)).select("submission_id", "unit_id", "gate", "code")
+
+
 @query("qc19_label_for", "SELECT code, label, count(*) AS n FROM (SELECT code, CASE code WHEN 'cutoff_violation' THEN 'leakage_cutoff' ELSE 'schema_invalid_output' END AS label FROM first_fail) GROUP BY 1, 2", _SUBS)
 def label_for(t):
     return G.label_for(_ladder(t)).groupBy("code", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -258,11 +258,34 @@ def recent_changes(history: pd.DataFrame, unit: dict) -> pd.DataFrame:
 
 @query(
     "udf1_forecaster_hook",
-    f"SELECT s.unit_id, s.draw, s.asset, c.horizon, {rd('a.last + (s.value - CASE c.horizon ' + ' '.join(f'WHEN {h} THEN s.before_{h}' for h in HORIZONS) + ' END)')} AS value FROM recent s "
-    "JOIN cells c ON c.unit_id = s.unit_id AND c.asset = s.asset JOIN anchors a ON a.unit_id = s.unit_id AND a.asset = s.asset",
+    f"SELECT unit_id, draw, asset, horizon, {rd('value')} AS value FROM moved WHERE unit_id IN (SELECT m.unit_id FROM moved m JOIN (SELECT unit_id, count(*) AS k FROM cells GROUP BY 1) c ON c.unit_id = m.unit_id GROUP BY m.unit_id HAVING count(*) = 200 * max(c.k))",
     {"recent": "SELECT * FROM (SELECT unit_id, asset, value, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date DESC) - 1 AS draw, "
-               + ", ".join(f"lag(value, {h}) OVER (PARTITION BY unit_id, asset ORDER BY date) AS before_{h}" for h in HORIZONS) + " FROM cut) WHERE draw < 200"},
+               + ", ".join(f"lag(value, {h}) OVER (PARTITION BY unit_id, asset ORDER BY date) AS before_{h}" for h in HORIZONS) + " FROM cut) WHERE draw < 200",
+     "moved": "SELECT * FROM (SELECT s.unit_id, s.draw, s.asset, c.horizon, a.last + (s.value - CASE c.horizon " + " ".join(f"WHEN {h} THEN s.before_{h}" for h in HORIZONS) + " END) AS value FROM recent s "
+              "JOIN cells c ON c.unit_id = s.unit_id AND c.asset = s.asset JOIN anchors a ON a.unit_id = s.unit_id AND a.asset = s.asset) WHERE value IS NOT NULL"},
 )
 def forecaster_hook(t):
-    out = FC.run_forecaster(t.unit_panel, t.units, recent_changes, MIN_DRAWS)
-    return rounded(out.withColumn("draw", F.col("draw").cast("long")))
+    draws, _ = FC.run_forecaster(t.unit_panel, t.units, recent_changes, MIN_DRAWS)
+    return rounded(draws.withColumn("draw", F.col("draw").cast("long")))
+
+
+def erring_model(history: pd.DataFrame, unit: dict) -> pd.DataFrame:
+    """A plugged-in model that fails in one way per quarter."""
+    month = unit["asof"].month
+    if month == 3:
+        raise RuntimeError("no model")
+    cells = [(a, int(h)) for a in unit["asset_ids"] for h in unit["horizons"]]
+    last = history.groupby("asset")["value"].last()
+    rows = [(d, a, h, last[a] + d * h) for d in range(unit["n_draws"] - (month == 6)) for a, h in cells]
+    out = pd.DataFrame(rows, columns=["draw", "asset", "horizon", "value"])
+    return out.assign(value=out["value"].where(out.index != 5)) if month == 9 else out
+
+
+@query(
+    "udf1_forecaster_outcomes",
+    "SELECT u.unit_id, CASE month(u.asof) WHEN 3 THEN 'model_error' WHEN 6 THEN 'shape_invalid' WHEN 9 THEN 'nonfinite_values' ELSE 'ok' END AS status, CASE WHEN month(u.asof) = 12 THEN 200 * count(*) ELSE 0 END AS n_rows "
+    "FROM units u JOIN cells c ON c.unit_id = u.unit_id WHERE u.unit_id IN (SELECT unit_id FROM cut) GROUP BY u.unit_id, u.asof",
+)
+def forecaster_outcomes(t):
+    """A model that raises, falls short or returns NaN costs its own units only."""
+    return FC.run_forecaster(t.unit_panel, t.units, erring_model, MIN_DRAWS)[1]

@@ -36,6 +36,12 @@ def cell_lines(t):
     return rounded(_lines(t).select("submission_id", "unit_id", "asset", "m", "y", "crps", "below", *q), 8)
 
 
+@query("met1_crps_sliced_cells", f"SELECT submission_id, unit_id, {rd('avg(crps)')} AS marginal, count(*) AS cell_count, max(m) AS n_draws FROM line_stats GROUP BY 1, 2")
+def crps_sliced(t):
+    """The way that cells of no bounded size take: here every cell above 100 lines is ranked in slices."""
+    return rounded(M.crps_marginal(t.line_draws, t.line_realized, split_above=100))
+
+
 @query("met2_variogram", f"SELECT submission_id, unit_id, {rd('joint', 4)} AS joint FROM joints")
 def variogram(t):
     return rounded(M.variogram(t.draws, t.realized), 4)
@@ -68,7 +74,20 @@ def energy(t):
     return rounded(M.energy(t.rw, t.realized, block=64))
 
 
-@query("met3_energy_history")
+_WIDE = [f"x{i}" for i in range(1, 7)]  # no grid has more cells
+_GAP = "sqrt(" + " + ".join(f"power(a.{x} - b.{x}, 2)" for x in _WIDE) + ")"
+
+
+@query(
+    "met3_energy_history",
+    f"SELECT n.submission_id, n.unit_id, {rd('n.near - coalesce(p.far, CAST(0 AS DOUBLE)) / (n.m * n.m)')} AS joint FROM (SELECT submission_id, unit_id, avg(near) AS near, CAST(count(*) AS DOUBLE) AS m FROM hist_vec GROUP BY 1, 2) n "
+    f"LEFT JOIN (SELECT a.unit_id, sum({_GAP}) AS far FROM hist_wide a JOIN hist_wide b ON a.unit_id = b.unit_id AND a.draw < b.draw GROUP BY 1) p ON p.unit_id = n.unit_id",
+    {
+        "hist_vec": "SELECT d.submission_id, d.unit_id, d.draw, list(d.value ORDER BY d.asset, d.horizon) AS x, sqrt(sum(power(d.value - r.value, 2))) AS near FROM hist d JOIN realized r ON r.unit_id = d.unit_id "
+                    "AND r.asset = d.asset AND r.horizon = d.horizon GROUP BY 1, 2, 3",
+        "hist_wide": "SELECT unit_id, draw, " + ", ".join(f"coalesce(x[{i}], CAST(0 AS DOUBLE)) AS {x}" for i, x in enumerate(_WIDE, 1)) + " FROM hist_vec",
+    },
+)
 def energy_history(t):
     return rounded(M.energy(t.hist, t.realized))
 

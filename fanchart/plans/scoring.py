@@ -28,6 +28,7 @@ class Evaluation:
     faults: DataFrame
     rows: DataFrame
     aggregates: DataFrame
+    evidence: DataFrame
 
 
 def organizer_faults(units: DataFrame, realized: DataFrame, scale: DataFrame, roster: DataFrame,
@@ -66,8 +67,21 @@ def score_submissions(tables: dict[str, DataFrame], realized: DataFrame, scale:
     scored = M.composite(comps, units, scale)
     payload, faults = M.score_payload(scored, "ref_scale", "plan")
     rows = A.to_rows(payload, refusals)
-    faults = faults.select("submission_id", "unit_id", "fault").unionByName(row_faults(rows, roster))
-    return Evaluation(stop, refusals, payload, faults, rows, A.leaderboard(A.roster_mean(rows, roster)))
+    evidence = evidence_digests(clean, realized)
+    bare = G.evidence_present(rows.where("state = 'success'"), evidence, EVIDENCE).withColumn("fault", F.lit("a scored unit has no evidence"))
+    faults = faults.select("submission_id", "unit_id", "fault").unionByName(row_faults(rows, roster)).unionByName(bare)
+    return Evaluation(stop, refusals, payload, faults, rows, A.leaderboard(A.roster_mean(rows, roster)), evidence)
+
+
+#: Digests that each scored unit must have.
+EVIDENCE = ("draws_digest", "outcome_digest")
+
+
+def evidence_digests(draws: DataFrame, realized: DataFrame) -> DataFrame:
+    """``(U, draws_digest, outcome_digest)``: what was scored against what, whatever the order of rows."""
+    of_draws = G.content_digest(draws, list(UNIT_KEYS), ["draw", "asset", "horizon", "value"], "draws_digest")
+    of_outcomes = G.content_digest(realized, ["unit_id"], ["asset", "horizon", "value"], "outcome_digest")
+    return of_draws.join(of_outcomes, "unit_id", "left").select(*UNIT_KEYS, *EVIDENCE)
 
 
 def row_faults(rows: DataFrame, roster: DataFrame) -> DataFrame:
@@ -88,14 +102,14 @@ def row_faults(rows: DataFrame, roster: DataFrame) -> DataFrame:
 def submission_tables(spark: SparkSession, root: str, units: DataFrame) -> dict[str, DataFrame]:
     """Every input of the ladder from a tree of submissions; each draws file is decoded once and written."""
     files = materialized(R.list_submission_files(spark, root), "listing")
-    facts = materialized(R.inspect_draw_files(spark, root), "footers")
-    decoded = materialized(R.decode_draws(spark, root, facts), "decoded")
+    facts = materialized(R.inspect_draw_files(spark, root, files=files), "footers")
+    decoded = materialized(R.decode_draws(facts), "decoded")
     broken = decoded.where("broken").select(*UNIT_KEYS, F.lit(True).alias("_broken")).distinct()
     facts = facts.join(broken, UNIT_KEYS, "left").withColumn("readable", F.col("readable") & F.col("_broken").isNull()).drop("_broken")
-    meta, errors = R.read_meta(spark, root)
+    meta, errors = R.read_meta(spark, root, files)
     return {
         "units": units, "files": files, "file_facts": facts, "meta": materialized(meta, "sidecars"), "meta_errors": errors,
-        "rationales": R.read_rationales(spark, root), "draws": decoded.where("NOT broken").drop("broken"),
+        "rationales": R.read_rationales(spark, root, files), "draws": decoded.where("NOT broken").drop("broken"),
         "expected": files.select(*UNIT_KEYS).distinct().join(units.select("unit_id"), "unit_id", "left_semi"),
     }
 
@@ -125,6 +139,19 @@ def evaluate_tree(spark: SparkSession, unit_root: str, submission_root: str, pla
     return replace(ev, organizer_faults=stop)
 
 
+def publication_faults(spark: SparkSession, unit_root: str) -> DataFrame:
+    """``(unit_id, fault)`` of a tree of units that must not be published: cards without an as-of, panel folders that are
+    not as they should be, panels with rows after the as-of or dates that are none."""
+    units, card_faults = R.trusted_asof(R.read_units(spark, unit_root))
+    units = materialized(units, "units")
+    cut = G.panel_cutoff(R.read_panels(spark, unit_root), units)
+    late = F.when(F.col("malformed_dates") > 0, "a panel has a date that is none").when(F.col("late_rows") > 0, "a panel goes beyond the as-of")
+    return (
+        card_faults.select("unit_id", F.col("fault").cast("string")).unionByName(R.panel_faults(spark, unit_root, units))
+        .unionByName(cut.select("unit_id", late.alias("fault")).where("fault IS NOT NULL"))
+    )
+
+
 def producer_faults(panel: DataFrame, units: DataFrame) -> DataFrame:
     """``(unit_id, fault)`` of units that no text-blind walk can be made for: an asset without a row up to the as-of,
     or too few common rows. Such units stop the producer; call ``raise_on_faults`` before writing its draws."""

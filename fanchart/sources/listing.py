@@ -33,6 +33,19 @@ def open_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def open_file(path: str):
+    """A file for reading at any place; what is not read does not travel."""
+    system, inner = open_system(path)
+    return system.open_input_file(inner)
+
+
+def dealt(files: DataFrame, share: int = 128 << 20) -> DataFrame:
+    """Files (path, length) over as many tasks as their bytes need, and at least the session's parallelism."""
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // share))
+    return files.repartition(max(1, min(n, tasks)), "path")
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 

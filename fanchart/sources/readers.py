@@ -4,13 +4,15 @@ Layout: ``<root>/<unit>/{card.toml, panels/*.parquet, text/corpus_index.json, te
 and ``<root>/<submission>/<unit>/{forecast.parquet, forecast_meta.json, forecast_rationale.md}``.
 
 Each reader is a scan plus a parse over columns, so the parse also runs on text that is already in a
-table. Submissions and panels are written by many hands with differing schemas, which one Parquet
-scan would refuse as a whole; those files (64 MiB at most) are decoded batch by batch inside tasks,
-and everything after :func:`fanchart.sources.writers.write_draws` is a native columnar scan.
+table. Submissions are written by many hands with differing schemas, which one Parquet scan would refuse as a
+whole. Their trees are listed by tasks (:mod:`fanchart.sources.listing`), and tasks open the files: of a draws file
+the end is read first, and only a file inside all ceilings is read whole, batch by batch. Everything after
+:func:`fanchart.sources.writers.write_draws` is a native columnar scan.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,7 @@ from fanchart.contract import (
 )
 from fanchart.functions.columns import is_finite, is_iso
 from fanchart.operators.gates import CHECK, GATES, UNIT_KEYS, refusal
+from fanchart.sources.listing import FILE, FOLDER, dealt, list_tree, open_file
 
 
 #: A directory name, with or without the ``column=`` prefix that a partitioned write puts there.
@@ -96,6 +99,23 @@ def read_panels(spark: SparkSession, root: str) -> DataFrame:
     return direct.unionByName(beside).mapInPandas(_decode_panels, C.PANEL_SCHEMA)
 
 
+def panel_faults(spark: SparkSession, root: str, units: DataFrame) -> DataFrame:
+    """``(unit_id, fault)`` of panel folders that must not be published: none, an empty one, entries that are no panel,
+    panels that cannot be opened or have no date column. Nothing is skipped because it cannot be read."""
+    tree = list_tree(spark, root, 3).withColumn("_b", _below("path", root)).where(F.get("_b", F.lit(1)) == "panels")
+    unit = F.col("_b")[0].alias("unit_id")
+    is_panel = F.col("name").endswith(".parquet") & (F.col("kind") == FILE)
+    folders = tree.where((F.col("depth") == 2) & (F.col("kind") == FOLDER)).select(unit, F.lit(True).alias("_there"))
+    inside = tree.where("depth = 3").groupBy(unit).agg(F.count_if(is_panel).alias("_panels"), F.count_if(~is_panel).alias("_stray"))
+    rows = units.select("unit_id").join(folders, "unit_id", "left").join(inside, "unit_id", "left")
+    none = F.coalesce("_panels", F.lit(0)) == 0
+    fault = F.when(F.col("_there").isNull(), "no panel folder").when(none, "no panel in the folder").when(F.col("_stray") > 0, "entries that are no panel")
+    files = tree.where((F.col("depth") == 3) & is_panel).select(F.lit("").alias("submission_id"), unit, "path", "length")
+    facts = dealt(files.join(units.select("unit_id"), "unit_id", "left_semi")).mapInPandas(_footers, FACTS_SCHEMA)
+    opened = F.when(~F.col("readable"), "a panel cannot be opened").when(~F.array_contains("columns", "date"), "a panel has no date column")
+    return rows.select("unit_id", fault.alias("fault")).unionByName(facts.select("unit_id", opened.alias("fault")).distinct()).where("fault IS NOT NULL")
+
+
 # ---- units -----------------------------------------------------------------------------------
 
 UNIT_FIELDS = tuple(UNIT_SCHEMA.fieldNames())
@@ -235,59 +255,61 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- submissions -----------------------------------------------------------------------------
 
-def _qualified(spark: SparkSession, root: str) -> str:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+def _below(path: str, root: str) -> Column:
+    """The parts of a path below ``root``, without ``column=`` prefixes."""
+    parts = F.split(F.substring(path, len(root.rstrip("/")) + 2, 1 << 20), "/")
+    return F.transform(parts, lambda x: F.regexp_replace(x, "^[^/=]+=", ""))
 
 
-def _keyed(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """Add ``(submission_id, unit_id, name)`` from the path below ``root``; anything deeper keeps its inner path as name."""
-    parts = F.split(F.substring("path", len(_qualified(spark, root)) + 2, 1 << 20), "/", 3)
-    bare = lambda i: F.regexp_extract(F.get(parts, i), f"^{DIR}$", 1)
-    return files.withColumns({"submission_id": bare(0), "unit_id": bare(1), "name": F.get(parts, 2)}).where(F.size(parts) == 3)
+def list_submission_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(submission_id, unit_id, name, length, kind, path)`` of every entry of a unit's directory as it is: empty files,
+    hidden names, folders and special nodes too."""
+    below = list_tree(spark, root, 3).where("depth = 3").withColumn("_b", _below("path", root))
+    return below.select(F.col("_b")[0].alias("submission_id"), F.col("_b")[1].alias("unit_id"), "name", "length", "kind", "path")
 
 
-def _hidden(spark: SparkSession, root: str) -> DataFrame:
-    """Entries that Spark's file index passes over: names in a unit's directory that start with a dot or an underscore.
+def _submitted(spark: SparkSession, root: str, name: str, ceiling: int, files: DataFrame | None = None) -> DataFrame:
+    """Files of one name (or pattern with ``*``) under their ceiling; what is larger is refused from its listed size."""
+    files = list_submission_files(spark, root) if files is None else files
+    named = F.col("name").rlike("^" + re.escape(name).replace("\\*", ".*") + "$")
+    return files.where(named & (F.col("kind") == FILE) & (F.col("length") <= ceiling)).select(*UNIT_KEYS, "path", "length")
 
-    The glob returns only those, and a submission has no business with any.
-    """
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{_qualified(spark, root)}/*/*/{{.,_}}*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    rows = [(f.getPath().toString(), f.getLen()) for f in found or () if not f.getPath().getName().endswith(".crc")]
-    return spark.createDataFrame(rows, "path string, length long")
 
+def _contents(batches: Iterator) -> Iterator:
+    import pyarrow as pa
 
-def list_submission_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(submission_id, unit_id, name, length)`` of every entry below a unit's directory, hidden and nested ones too."""
-    files = _binary(spark, root, "*").select("path", "length").unionByName(_hidden(spark, root))
-    return _keyed(spark, files, root).select("submission_id", "unit_id", "name", "length")
+    for batch in batches:
+        for i, path in enumerate(batch["path"].to_pylist()):
+            with open_file(path) as f:
+                body = f.read()
+            row = batch.slice(i, 1)
+            yield pa.RecordBatch.from_pydict({**{k: row[k] for k in UNIT_KEYS}, "content": pa.array([body], pa.binary())})
 
 
-def _submitted(spark: SparkSession, root: str, name: str, ceiling: int) -> DataFrame:
-    """Files of one name in their place and under their ceiling; what is larger is refused from its listed size."""
-    files = _keyed(spark, _binary(spark, root, name), root)
-    return files.where(~F.contains("name", F.lit("/")) & (F.col("length") <= ceiling)).select("submission_id", "unit_id", "length", "content")
+def _read_small(files: DataFrame) -> DataFrame:
+    """``(U, content)`` of files that a ceiling bounds; an empty file has empty content."""
+    return dealt(files).mapInArrow(_contents, "submission_id string, unit_id string, content binary")
 
 
 FACTS_SCHEMA = (
-    "submission_id string, unit_id string, draws_bytes bigint, columns array<string>, n_columns int, "
+    "submission_id string, unit_id string, path string, draws_bytes bigint, columns array<string>, n_columns int, "
     "n_distinct_columns int, n_rows bigint, row_groups int, uncompressed_bytes bigint, readable boolean"
 )
 
 
 def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Footers only: a file is opened in the task and its end is read."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
     for frame in frames:
         out = []
         for row in frame.itertuples(index=False):
-            base = [row.submission_id, row.unit_id, row.length]
+            base = [row.submission_id, row.unit_id, row.path, row.length]
             try:
-                file = pq.ParquetFile(pa.BufferReader(row.content))
-                meta, names = file.metadata, list(file.schema_arrow.names)
+                with open_file(row.path) as source:
+                    file = pq.ParquetFile(source)
+                    meta, names = file.metadata, list(file.schema_arrow.names)
                 size = sum(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
                 out.append([*base, names, len(names), len(set(names)), meta.num_rows, meta.num_row_groups, size, True])
             except (pa.ArrowException, OSError, ValueError):
@@ -296,9 +318,9 @@ def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
 
 
-def inspect_draw_files(spark: SparkSession, root: str, name: str = "forecast.parquet") -> DataFrame:
-    """What each draws file says about itself, before any row is decoded."""
-    return _submitted(spark, root, name, C.MAX_DRAWS_FILE_BYTES).mapInPandas(_footers, FACTS_SCHEMA)
+def inspect_draw_files(spark: SparkSession, root: str, name: str = "forecast.parquet", files: DataFrame | None = None) -> DataFrame:
+    """What each draws file says about itself, before any row is decoded; ``files`` is the listing, where it is at hand."""
+    return dealt(_submitted(spark, root, name, C.MAX_DRAWS_FILE_BYTES, files)).mapInPandas(_footers, FACTS_SCHEMA)
 
 
 DECODED = "submission_id string, unit_id string, draw long, asset string, horizon long, value double, broken boolean"
@@ -344,28 +366,29 @@ def _decode_draws(batches: Iterator) -> Iterator:
         return pa.RecordBatch.from_pydict({**same, **columns, "broken": pa.array([broken] * n, pa.bool_())})
 
     for batch in batches:
-        for sub, unit, content in zip(*(batch[c].to_pylist() for c in (*UNIT_KEYS, "content"))):
+        for sub, unit, path in zip(*(batch[c].to_pylist() for c in (*UNIT_KEYS, "path"))):
             try:
-                for part in pq.ParquetFile(pa.BufferReader(content)).iter_batches(columns=list(DRAW_COLUMNS)):
-                    columns = {"draw": whole(part["draw"]), "asset": label(part["asset"]), "horizon": horizon(part["horizon"]), "value": number(part["value"])}
-                    yield frame((sub, unit), columns, part.num_rows, False)
+                with open_file(path) as source:
+                    for part in pq.ParquetFile(source).iter_batches(columns=list(DRAW_COLUMNS)):
+                        columns = {"draw": whole(part["draw"]), "asset": label(part["asset"]), "horizon": horizon(part["horizon"]), "value": number(part["value"])}
+                        yield frame((sub, unit), columns, part.num_rows, False)
             except (pa.ArrowException, OSError, ValueError, KeyError):
                 empty = {"draw": pa.nulls(1, pa.int64()), "asset": pa.nulls(1, pa.string()), "horizon": pa.nulls(1, pa.int64()), "value": pa.nulls(1, pa.float64())}
                 yield frame((sub, unit), empty, 1, True)
 
 
-def decode_draws(spark: SparkSession, root: str, facts: DataFrame, name: str = "forecast.parquet") -> DataFrame:
+def decode_draws(facts: DataFrame) -> DataFrame:
     """The draws schema and ``broken``: files whose footer is inside all ceilings and names exactly the four columns.
 
-    Ids and horizons beyond 32 bits become nulls, which no grid has.
+    ``facts`` is the result of :func:`inspect_draw_files`; each file is opened once more and read batch by batch. Ids and
+    horizons beyond 32 bits become nulls, which no grid has.
     """
     want = F.array(*[F.lit(c) for c in sorted(DRAW_COLUMNS)])
     exact = facts.where(
         F.col("readable") & (F.sort_array("columns") == want) & (F.col("n_rows") <= C.MAX_ROWS) & (F.col("row_groups") <= C.MAX_ROW_GROUPS)
         & (F.col("uncompressed_bytes") <= C.MAX_UNCOMPRESSED_BYTES)
     )
-    files = _submitted(spark, root, name, C.MAX_DRAWS_FILE_BYTES).select("submission_id", "unit_id", "content")
-    rows = files.join(exact.select(*UNIT_KEYS), UNIT_KEYS, "left_semi").mapInArrow(_decode_draws, DECODED)
+    rows = dealt(exact.select(*UNIT_KEYS, "path", F.col("draws_bytes").alias("length"))).mapInArrow(_decode_draws, DECODED)
     return rows.select(*UNIT_KEYS, F.expr("try_cast(draw AS INT)").alias("draw"), "asset", F.expr("try_cast(horizon AS INT)").alias("horizon"), "value", "broken")
 
 
@@ -377,7 +400,7 @@ def read_draws(spark: SparkSession, root: str, facts: DataFrame | None = None,
     keeps what :func:`decode_draws` returns.
     """
     facts = facts if facts is not None else inspect_draw_files(spark, root, name)
-    return decode_draws(spark, root, facts, name).where(~F.col("broken")).drop("broken")
+    return decode_draws(facts).where(~F.col("broken")).drop("broken")
 
 
 def read_draws_table(spark: SparkSession, path: str) -> DataFrame:
@@ -408,13 +431,15 @@ def parse_meta(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed, refusal(rows, bad, GATES[0], CHECK["meta_errors"], code)
 
 
-def read_meta(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    files = _submitted(spark, root, "forecast_meta.json", C.MAX_META_BYTES)
-    return parse_meta(files.select(*UNIT_KEYS, F.col("content").cast("string").alias("text")))
+def read_meta(spark: SparkSession, root: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sidecars of a tree; an empty one is text that does not parse."""
+    found = _read_small(_submitted(spark, root, "forecast_meta.json", C.MAX_META_BYTES, files))
+    return parse_meta(found.select(*UNIT_KEYS, F.col("content").cast("string").alias("text")))
 
 
-def read_rationales(spark: SparkSession, root: str) -> DataFrame:
-    return _submitted(spark, root, "forecast_rationale.md", C.MAX_RATIONALE_BYTES).select(*UNIT_KEYS, _text().alias("text"))
+def read_rationales(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    found = _read_small(_submitted(spark, root, "forecast_rationale.md", C.MAX_RATIONALE_BYTES, files))
+    return found.select(*UNIT_KEYS, _text().alias("text"))
 
 
 # ---- reference material ----------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fanchart.contract import UNIT_KEYS
 from fanchart.functions.columns import is_finite
 from fanchart.operators.gates import OrganizerFault, public_projection
+from fanchart.sources.materialize import materialized
 
 
 def write_draws(draws: DataFrame, path: str) -> None:
@@ -76,3 +77,36 @@ def ledger(anchors: DataFrame, deviations: DataFrame, units: DataFrame) -> DataF
             (F.col("daily_sd") * F.sqrt(F.col("horizon").cast("double"))).alias("horizon_sd"),
         )
     )
+
+
+def write_submission_tree(draws: DataFrame, sidecars: DataFrame, root: str) -> DataFrame:
+    """``<root>/<submission>/<unit>/`` with the three files of a submission; returns ``(U, n_rows)``.
+
+    ``sidecars`` is ``(U, meta, rationale, others)``: texts, null where the file is left out, and a map of further file
+    names to texts. A key without draws has no draws file. The contract bounds a group (20,000 draws of each cell); the
+    task that holds it writes its files, and a task that runs again writes the same ones.
+    """
+    import pyarrow as pa
+
+    from fanchart.contract import DRAW_COLUMNS, SUBMISSION_FILES, UNIT_KEYS
+    from fanchart.sources.listing import open_system
+
+    def write(key, rows: pa.Table, texts: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
+
+        sub, unit = (k.as_py() for k in key)
+        system, folder = open_system(f"{root.rstrip('/')}/{sub}/{unit}")
+        system.create_dir(folder, recursive=True)
+        if rows.num_rows:
+            with system.open_output_stream(f"{folder}/{SUBMISSION_FILES[0]}") as out:
+                pq.write_table(rows.select(list(DRAW_COLUMNS)), out)
+        for t in texts.select(["meta", "rationale", "others"]).to_pylist():
+            files = dict(zip(SUBMISSION_FILES[1:], (t["meta"], t["rationale"]))) | dict(t["others"] or [])
+            for name, text in files.items():
+                if text is not None:
+                    with system.open_output_stream(f"{folder}/{name}") as out:
+                        out.write(text.encode())
+        return pa.table({"submission_id": [sub], "unit_id": [unit], "n_rows": pa.array([rows.num_rows], pa.int64())})
+
+    both = draws.groupBy(*UNIT_KEYS).cogroup(sidecars.groupBy(*UNIT_KEYS))
+    return materialized(both.applyInArrow(write, "submission_id string, unit_id string, n_rows long"), "tree")

@@ -112,3 +112,18 @@ def test_phase_budget(spark):
     runs = spark.createDataFrame([("s", i, f"u{i}", s) for i, s in enumerate([100, 2000, 1000, 1800])], "submission_id string, seq int, unit_id string, seconds int")
     got = [r.status for r in A.phase_budget(runs, 1800, 3000).orderBy("seq").collect()]
     assert got == ["completed", "resource_timeout", "completed", "unscored"]
+
+
+def test_ranks_of_a_whole_table(spark):
+    """Ties and a value that half of the rows share, over many ranges."""
+    from pyspark.sql import functions as F
+
+    from fanchart.operators.ranking import global_rank, numbered
+
+    rows = [(i, float(i % 50) if i % 2 else 7.0) for i in range(2000)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "id int, value double")
+    want = {r.id: r["rank"] for r in df.selectExpr("id", "rank() OVER (ORDER BY value) AS rank").collect()}
+    assert {r.id: r["rank"] for r in global_rank(df, "value").collect()} == want
+    placed = numbered(df, [F.desc("value"), F.asc("id")], "place").orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(1, 2002))
+    assert [r.id for r in placed] == [r.id for r in df.orderBy(F.desc("value"), "id").collect()]

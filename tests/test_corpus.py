@@ -52,7 +52,30 @@ def test_longest_run_equals_brute_force(spark):
     ref = spark.createDataFrame(list(enumerate(refs)), "ref_id int, text string")
     got = {r.doc_id: r.longest_run for r in X.longest_shared_run(docs, ref, 4).collect()}
     want = {i: max(longest(t, r) for r in refs) for i, t in enumerate(texts + texts[:1])}
-    assert got == {i: n for i, n in want.items() if n >= 4}
+    assert got == want
+    one = spark.createDataFrame([("nothing in common at all",)], "text string")
+    assert {r.longest_run for r in X.longest_shared_run(docs, one).collect()} == {0}
+    assert {r.longest_run for r in X.longest_shared_run(docs, one.limit(0)).collect()} == {0}
+
+
+def test_a_passage_in_a_third_of_the_texts_multiplies_nothing(spark, monkeypatch):
+    """Documents and references meet on names: pairs that a join makes stay below one per document and place."""
+    from fanchart.operators import shared_runs as S
+
+    passage = " ".join(f"p{i}" for i in range(37))
+    docs = [(i, (f"own{i} before {passage} after{i}" if i % 3 == 0 else f"own{i} p{i % 37} x") if i else None) for i in range(300)]
+    refs = [(f"r{i} {passage} s{i}",) for i in range(200)] + [(None,)]
+    made = []
+    write = S.materialized
+    monkeypatch.setattr(S, "materialized", lambda df, name: (lambda out: (made.append((name, out.count())), out)[1])(write(df, name)))
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    got = {r.doc_id: r.longest_run for r in S.longest_shared_run(d, spark.createDataFrame(refs, "text string")).collect()}
+    assert got == {i: 0 if not i else 37 if i % 3 == 0 else 1 for i in range(300)}
+    assert max(n for name, n in made if name != "run-names") <= 300
+
+    # a filter that lets everything pass changes no result
+    monkeypatch.setattr(S, "_passes", lambda bitmap, names: names == names)
+    assert {r.doc_id: r.longest_run for r in S.longest_shared_run(d, spark.createDataFrame(refs, "text string")).collect()} == got
 
 
 def test_every_phrase_search_carries_its_control(spark):

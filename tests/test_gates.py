@@ -151,3 +151,17 @@ def test_corpus_check_is_skipped_when_no_entry_names_a_file(spark, units):
     named = index.withColumn("path", F.lit("a.txt"))
     r = G.corpus_cutoff(named, files, units).first()
     assert (r.unindexed, r.absent) == (1, 1)
+
+
+def test_a_shock_must_be_a_horizon_away(spark):
+    """F4 counts business days; the other families count months to the first target."""
+    from fanchart.operators import panel as P
+
+    days = spark.sql("SELECT explode(sequence(DATE'2019-01-01', DATE'2019-12-31')) AS date")
+    calendar = P.business_calendar(days, spark.sql("SELECT DATE'2019-01-21' AS date"))
+    rows = [("far", "F4", "2019-01-31", ["2019-02-07"], "2019-02-07"), ("near", "F4", "2019-01-31", ["2019-02-06"], "2019-02-06"), ("holiday", "F4", "2019-01-18", ["2019-01-25"], "2019-01-25"),
+            ("open", "F4", "2019-01-31", ["2019-02-07"], None), ("f1", "F1", "2019-01-31", ["2019-07-31"], None), ("f3", "F3", "2019-01-31", ["2019-02-27"], None)]
+    units = spark.createDataFrame(rows, "unit_id string, family string, asof string, target_dates array<string>, shock_date string")
+    units = units.selectExpr("unit_id", "family", "CAST(asof AS DATE) AS asof", "target_dates", "CAST(shock_date AS DATE) AS shock_date", "array(1, 5) AS horizons")
+    got = {r.unit_id: (r.ok, r.gap_days) for r in G.min_gap(units, calendar).collect()}
+    assert got == {"far": (True, 5), "near": (False, 4), "holiday": (False, 4), "open": (False, None), "f1": (True, None), "f3": (False, None)}

@@ -13,11 +13,12 @@ from fanchart.operators import gates as G
 from fanchart.operators import metrics as M
 from fanchart.operators import panel as P
 from fanchart import contract as C
-from fanchart.plans.scoring import baseline_draws, evaluate_tree, producer_faults, score_submissions, submission_tables
+from fanchart.plans.scoring import baseline_draws, evaluate_tree, evidence_digests, producer_faults, publication_faults, score_submissions, submission_tables
+from fanchart.sources import listing
 from fanchart.sources import readers as R
 from fanchart.sources import writers as W
 
-ASSETS, HORIZONS, DRAWS, ASOF = ["SYN-A", "SYN-B"], [1, 5], 200, "2020-06-30"
+ASSETS, HORIZONS, DRAWS, ASOF = ["ALPHA", "BRAVO"], [1, 5], 200, "2019-03-29"
 CARD = """
 [task]
 id = "{unit}"
@@ -25,7 +26,7 @@ split = "public-dev"
 [metadata]
 category = "F3"
 [provenance]
-data_cutoff = "2020-06-30"
+data_cutoff = "2019-03-29"
 [scoring.params]
 tail_levels = [0.01, 0.05, 0.95, 0.99]
 joint = "variogram"
@@ -34,12 +35,12 @@ marginal = 0.5
 joint = 0.3
 tail = 0.2
 [panels.main]
-end_date = "2020-06-30"
+end_date = "2019-03-29"
 [targets]
-asset_ids = ["SYN-A", "SYN-B"]
+asset_ids = ["ALPHA", "BRAVO"]
 horizons = [1, 5]
 target_type = "level"
-target_dates = ["2020-07-01", "2020-07-07"]
+target_dates = ["2019-04-01", "2019-04-05"]
 """
 UNITS = ["unit-one", "unit-two"]
 
@@ -65,14 +66,14 @@ def tree(tmp_path_factory):
             past = past.rename(columns={"asset": "asset_id"}).astype({"date": str})
             pq.write_table(pa.Table.from_pandas(past, preserve_index=False), base / "main.parquet")
         index = {"card_id": unit, "asof": ASOF, "documents": [
-            {"doc_id": "d1", "timestamp": "2020-06-01", "source": "s", "doc_type": "speech", "file": "./d1.txt"},
-            {"doc_id": "d2", "timestamp": "2020-06-02", "source": "s", "doc_type": "speech", "path": "sub/d2.txt"},
+            {"doc_id": "d1", "timestamp": "2019-03-01", "source": "s", "doc_type": "speech", "file": "./d1.txt"},
+            {"doc_id": "d2", "timestamp": "2019-03-04", "source": "s", "doc_type": "speech", "path": "sub/d2.txt"},
         ]}
         (base / "text" / "corpus_index.json").write_text(json.dumps(index))
         (base / "text" / "d1.txt").write_bytes(b"fine \xff text")
         (base / "text" / "sub").mkdir()
         (base / "text" / "sub" / "d2.txt").write_text("two\nlines")
-        cells = [(0, a, h, 100.0 + i, "2020-07-01") for a in ASSETS for h in HORIZONS]
+        cells = [(0, a, h, 100.0 + i, "2019-04-01") for a in ASSETS for h in HORIZONS]
         truth = pd.DataFrame(cells, columns=["draw", "asset", "horizon", "value", "target_date"])
         pq.write_table(pa.Table.from_pandas(truth, preserve_index=False), base / "reference" / "realized.parquet")
         (base / "reference" / "ref_scale.json").write_text(json.dumps({"marginal": 1.0, "joint": 0.5, "tail": 0.2, "seed": 1}))
@@ -176,6 +177,112 @@ def test_no_defect_of_a_tree_is_scored(spark, tree, tmp_path):
     assert len(board) == len(want) + 1 and board["clean"]["rank"] == 1 and all(board[n].n_failure == 1 for n in want)
 
 
+def test_a_tree_is_judged_as_it_is(spark, tree, tmp_path):
+    """Empty files, hidden names, folders and nodes in the place of files are seen and refused."""
+    good, one, two = forecast(), *UNITS
+    subs = tmp_path / "subs"
+    names = ["clean", "empty-meta", "empty-draws", "empty-note", "empty-extra", "hidden", "deep", "checksum", "folder-for-draws", "folder-for-meta", "bare"]
+    for n in names:
+        submit(subs, n, two, good)
+        if n not in ("folder-for-draws", "bare"):
+            submit(subs, n, one, good, rationale="" if n == "empty-note" else "because")
+    at = lambda n: subs / n / one
+    (at("empty-meta") / "forecast_meta.json").write_text("")
+    (at("empty-draws") / "forecast.parquet").write_bytes(b"")
+    (at("empty-extra") / "x.txt").write_text("")
+    (at("hidden") / ".h").write_text("")
+    (at("deep") / "_d" / "q").mkdir(parents=True)
+    for n in (".y", "_z"):
+        (at("deep") / n).write_text("x")
+    (at("checksum") / ".forecast.parquet.crc").write_bytes(b"crc")  # kept by a file system beside its file
+    (at("folder-for-draws") / "forecast.parquet").mkdir(parents=True)
+    (at("folder-for-draws") / "forecast_meta.json").write_text("{}")
+    (at("folder-for-meta") / "forecast_meta.json").unlink()
+    (at("folder-for-meta") / "forecast_meta.json").mkdir()
+    at("bare").mkdir()
+    want = {
+        "empty-meta": ("malformed_output", 0, 0), "empty-draws": ("malformed_output", None, None), "empty-note": ("schema_invalid", None, None), "empty-extra": ("schema_invalid", 1, 0),
+        "hidden": ("schema_invalid", 1, 0), "deep": ("schema_invalid", 3, 0), "folder-for-draws": ("malformed_output", 0, 1), "folder-for-meta": ("malformed_output", 0, 1),
+    }
+    ev = evaluate_tree(spark, str(tree), str(subs), plan(tmp_path))
+    refused = {r.submission_id: r for r in ev.refusals.where(F.col("unit_id") == one).collect()}
+    assert {n: r.code for n, r in refused.items()} == {n: c for n, (c, _, _) in want.items()}
+    for n, (_, extra, odd) in want.items():
+        if extra is not None and "extra_count" in refused[n].counts:
+            assert (refused[n].counts["extra_count"], refused[n].counts["rejected_node_count"]) == (extra, odd), n
+    assert ev.refusals.where(F.col("unit_id") == two).count() == 0 and ev.faults.count() == 0
+    scored = {(r.submission_id, r.unit_id) for r in ev.payload.collect()}
+    assert scored == {(n, two) for n in names} | {("clean", one), ("checksum", one)}
+    # every scored key has both digests; equal draws have equal ones, whatever their order
+    evidence = {(r.submission_id, r.unit_id): (r.draws_digest, r.outcome_digest) for r in ev.evidence.collect()}
+    assert scored <= set(evidence) and len(set(evidence.values())) == 2
+    shuffled = R.read_draws(spark, str(subs)).where("submission_id = 'clean'").repartition(7).sortWithinPartitions(F.rand(3))
+    again = {r.unit_id: r.draws_digest for r in evidence_digests(shuffled, R.read_realized(spark, str(tree))).collect()}
+    assert again == {u: evidence["clean", u][0] for u in UNITS}
+    changed = {r.draws_digest for r in evidence_digests(shuffled.withColumn("value", F.when(F.col("draw") == 7, 1.0).otherwise(F.col("value"))), R.read_realized(spark, str(tree))).collect()}
+    assert not changed & set(again.values())
+
+
+def test_a_footer_costs_the_end_of_its_file(tmp_path, monkeypatch):
+    big = forecast()
+    big = pd.concat([big.assign(draw=big["draw"] + DRAWS * i, value=np.random.default_rng(i).standard_normal(len(big))) for i in range(60)])
+    path = tmp_path / "forecast.parquet"
+    pq.write_table(pa.Table.from_pandas(big, preserve_index=False), path, row_group_size=8000)
+    read = []
+
+    class Counting:
+        def __init__(self, name):
+            self.file = open(name, "rb")
+
+        def read(self, n=-1):
+            body = self.file.read(n)
+            read.append(len(body))
+            return body
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    monkeypatch.setattr(R, "open_file", lambda p: pa.PythonFile(Counting(p), mode="r"))
+    frame = pd.DataFrame({"submission_id": ["s"], "unit_id": ["u"], "path": [str(path)], "length": [path.stat().st_size]})
+    (facts,) = R._footers(iter([frame]))
+    assert facts["n_rows"][0] == len(big) and facts["readable"][0]
+    assert 0 < sum(read) < 0.2 * path.stat().st_size
+    read.clear()
+    rows = sum(b.num_rows for b in R._decode_draws(iter([pa.RecordBatch.from_pandas(frame[["submission_id", "unit_id", "path"]])])))
+    assert rows == len(big) and sum(read) < 1.3 * path.stat().st_size
+
+
+def test_listing_of_any_depth(spark, tmp_path):
+    (tmp_path / "a" / ".b" / "c").mkdir(parents=True)
+    (tmp_path / "a" / ".b" / "c" / "d").write_text("xyz")
+    (tmp_path / "_e").write_text("")
+    got = {(r.path[len(str(tmp_path)) + 1 :], r.kind, r.length, r.depth) for r in listing.list_tree(spark, str(tmp_path)).collect()}
+    assert got == {("a", "folder", None, 1), ("_e", "file", 0, 1), ("a/.b", "folder", None, 2), ("a/.b/c", "folder", None, 3), ("a/.b/c/d", "file", 3, 4)}
+    assert listing.list_tree(spark, str(tmp_path), 2).count() == 3
+    assert listing.list_tree(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_panel_folders_that_must_not_be_published(spark, tmp_path):
+    units = ["whole", "none", "empty", "stray", "undated", "broken", "late"]
+    frame = history(0).astype({"date": str})
+    for u in units:
+        base = tmp_path / u
+        base.mkdir()
+        (base / "card.toml").write_text(CARD.format(unit=u))
+        if u != "none":
+            (base / "panels").mkdir()
+        if u not in ("none", "empty"):
+            out = frame.drop(columns="date") if u == "undated" else frame.assign(date="2019-04-01") if u == "late" else frame
+            pq.write_table(pa.Table.from_pandas(out, preserve_index=False), base / "panels" / "main.parquet")
+    (tmp_path / "stray" / "panels" / "_notes.txt").write_text("")
+    (tmp_path / "broken" / "panels" / "two.parquet").write_bytes(b"")
+    faults = {(r.unit_id, r.fault) for r in publication_faults(spark, str(tmp_path)).collect()}
+    assert faults == {
+        ("none", "no panel folder"), ("empty", "no panel in the folder"), ("stray", "entries that are no panel"), ("undated", "a panel has no date column"),
+        ("undated", "a panel has a date that is none"), ("broken", "a panel cannot be opened"), ("late", "a panel goes beyond the as-of"),
+    }
+
+
 def test_foreign_and_missing_units_stop_the_run(spark, tree, tmp_path):
     submit(tmp_path / "subs", "s", UNITS[0], forecast())
     submit(tmp_path / "subs", "s", "unit-nine", forecast())
@@ -287,3 +394,63 @@ def test_units_without_history_are_faults(spark, tree):
     assert {(r.unit_id, r.fault) for r in producer_faults(thin, units).collect()} == {
         (UNITS[0], "an asset has no row"), (UNITS[0], "too few common rows"), (UNITS[1], "too few common rows"),
     }
+
+
+def test_documents_move_the_draws_through_stored_replies(spark, tree, tmp_path):
+    """A stub model end to end: adjusted, skipped and failed units; equal contexts are asked once, stored ones not again."""
+    from fanchart.plans.producer import NO_DOCUMENTS, NO_REPLY, ask, text_adjusted
+
+    units, _ = R.trusted_asof(R.read_units(spark, str(tree)))
+    panel = P.normalize_panel(R.read_panels(spark, str(tree)))
+    index, docs = R.read_corpus_index(spark, str(tree)), R.read_documents(spark, str(tree))
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def model(texts):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(str(len(texts)))
+        if any("two" not in t for t in texts):
+            raise RuntimeError("down")
+        return ['So: {"assets": {"ALPHA": {"drift_bp": 20, "vol_scale": 0.5}}}' for _ in texts]
+
+    out = text_adjusted(panel, index, docs, units, model, str(tmp_path / "store"), n_draws=200, seed=3)
+    base = {(r.unit_id, r.draw, r.asset, r.horizon): r.value for r in baseline_draws(panel, units, 200, 3).collect()}
+    moved = {(r.unit_id, r.draw, r.asset, r.horizon): r.value for r in out.draws.collect()}
+    assert set(moved) == set(base)
+    for cell in [(u, a, h) for u in UNITS for a in ASSETS for h in HORIZONS]:
+        x, y = (np.array([v for k, v in sorted(t.items()) if (k[0], *k[2:]) == cell]) for t in (base, moved))
+        assert y.std() == pytest.approx(x.std() * (0.5 if cell[1] == "ALPHA" else 1.0))
+        assert (y.mean() > x.mean()) == (cell[1] == "ALPHA") or cell[1] == "BRAVO"
+    side = {r.unit_id: r for r in out.sidecars.collect()}
+    assert all(side[u].reasoning_applied and side[u].reason == "" and side[u].documents_read == 2 for u in UNITS)
+    W.write_meta(out.sidecars, str(tmp_path / "meta"))
+    calls = len(list(log.iterdir()))
+    text_adjusted(panel, index, docs, units, model, str(tmp_path / "store"), n_draws=200, seed=3).sidecars.collect()
+    assert len(list(log.iterdir())) == calls > 0
+    # one unit without documents, one whose context the model cannot read
+    odd = docs.where("unit_id = 'unit-two' AND path = 'd1.txt'")
+    some = {r.unit_id: r for r in text_adjusted(panel, index, odd, units, model, str(tmp_path / "other"), n_draws=200, seed=3).sidecars.collect()}
+    assert (some[UNITS[0]].reason, some[UNITS[1]].reason) == (NO_DOCUMENTS, NO_REPLY) and not any(r.reasoning_applied for r in some.values())
+    # a bad context in a batch costs itself only
+    contexts = spark.createDataFrame([("a", "two"), ("b", "bad"), ("c", "two"), ("d", "two more")], "unit_id string, context string").coalesce(1)
+    got = {r.unit_id: r.reply is not None for r in ask(contexts, model, str(tmp_path / "third")).collect()}
+    assert got == {"a": True, "b": False, "c": True, "d": True}
+
+
+def test_a_failing_model_costs_its_unit(spark, tree):
+    from fanchart.operators import generators as FC
+
+    units, _ = R.trusted_asof(R.read_units(spark, str(tree)))
+    panel = P.normalize_panel(R.read_panels(spark, str(tree)))
+
+    def model(history, unit):
+        if unit["unit"] == UNITS[1]:
+            raise ValueError("no")
+        return forecast(1)
+
+    draws, outcomes = FC.run_forecaster(panel, units, model, DRAWS)
+    assert {(r.unit_id, r.status, r.n_rows) for r in outcomes.collect()} == {(UNITS[0], "ok", DRAWS * 4), (UNITS[1], "model_error", 0)}
+    assert draws.count() == DRAWS * 4
+    short = lambda history, unit: forecast(1).iloc[1:] if unit["unit"] == UNITS[0] else forecast(1).assign(value=float("inf"))
+    assert {r.status for r in FC.run_forecaster(panel, units, short, DRAWS)[1].collect()} == {"shape_invalid", "nonfinite_values"}
