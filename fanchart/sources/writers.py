@@ -108,5 +108,6 @@ def write_submission_tree(draws: DataFrame, sidecars: DataFrame, root: str) -> D
                         out.write(text.encode())
         return pa.table({"submission_id": [sub], "unit_id": [unit], "n_rows": pa.array([rows.num_rows], pa.int64())})
 
-    both = draws.groupBy(*UNIT_KEYS).cogroup(sidecars.groupBy(*UNIT_KEYS))
+    named = sidecars.select(F.col(UNIT_KEYS[0]).alias("_sub"), F.col(UNIT_KEYS[1]).alias("_unit"), "meta", "rationale", "others")
+    both = draws.groupBy(*UNIT_KEYS).cogroup(named.groupBy("_sub", "_unit"))
     return materialized(both.applyInArrow(write, "submission_id string, unit_id string, n_rows long"), "tree")
