@@ -45,7 +45,7 @@ COMMON = 16
 HEAD = 5
 FOLDS = 5
 #: Bytes of text worked on at once; a longer text is taken alone, whole.
-PART = 1 << 18
+PART = 1 << 17
 U = np.uint64
 _HEADS = U(0x5851F42D4C957F2D)
 
@@ -73,17 +73,25 @@ class Terms:
             self.names, self.is_word = np.zeros(0, np.uint64), np.zeros(0, bool)
             return
         of = np.searchsorted(bounds, starts, side="right") - 1
-        number = np.cumsum(first) - 1
-        at = np.arange(len(b)) - starts[number]
+        # a text is below 2 GiB, so places have 32 bits
+        number = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        at = np.arange(len(b), dtype=np.int32)
+        at -= starts.astype(np.int32)[number]
         at[~word] = 0
-        value = BYTES[b] * _powers(1 << max(int(at.max()), 63).bit_length())[at]
+        value = BYTES[b]
+        value *= _powers(1 << max(int(at.max()), 63).bit_length())[at]
         value[~word] = 0
+        del at
         begins = word & ((b & 0xC0) != 0x80)
-        letters = np.cumsum(begins)
-        early = letters - letters[starts][number] < HEAD
+        letters = np.cumsum(begins, dtype=np.int32)
+        letters -= letters[starts][number]
+        early = letters < HEAD
+        del letters, number
         long = np.add.reduceat(begins.astype(np.int64), starts) > HEAD
         whole = scramble(np.add.reduceat(value, starts))
-        heads = scramble(np.add.reduceat(np.where(early, value, U(0)), starts) ^ _HEADS)[long]
+        value[~early] = 0
+        heads = scramble(np.add.reduceat(value, starts) ^ _HEADS)[long]
+        del value
         self.names, back = np.unique(np.concatenate([whole, heads]), return_inverse=True)
         self.is_word = np.zeros(len(self.names), bool)
         self.is_word[back[: len(whole)]] = True
@@ -144,21 +152,24 @@ class Index:
         common = np.bincount(term, minlength=n_terms) * COMMON > max(n, COMMON)
         self.column = np.where(common, np.cumsum(common) - 1, -1)
         here = common[term]
-        self.wide = (example[here], self.column[term[here]], weight[here])
+        self.wide = (example[here].astype(np.int32), self.column[term[here]].astype(np.int32), weight[here])
         term, example, weight = term[~here], example[~here], weight[~here]
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
         part = term * max(self.blocks, 1) + self.example // block
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
         # of each (term, block): its block, its postings, its largest weight
-        self.of_block = self.example[first] // block
-        self.begin, self.size = first, np.diff(np.append(first, len(part)))
+        self.of_block = (self.example[first] // block).astype(np.int32)
+        self.begin, self.size = first, np.diff(np.append(first, len(part))).astype(np.int32)
+        self.example = self.example.astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.start = np.searchsorted(term[first], np.arange(n_terms + 1))
         self.dense = None
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None}
+        if self.wide is None:
+            raise ValueError("an index in use has given up what it is sent with")
+        return self.__dict__.copy()
 
     def nearest(self, of: np.ndarray, term: np.ndarray, value: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, example, cosine) of each text's k examples of highest positive cosine, best first, ties to the earlier example."""
@@ -167,6 +178,7 @@ class Index:
             one_thread()
             self.dense = np.zeros((int(self.column.max(initial=-1)) + 1, width))
             self.dense[self.wide[1], self.wide[0]] = self.wide[2]
+            self.wide = None
         column = self.column[term]
         wide = np.zeros((texts, len(self.dense)))
         common = column >= 0
