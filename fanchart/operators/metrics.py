@@ -23,7 +23,7 @@ from fanchart.contract import (
     UNSCORED_REASON,
 )
 from fanchart.functions.columns import is_finite, pinball
-from fanchart.operators.ranking import ranked
+from fanchart.operators.ranking import folded, ranked
 
 REALIZED_KEYS = ["unit_id", "asset", "horizon"]
 
@@ -52,8 +52,11 @@ def cell_statistics(draws: DataFrame, realized: DataFrame, levels: list[float] |
     """One row per (submission, unit, asset, horizon) with everything the marginal scores need.
 
     Columns: ``m, y, mean, crps, below`` (share of draws <= y) and ``q`` (array of quantiles in the
-    order of ``levels``). The spread term is ``(1/m^2) sum_i (2i - m - 1) x_(i)``.
+    order of ``levels``). The spread term is ``(1/m^2) sum_i (2i - m - 1) x_(i)``. Cells without a bound on their
+    size (``split_above``) fold equal values before anything is joined or sorted.
     """
+    if split_above is not None:
+        draws = folded(draws, CELL_KEYS)
     rows = ranked(with_outcome(draws, realized), CELL_KEYS, carry=["y"], split_above=split_above)
     n, m, x, y = F.col("n"), F.col("m"), F.col("value"), F.col("y")
     near = F.sum(n * F.abs(x - y)) / F.max(m)

@@ -2,8 +2,9 @@
 
 CRPS, quantiles, PIT and coverage all follow from the rank of each draw in its cell. A cell of an
 admissible submission has at most 20,000 draws, so one window does it. Raw tables give no such
-bound: one cell may hold a third of all rows. Such hot groups are split into value ranges, ranked
-range by range and shifted by the size of the lower ranges, which gives the same ranks exactly.
+bound: one cell may hold a third of all rows. There equal values fold to one row with their count first, and hot
+groups are split into value ranges, ranked range by range and shifted by the size of the lower ranges, which gives
+the same ranks exactly.
 """
 
 from __future__ import annotations
@@ -17,28 +18,41 @@ from fanchart.sources.materialize import materialized
 
 #: Above this many rows a group is ranked in slices.
 SPLIT_ABOVE = 2_000_000
+#: Distinct values of one slice; their number, not ``split_above``, says how many slices there are.
+SLICE = 500_000
+
+
+def folded(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Rows ``(keys, value, _n)``: each group's distinct values with their counts, written once for all readers."""
+    return materialized(df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_n")), "rank-values")
 
 
 def ranked(df: DataFrame, keys: list[str], value: str = "value", carry: list[str] | None = None,
            split_above: int | None = None) -> DataFrame:
     """Rows ``(keys, value, carry, n, lo, hi, m)``: ``n`` equal values at ranks ``lo..hi`` of ``m``.
 
-    ``split_above=None`` says that groups are bounded by contract. Otherwise the group sizes are
-    checked first (one map-side combined count) and hot groups take the sliced way. ``carry``
-    columns must be functions of ``keys``.
+    ``split_above=None`` says that groups are bounded by contract. Otherwise equal values fold first (``df`` may come
+    from :func:`folded` already), groups of more than ``split_above`` rows take the sliced way, and all others one
+    window over their distinct values. ``carry`` columns must be functions of ``keys``.
     """
     carry = carry or []
     if split_above is None:
         return _windowed(df, keys, value, carry)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    if "_n" not in df.columns:
+        own = df.select(*keys, *carry).dropDuplicates(keys) if carry else None
+        df = folded(df, keys, value)
+        df = df.join(own, keys) if carry else df
+        value = "value"
+    sizes = df.groupBy(*keys).agg(F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_values"))
     hot = sizes.where(F.col("_m") > split_above)
-    hot_rows = hot.agg(F.sum("_m")).first()[0]
-    if not hot_rows:
-        return _windowed(df, keys, value, carry)
+    hot_values = hot.agg(F.sum("_values")).first()[0]
+    if not hot_values:
+        return _counted(df, keys, value, carry)
     cold = df.join(hot.select(*keys), keys, "left_anti")
-    slices = math.ceil(hot_rows / split_above) + 1
-    return _windowed(cold, keys, value, carry).unionByName(
-        _sliced(df.join(hot, keys), keys, value, carry, slices)
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(parallel, math.ceil(hot_values / SLICE))
+    return _counted(cold, keys, value, carry).unionByName(
+        _sliced(df.join(hot.select(*keys, "_m"), keys), keys, value, carry, slices)
     )
 
 
@@ -52,11 +66,16 @@ def _windowed(df: DataFrame, keys: list[str], value: str, carry: list[str]) -> D
     return rows.select(*keys, "value", *carry, F.lit(1).cast("long").alias("n"), "lo", F.col("lo").alias("hi"), "m")
 
 
-def _sliced(rows: DataFrame, keys: list[str], value: str, carry: list[str], slices: int) -> DataFrame:
-    # equal values first: a single repeated value must not fill a slice
-    distinct = rows.groupBy(*keys, F.col(value).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("_m").alias("m"), *[F.first(c).alias(c) for c in carry]
+def _counted(rows: DataFrame, keys: list[str], value: str, carry: list[str]) -> DataFrame:
+    group, n = Window.partitionBy(*keys), F.col("_n")
+    hi = F.sum(n).over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(
+        *keys, F.col(value).alias("value"), *carry, n.alias("n"), (hi - n + 1).alias("lo"), hi.alias("hi"), F.sum(n).over(group).alias("m")
     )
+
+
+def _sliced(rows: DataFrame, keys: list[str], value: str, carry: list[str], slices: int) -> DataFrame:
+    distinct = rows.select(*keys, F.col(value).alias("value"), F.col("_n").alias("n"), F.col("_m").alias("m"), *carry)
     # contiguous value ranges of even size; written once so that both readers see the same slices
     sliced = materialized(
         distinct.repartitionByRange(slices, *keys, "value").withColumn("_slice", F.spark_partition_id()),

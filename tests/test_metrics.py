@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fanchart.contract import CELL_KEYS
 from fanchart.operators import metrics as M
+from fanchart.operators import ranking
 from fanchart.operators.ranking import ranked
+from fanchart.sources.materialize import materialized
 
 LEVELS = (0.01, 0.05, 0.95, 0.99)
 ASSETS, HORIZONS = ["SYN-A", "SYN-B"], [1, 5]
@@ -123,6 +125,25 @@ def test_hot_groups_are_ranked_exactly(spark):
     assert list(a.lo) == list(lo) and list(a.hi) == list(hi) and set(a.m) == {5000}
 
 
+def test_work_of_unbounded_groups_follows_their_distinct_values(spark, monkeypatch):
+    """Neither the number of slices nor the rows of a window grow with repeats or with a low split_above."""
+    rows = [("s", "u", "A", 1, float(i % 10)) for i in range(3000)] + [("s", "u", "B", 1, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "submission_id string, unit_id string, asset string, horizon int, value double")
+    parts = {}
+
+    def noted(df, name):
+        parts[name] = df.rdd.getNumPartitions()
+        return materialized(df, name)
+
+    monkeypatch.setattr(ranking, "materialized", noted)
+    got = ranked(df, CELL_KEYS, split_above=1)
+    assert got.count() == 3010 and parts["rank-slices"] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = ranked(df, CELL_KEYS, split_above=1_000_000).where("asset = 'A'").orderBy("lo").collect()
+    assert [(r.value, r.n, r.lo, r.hi, r.m) for r in whole] == [(float(i), 300, 300 * i + 1, 300 * i + 300, 3000) for i in range(10)]
+    carried = ranked(df.withColumn("y", F.lit(2.0)), CELL_KEYS, carry=["y"], split_above=100)
+    assert carried.agg(F.sum("n"), F.max("y")).first() == (6000, 2.0)
+
+
 def test_sliced_and_plain_ranking_give_the_same_scores(spark):
     x = np.round(np.random.default_rng(1).standard_normal((900, 2, 2)), 1)
     y = np.array([[0.0, 0.2], [-1.0, 3.0]])
