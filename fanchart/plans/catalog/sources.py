@@ -137,11 +137,14 @@ def read_corpus_index(t):
 @query("src7_read_documents", "SELECT source AS unit_id, md5(text) AS digest, count(*) AS copies FROM documents GROUP BY 1, 2")
 def read_documents(t):
     root = _folder(t, "corpus")
-    docs = t.docs.select("unit_id", F.lit("text").alias("folder"), "text")
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("unit_id", "folder").text(root)
-    # the text sink ends each file with one line feed
-    body = F.expr("substring(text, 1, length(text) - 1)")
-    return R.read_documents(t.spark, root).groupBy("unit_id", F.md5(body).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
+    # rows may share a path: files are named by the row, 1,024 to a folder; a null has a name of its own, as a file holds a text
+    row = F.monotonically_increasing_id()
+    name = F.concat(F.hex(F.shiftright(row, 10)), F.lit("/"), F.when(F.col("text").isNull(), "none-").otherwise("doc-"), row.cast("string"), F.lit(".txt"))
+    unit = F.coalesce(F.concat(F.lit("u-"), F.url_encode("unit_id")), F.lit("none"))
+    W.write_documents(t.docs.select(unit.alias("unit_id"), name.alias("path"), F.coalesce("text", F.lit("")).alias("text")), root)
+    known = F.when(F.col("unit_id") != "none", F.url_decode(F.substring("unit_id", 3, 1 << 20)))
+    digest = F.when(~F.col("path").contains("/none-"), F.md5("text"))
+    return R.read_documents(t.spark, root).groupBy(known.alias("unit_id"), digest.alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query("src8_read_draws", f"SELECT submission_id, unit_id, count(*) AS n, max(draw) AS last_draw, {rd('sum(value)', 1)} AS total FROM draws GROUP BY 1, 2")

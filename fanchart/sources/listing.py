@@ -33,6 +33,12 @@ def open_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def is_known(uri: str) -> bool:
+    """Whether tasks can open this place by themselves."""
+    scheme = uri.split(":", 1)[0] if "://" in uri or uri.startswith("file:") else "file"
+    return scheme in ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
 def open_file(path: str):
     """A file for reading at any place; what is not read does not travel."""
     system, inner = open_system(path)

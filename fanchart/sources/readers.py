@@ -30,7 +30,7 @@ from fanchart.contract import (
 )
 from fanchart.functions.columns import is_finite, is_iso
 from fanchart.operators.gates import CHECK, GATES, UNIT_KEYS, refusal
-from fanchart.sources.listing import FILE, FOLDER, dealt, list_tree, open_file
+from fanchart.sources.listing import FILE, FOLDER, dealt, is_known, list_tree, open_file
 
 
 #: A directory name, with or without the ``column=`` prefix that a partitioned write puts there.
@@ -242,13 +242,47 @@ def read_corpus_index(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+#: Bytes of documents that travel in one batch.
+DOCUMENT_BATCH = 4 << 20
+
+
+def _bodies(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    def packed(paths: list, bodies: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(bodies, pa.binary())})
+
+    paths, bodies, size = [], [], 0
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            with open_file(path) as f:
+                body = f.read()
+            if bodies and size + len(body) > DOCUMENT_BATCH:
+                yield packed(paths, bodies)
+                paths, bodies, size = [], [], 0
+            paths.append(path)
+            bodies.append(body)
+            size += len(body)
+    if bodies:
+        yield packed(paths, bodies)
+
+
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """``(unit_id, path, text)``: whole texts, undecodable bytes replaced."""
+    """``(unit_id, path, text)``: whole texts, undecodable bytes replaced; an empty file is an empty text.
+
+    A corpus is very many small files: tasks list them and each task opens its share. Names that begin with a dot or
+    an underscore are no documents. Places that tasks cannot open by themselves are read through Spark's file index,
+    which leaves out empty files.
+    """
     pattern = rf"/{DIR}/(?:[^/=]+=)?text/(.+)$"
-    files = _binary(spark, root, "*")
-    return files.where(
-        F.col("path").rlike(pattern) & ~F.col("path").endswith("/corpus_index.json")
-    ).select(
+    wanted = F.col("path").rlike(pattern) & ~F.col("path").endswith("/corpus_index.json")
+    if is_known(root):
+        hidden = F.exists(F.split(F.substring("path", len(root.rstrip("/")) + 2, 1 << 20), "/"), lambda x: x.startswith(".") | (x.startswith("_") & ~x.contains("=")))
+        listed = list_tree(spark, root).where((F.col("kind") == FILE) & wanted & ~hidden).select("path", "length")
+        files = dealt(listed).mapInArrow(_bodies, "path string, content binary")
+    else:
+        files = _binary(spark, root, "*").where(wanted)
+    return files.select(
         _part("path", pattern).alias("unit_id"), _part("path", pattern, 2).alias("path"), _text().alias("text")
     )
 

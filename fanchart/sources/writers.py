@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanchart.contract import UNIT_KEYS
 from fanchart.functions.columns import is_finite
 from fanchart.operators.gates import OrganizerFault, public_projection
+from fanchart.sources.listing import open_system
 from fanchart.sources.materialize import materialized
 
 
@@ -24,6 +27,37 @@ def write_draws(draws: DataFrame, path: str) -> None:
     )
 
 
+def _write_files(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    attempt, made = TaskContext.get().taskAttemptId(), set()
+    for batch in batches:
+        for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
+            system, inner = open_system(path)
+            folder, name = inner.rsplit("/", 1)
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            # a second attempt of a task must not cut a file that the first one has finished
+            own = f"{folder}/.{attempt}-{name}"
+            with system.open_output_stream(own) as f:
+                f.write(text.encode())
+            system.move(own, inner)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+
+def write_documents(docs: DataFrame, root: str) -> int:
+    """``(unit_id, path, text)`` to ``<root>/<unit>/text/<path>``, one file per document; how many there are.
+
+    Every task writes its own files at their last place, so nothing is renamed or listed by the driver. Paths must be
+    distinct within a unit and the same in every attempt, units the name of a folder, texts not null. Keep folders
+    small: one task lists a folder.
+    """
+    files = docs.select(F.concat(F.lit(root.rstrip("/") + "/"), "unit_id", F.lit("/text/"), "path").alias("path"), "text")
+    return files.mapInArrow(_write_files, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def render_meta(rows: DataFrame) -> DataFrame:
     """One JSON sidecar per (submission, unit).
 

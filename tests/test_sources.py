@@ -1,6 +1,8 @@
 """File trees: units, panels, submissions, reference material; then the whole evaluation."""
 
+import hashlib
 import json
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -310,6 +312,19 @@ def test_corpora(spark, tree):
     assert (r.indexed_documents, r.undated, r.late, r.unindexed, r.absent) == (2, 0, 0, 0, 0)
 
 
+def test_documents_are_written_and_read_by_tasks(spark, tmp_path):
+    """Empty texts, nulls, repeated ids and odd sources keep their rows; the driver's file index sees no document."""
+    from fanchart.plans.bindings import Tables
+    from fanchart.plans.catalog import sources
+
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "a\n", "x"), (3, "", "x"), (4, None, "x"), (5, "é", "y/z=1 %"), (6, "b", None), (None, "b", ".."), (7, "a", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = sources.read_documents(Tables(spark, str(tmp_path)))
+    md5 = lambda x: None if x is None else hashlib.md5(x.encode()).hexdigest()
+    assert {(r.unit_id, r.digest): r.copies for r in out.collect()} == Counter((s, md5(x)) for _, x, s in rows)
+    assert "binaryFile" not in out._jdf.queryExecution().toString()
+
+
 def test_reference_material(spark, tree):
     units, _ = R.trusted_asof(R.read_units(spark, str(tree)))
     realized = R.read_realized(spark, str(tree))
