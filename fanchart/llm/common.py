@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Space, tab, newline, vertical tab, form feed and carriage return: the separators of words in all contracts.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Bytes of an Arrow batch, where the session sets none: tasks hold a batch as Arrow data in the executor and as objects in its worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARKS_OWN, BATCH = "67108864b", 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,6 +29,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded in bytes; 10,000 rows of text know no such bound."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == SPARKS_OWN:
+        conf.set(BATCH_BYTES, f"{BATCH}b")
+    return df
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: str, *args) -> DataFrame:
     """``fn(batch, *args)`` on every Arrow batch; it returns a dict of columns in the order of ``schema``."""
 
@@ -34,7 +45,7 @@ def map_rows(df: DataFrame, fn: Callable, schema: str, *args) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(fn(batch, *args))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def workers(df: DataFrame) -> int:

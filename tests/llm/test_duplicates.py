@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fanchart.llm import lines, near_dup, suffix
+from fanchart.llm.common import BATCH, map_rows
 from fanchart.llm.graph import components
 from tests.llm import edge
 
@@ -194,3 +196,11 @@ def test_pieces_hold_every_string_of_a_long_text():
     parts = list(suffix.pieces(text, 700))
     starts = [i + k for i, p in parts for k in range(len(p) - 99)]
     assert starts == list(range(len(text) - 99)) and all(text[i : i + len(p)] == p for i, p in parts)
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """Workers get a few MB at a time, however long the texts are."""
+    docs = spark.range(0, 4000, 1, 1).select(F.expr("repeat(cast(id % 10 AS string), 5000)").alias("text"))
+    size = lambda batch: {"n": [batch.num_rows], "bytes": [batch.nbytes]}
+    got = map_rows(docs, size, "n long, bytes long").agg(F.sum("n").alias("n"), F.max("bytes").alias("most")).first()
+    assert got.n == 4000 and got.most < 2 * BATCH
